@@ -1,0 +1 @@
+"""Operators of the engine, as functions over DataFrames and Columns."""

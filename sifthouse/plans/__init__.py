@@ -1,0 +1 @@
+"""Plans of the engine, as functions over DataFrames and Columns."""

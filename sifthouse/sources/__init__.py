@@ -1,0 +1 @@
+"""Sources of the engine, as functions over DataFrames and Columns."""

@@ -1,0 +1 @@
+"""Streaming of the engine, as functions over DataFrames and Columns."""
