@@ -4,8 +4,8 @@ Equal sets are folded first, so copies never meet each other. A fixed-size sketc
 often shingles occur over all documents and orders them rare first. Two sets of a similarity of
 ``t`` or more share a shingle among the first ``n - ceil(t n) + 1`` of that order, so only those
 are joined. A joined pair must pass the length filter, the positional filter (what the places of
-the shared shingle leave to gain) and the suffix filter (hash-range counts of both sets, of
-which the summed differences bound the symmetric difference); each pair left is verified once.
+the shared shingle leave to gain) and the suffix filter (counts of both sets in hash
+ranges, of which the summed differences bound the symmetric difference); each pair left is verified once.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from ..session import settle
 from .shared import Words, buffers, chunks, int64, list_array, phrase_hashes, sequence_hashes, text_column
 
 SKETCH_BITS = 20
+#: Hash ranges of the suffix filter.
+RANGES = 128
 _SLICE = 1 << 14
 #: Verification cells hold about so many shingles.
 CELL_SHINGLES = 1_000_000
@@ -92,7 +94,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def shingle_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: ``doc_id, n_shingles``, two sums that name the set, its rarest shingles (``prefix``), and counts in 8 hash ranges (``profile``)."""
+    """Per row: ``doc_id, n_shingles``, two sums that name the set, its rarest shingles (``prefix``), and its counts in hash ranges (``profile``)."""
     sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, k).astype(np.float32))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,65 +109,81 @@ def shingle_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 order = np.lexsort((values, counts[_bucket(values)], doc))
                 take = np.where(n > 0, prefix_length(n, percent), 0)
                 picked = np.repeat(edges[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())
-                ranges = np.bincount(doc * 8 + ((values >> np.uint64(20)) & np.uint64(7)).astype(np.int64), minlength=8 * len(n)).reshape(-1, 8)
-                profile = (np.minimum(ranges, 255).astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
+                ranges = np.bincount(doc * RANGES + ((values >> np.uint64(20)) % np.uint64(RANGES)).astype(np.int64), minlength=RANGES * len(n)).reshape(-1, RANGES)
+                profile = [r.tobytes() for r in np.minimum(ranges, 255).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(start, stop - start), pa.array(n, pa.int64()), pa.array(int64(one)), pa.array(int64(two)),
-                     list_array(int64(values[order][picked]), np.concatenate([[0], np.cumsum(take)]), pa.int64()), pa.array(int64(profile))],
+                     list_array(int64(values[order][picked]), np.concatenate([[0], np.cumsum(take)]), pa.int64()), pa.array(profile, pa.binary())],
                     ["doc_id", "n_shingles", "one", "two", "prefix", "profile"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, prefix array<long>, profile long")
-
-
-def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, one, shingles``: each row's whole set, named as in ``shingle_prefixes``."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(text_column(batch))
-            for start, stop in chunks(offsets):
-                values, edges = _shingles(Words(data, offsets[start : stop + 1], lower=True), k)
-                sets = [values[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), pa.array(int64(_sums(values, edges)[0])), pa.array(sets, pa.binary())], ["doc_id", "one", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, one long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, prefix array<long>, profile binary")
 
 
 def candidate_pairs(folded: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``a < b`` that pass all filters, with the joined shingle ``g`` they are verified under."""
-    tokens = folded.select("doc_id", "n_shingles", "profile", F.posexplode("prefix").alias("at", "g"))
-    often = tokens.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
-    tokens = tokens.join(often, "g", "left_semi")
-    a = tokens.select("g", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("at").alias("pa"), F.col("profile").alias("fa"))
-    b = tokens.select("g", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("at").alias("pb"), F.col("profile").alias("fb"))
+    tokens = folded.select("doc_id", "n_shingles", F.posexplode("prefix").alias("at", "g"))
+    a = tokens.select("g", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("at").alias("pa"))
+    b = tokens.select("g", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("at").alias("pb"))
     # the least overlap of a similar pair: ceil(t (na + nb) / (1 + t))
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
     gain = F.lit(1) + F.least("pa", "pb") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    apart = F.lit(0)
-    for r in range(8):
-        x, y = (F.shiftrightunsigned(c, 8 * r).bitwiseAND(255) for c in ("fa", "fb"))
-        apart = apart + F.when((x < 255) & (y < 255), F.abs(x - y)).otherwise(0)
     near = (
         (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        & (gain >= need) & (apart <= F.col("na") + F.col("nb") - 2 * need)
+        & (gain >= need)
     )
-    return a.join(b, "g").filter(near).groupBy("a", "b").agg(F.min("g").alias("g"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = a.join(b, "g").filter(near).groupBy("a", "b").agg(F.min("g").alias("g"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    profiles = folded.select("doc_id", "profile").dropDuplicates(["doc_id"])
+    pairs = pairs.join(profiles.toDF("a", "fa"), "a").join(profiles.toDF("b", "fb"), "b").select("a", "b", "g", "na", "nb", "fa", "fb")
+
+    def suffix_filter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int64) for c in ("fa", "fb"))
+            apart = (np.abs(x - y) * ((x < 255) & (y < 255))).sum(axis=1)
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = apart <= both - 2 * -(-percent * both // (100 + percent))
+            yield batch.select(["a", "b", "g", "na", "nb"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(suffix_filter, "a long, b long, g long, na long, nb long")
+
+
+def _placed_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``cell, g, a, shingles``: the whole set of each wanted ``(doc_id, one)``, from its text."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(text_column(batch))
+            for start, stop in chunks(offsets):
+                values, edges = _shingles(Words(data, offsets[start : stop + 1], lower=True), k)
+                mine = int64(_sums(values, edges)[0])
+                for i in range(stop - start):
+                    if mine[i] != batch.column("one")[start + i].as_py():
+                        continue  # another text of a repeated id
+                    raw = values[edges[i] : edges[i + 1]].tobytes()
+                    places = batch.column("places")[start + i].values
+                    cells, gs = places.field("cell"), places.field("g")
+                    yield pa.RecordBatch.from_arrays(
+                        [cells, gs, pa.array([batch.column("doc_id")[start + i].as_py()] * len(cells), pa.int64()), pa.array([raw] * len(cells), pa.binary())], ["cell", "g", "a", "shingles"])
+
+    held = docs.select("doc_id", "text").join(wanted.groupBy("doc_id", "one").agg(F.collect_list(F.struct("cell", "g")).alias("places")), "doc_id")
+    return held.select("doc_id", "text", "one", "places").mapInArrow(run, "cell long, g long, a long, shingles binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, folded: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose sets are as similar as asked: ``src, dst``.
 
     Pairs are gathered under their shingle; a shingle with many documents is split into cells by
     hashes of both sides, so each cell holds a bounded number of shingles. A cell gets each of
-    its sets once.
+    its sets once, made from the text as it is dealt out.
     """
     members = pairs.select("g", F.col("a").alias("d"), F.col("na").alias("n")).union(pairs.select("g", F.col("b").alias("d"), F.col("nb").alias("n"))).distinct()
     splits = members.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(CELL_SHINGLES)).cast("int").alias("s"))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("s"))
     placed = pairs.join(splits, "g").select("a", "b", F.xxhash64("g", part("a"), part("b")).alias("cell"), F.col("g"))
     wanted = placed.select("cell", "g", F.col("a").alias("doc_id")).union(placed.select("cell", "g", F.col("b").alias("doc_id"))).distinct()
-    held = sets.join(wanted, "doc_id").select("cell", "g", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    held = _placed_sets(docs, wanted.join(folded.select("doc_id", "one"), "doc_id"), k).select("cell", "g", "a", F.lit(None).cast("long").alias("b"), "shingles")
     asked = placed.select("cell", "g", "a", "b", F.lit(None).cast("binary").alias("shingles"))
-    parts = held.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = held.union(asked).repartition(int(parts), "cell").sortWithinPartitions("cell", "g", F.col("b").asc_nulls_first(), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +223,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     marked = settle(shingle_prefixes(docs, k, percent))
     keys = ["n_shingles", "one", "two"]
     full = marked.filter("n_shingles > 0 and doc_id is not null")
-    folded = settle(full.groupBy(*keys, "profile", "prefix").agg(F.min("doc_id").alias("doc_id")).dropDuplicates(["doc_id"]))
-    pairs = settle(candidate_pairs(folded, percent))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _shingle_sets(docs.join(wanted, "doc_id", "left_semi"), k)
-    sets = sets.join(folded.select("doc_id", "one"), ["doc_id", "one"], "left_semi").dropDuplicates(["doc_id"])
-    links = settle(verify(pairs, sets, percent))
+    # the smallest id of each set, and one set of each id
+    folded = full.groupBy(*keys).agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min(F.struct(*keys)).alias("set"))
+    folded = settle(folded.select("doc_id", "set.*"))
+    pairs = settle(candidate_pairs(full.join(folded, ["doc_id", *keys], "left_semi"), percent))
+    links = settle(verify(pairs, docs, folded, k, percent))
     # copies link to the document that stands for their set
     heads = full.select("doc_id", *keys).distinct().join(folded.select(*keys, F.col("doc_id").alias("head")), keys)
     copies = heads.filter("doc_id <> head").select(F.col("head").alias("src"), F.col("doc_id").alias("dst"))
