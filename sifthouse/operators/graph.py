@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds need a number of rounds that grows with the logarithm of
     the graph; minima are combined before shuffling, so a node with very many edges costs no
-    single task. Each round is cut by a checkpoint. Self loops only name their node.
+    single task. Each round is written to the shared folder. Self loops only name their node.
     """
     loops = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     current = settle(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,20 +37,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where a local run leaves that unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one (gone at exit) where a local run leaves that unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
     if not where:
-        where = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="sifthouse-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(where)
+        path = tempfile.mkdtemp(prefix="sifthouse-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        where = _own["dir"] = "file://" + path
     return where.rstrip("/")
 
 
+_own: dict[str, str] = {}
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and cut its lineage there, so that it outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once into a table in the shared folder and read it back.
+
+    That cuts the lineage and outlives lost executors. The table is Parquet: its columns take
+    less room than checkpointed rows.
+    """
+    path = f"{shared_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def default_parallelism(spark: SparkSession) -> int:
