@@ -21,6 +21,8 @@ from ..session import settle
 from .shared import Words, buffers, chunks, int64, list_array, phrase_hashes, sequence_hashes, text_column
 
 SKETCH_BITS = 20
+#: A shingle with more documents is joined apart, so that a pair that shares many of them is joined once.
+HOT = 64
 #: Hash ranges of the suffix filter.
 RANGES = 128
 _SLICE = 1 << 14
@@ -122,16 +124,25 @@ def shingle_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def candidate_pairs(folded: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``a < b`` that pass all filters, with the joined shingle ``g`` they are verified under."""
     tokens = folded.select("doc_id", "n_shingles", F.posexplode("prefix").alias("at", "g"))
-    a = tokens.select("g", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("at").alias("pa"))
-    b = tokens.select("g", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("at").alias("pb"))
-    # the least overlap of a similar pair: ceil(t (na + nb) / (1 + t))
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
-    gain = F.lit(1) + F.least("pa", "pb") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    near = (
-        (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        & (gain >= need)
-    )
-    pairs = a.join(b, "g").filter(near).groupBy("a", "b").agg(F.min("g").alias("g"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    hot = tokens.groupBy("g").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("g")
+    cold = tokens.join(hot, "g", "left_anti").withColumn("before", F.lit(None).cast("array<long>"))
+    # a pair that shares several hot shingles is joined under the first alone: each row carries the hot shingles before its own
+    own = tokens.join(hot, "g").groupBy("doc_id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("at", "g"))).alias("own"))
+    heated = own.select("doc_id", "n_shingles", "own", F.posexplode("own").alias("place", "one")).select(
+        "doc_id", "n_shingles", "one.at", "one.g", F.slice("own.g", F.lit(1), F.col("place")).alias("before"))
+
+    def joined(rows: DataFrame, only_first: bool) -> DataFrame:
+        a = rows.select("g", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("at").alias("pa"), F.col("before").alias("ba"))
+        b = rows.select("g", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("at").alias("pb"), F.col("before").alias("bb"))
+        # the least overlap of a similar pair: ceil(t (na + nb) / (1 + t))
+        need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
+        gain = F.lit(1) + F.least("pa", "pb") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+        near = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (gain >= need)
+        if only_first:
+            near = near & ~F.arrays_overlap("ba", "bb")
+        return a.join(b, "g").filter(near).select("a", "b", "g", "na", "nb")
+
+    pairs = joined(cold, False).union(joined(heated, True)).groupBy("a", "b").agg(F.min("g").alias("g"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     profiles = folded.select("doc_id", "profile").dropDuplicates(["doc_id"])
     pairs = pairs.join(profiles.toDF("a", "fa"), "a").join(profiles.toDF("b", "fb"), "b").select("a", "b", "g", "na", "nb", "fa", "fb")
 
