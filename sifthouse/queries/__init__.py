@@ -1,8 +1,7 @@
 """All registered queries of the engine, with the SQL that checks them."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import search, tables
+from .registry import ORACLE_SQL, QUERIES
+from .search import flagship
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "search", "tables"]
