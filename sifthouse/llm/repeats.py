@@ -28,7 +28,7 @@ from .shared import Words, buffers, chunks, int64, list_array, mix, phrase_hashe
 WINDOW, PHRASE = 50, 12
 BLOCK = WINDOW // 2
 #: Bytes of passages in a shard, and of documents that stream through one task's automaton.
-SHARD_BYTES, STREAM_BYTES = 4 << 20, 24 << 20
+SHARD_BYTES, STREAM_BYTES = 1 << 20, 3 << 20
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -158,22 +158,35 @@ def locate(automaton, passages: list[list[str]], owners: list[int], doc_id: int,
     edges = np.cumsum([0, *(len(w) + 1 for w in words)])  # where the blank before each word stands
     out: list[tuple[int, int]] = []
     reached: dict[tuple[int, int], int] = {}
+    low, high = list(range(len(words))), [0] * len(words)  # how far the ranges found over a word go
     for end, where in automaton.iter(line):
         at = int(np.searchsorted(edges, end)) - block
         for p, place in where:
-            lane = (p, at - place)
-            if owners[p] >= doc_id or reached.get(lane, -1) >= at + block:
+            if owners[p] >= doc_id:
+                continue
+            theirs, shift = passages[p], place - at
+            if high[at]:  # it adds nothing unless it goes on past those ranges
+                a, b = low[at] - 1, high[at]
+                right = b < len(words) and b + shift < len(theirs) and words[b] == theirs[b + shift]
+                left = a >= 0 and a + shift >= 0 and words[a] == theirs[a + shift]
+                if not left and not right:
+                    continue
+            if reached.get((p, shift), -1) >= at + block:
                 continue
-            theirs = passages[p]
             a, i = at, place
             while a > 0 and i > 0 and words[a - 1] == theirs[i - 1]:
                 a, i = a - 1, i - 1
             b, j = at + block, place + block
             while b < len(words) and j < len(theirs) and words[b] == theirs[j]:
                 b, j = b + 1, j + 1
-            reached[lane] = b
+            reached[p, shift] = b
             if b - a >= window:
                 out.append((a, b))
+                for w in range(a, b):
+                    if low[w] > a:
+                        low[w] = a
+                    if high[w] < b:
+                        high[w] = b
     return out
 
 
