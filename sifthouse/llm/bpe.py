@@ -183,13 +183,16 @@ def build_lexicon(docs: DataFrame, vocabulary: str, keep_blanks: bool = True, lo
     found = [r["word"] for r in frequent_words(docs, keep_blanks, lower, most).toLocalIterator()]
     plain = BatchEncoder(vocabulary, keep_blanks, lower).plain
     lexicon = Lexicon.build({w.encode(): ids for w, ids in zip(found, plain.encode_pieces(found), strict=True)})
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    path = os.path.join(folder, "new")
-    lexicon.save(path)
-    with open(path, "rb") as f:
+    # named by its content, so that the same lexicon is always the same file
+    folder = os.path.join(tempfile.gettempdir(), f"sifthouse-lexicons-{os.getuid()}")
+    os.makedirs(folder, exist_ok=True)
+    draft = tempfile.mkstemp(dir=folder)[1]
+    lexicon.save(draft)
+    with open(draft, "rb") as f:
         name = "lexicon-" + hashlib.sha256(f.read()).hexdigest()[:24]
-    os.rename(path, os.path.join(folder, name))
-    docs.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    path = os.path.join(folder, name)
+    os.rename(draft, path)
+    docs.sparkSession.sparkContext.addFile(path)
     return name
 
 
