@@ -20,8 +20,8 @@ from ..session import settle
 SAMPLE = 8_000
 #: Vectors a block holds, at most about.
 BLOCK_ROWS = 8_192
-#: Up to so many vectors there is one part, so the search is exact.
-EXACT_ROWS = 4_000
+#: Fewer vectors don't make a graph to cut; there is one part.
+LEAST_ROWS = 100
 
 
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
@@ -114,8 +114,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit(rows: DataFrame, count: int, recall: float, k: int) -> tuple[Router | None, int, int]:
-    """The router, its number of parts, and how many a query asks; (None, 1, 1) for small inputs."""
-    if count <= EXACT_ROWS:
+    """The router, its number of parts, and how many a query asks; (None, 1, 1) below ``LEAST_ROWS``."""
+    if count < LEAST_ROWS:
         return None, 1, 1
     place = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_000))
     got = rows.filter(place < int(SAMPLE * 1_000_000 / count) + 1).orderBy("vec_id").limit(2 * SAMPLE).select("v").toArrow()
@@ -188,8 +188,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, reca
 
     Rows with a null id or a null, zero or non-finite vector take no part, nor do vectors of
     other than the commonest length. A query never finds rows of its own id; rows that repeat an
-    id and vector count once. Up to ``EXACT_ROWS`` vectors the search is exact; beyond, a query
-    that its parts leave with fewer than ``k`` rows is asked again over all parts.
+    id and vector count once. A query that its parts leave with fewer than ``k`` rows is asked
+    again over all parts.
     """
     rows, asked = usable(vectors), usable(queries)
     lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
