@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import settle
 
 SAMPLE = 8_000
+#: A fixed number, so that the sample has some five hundred vectors of each part to learn from.
+PARTS = 16
 #: Vectors a block holds, at most about.
 BLOCK_ROWS = 8_192
 #: Fewer vectors don't make a graph to cut; there is one part.
@@ -120,7 +122,7 @@ def fit(rows: DataFrame, count: int, recall: float, k: int) -> tuple[Router | No
     place = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_000))
     got = rows.filter(place < int(SAMPLE * 1_000_000 / count) + 1).orderBy("vec_id").limit(2 * SAMPLE).select("v").toArrow()
     x = _matrix(got.column("v").combine_chunks())
-    parts = int(2 ** np.clip(round(np.log2(count / 2_000)), 2, 6))
+    parts = PARTS
     near = _nearest(x, min(k, len(x) - 1))
     part = balanced_parts(near[:, : min(10, near.shape[1])], parts)
     router = Router(x, part, parts)
@@ -183,7 +185,7 @@ def _search(queries: DataFrame, indexed: DataFrame, k: int) -> DataFrame:
     return best.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.98) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest rows of ``vectors`` by inner product, ties to the smaller id.
 
     Rows with a null id or a null, zero or non-finite vector take no part, nor do vectors of
