@@ -6,6 +6,10 @@ often shingles occur over all documents and orders them rare first. Two sets of
 are joined. A joined pair must pass the length filter, the positional filter (what the places of
 the shared shingle leave to gain) and the suffix filter (counts of both sets in hash
 ranges, of which the summed differences bound the symmetric difference); each pair left is verified once.
+
+Shingles of few documents are joined with themselves. The documents of a shingle with many are
+dealt into cells of bounded size, in which pairs are filtered, verified and counted in place:
+no table ever holds the pairs of a large group.
 """
 
 from __future__ import annotations
@@ -18,14 +22,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
 from ..session import settle
+from .pieces import gather
 from .shared import Words, buffers, chunks, int64, list_array, phrase_hashes, sequence_hashes, text_column
 
 SKETCH_BITS = 20
-#: A shingle with more documents is joined apart, so that a pair that shares many of them is joined once.
+#: A shingle with more documents is dealt into cells; a pair that shares many of them is verified under the first.
 HOT = 64
 #: Hash ranges of the suffix filter.
 RANGES = 128
 _SLICE = 1 << 14
+#: Documents of a block under such a shingle; two blocks make a cell.
+BLOCK_DOCUMENTS = 512
 #: Verification cells hold about so many shingles.
 CELL_SHINGLES = 1_000_000
 
@@ -121,44 +128,147 @@ def shingle_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, prefix array<long>, profile binary")
 
 
-def candidate_pairs(folded: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a < b`` that pass all filters, with the joined shingle ``g`` they are verified under."""
+def _split_tokens(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prefix shingles of few documents (``cold``), and those of many (``hot``) with the hot ones ``before`` them in their prefix."""
     tokens = folded.select("doc_id", "n_shingles", F.posexplode("prefix").alias("at", "g"))
-    hot = tokens.groupBy("g").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("g")
-    cold = tokens.join(hot, "g", "left_anti").withColumn("before", F.lit(None).cast("array<long>"))
-    # a pair that shares several hot shingles is joined under the first alone: each row carries the hot shingles before its own
-    own = tokens.join(hot, "g").groupBy("doc_id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("at", "g"))).alias("own"))
-    heated = own.select("doc_id", "n_shingles", "own", F.posexplode("own").alias("place", "one")).select(
+    many = tokens.groupBy("g").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("g")
+    own = tokens.join(many, "g").groupBy("doc_id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("at", "g"))).alias("own"))
+    hot = own.select("doc_id", "n_shingles", "own", F.posexplode("own").alias("place", "one")).select(
         "doc_id", "n_shingles", "one.at", "one.g", F.slice("own.g", F.lit(1), F.col("place")).alias("before"))
+    return tokens.join(many, "g", "left_anti"), hot
+
 
-    def joined(rows: DataFrame, only_first: bool) -> DataFrame:
-        a = rows.select("g", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("at").alias("pa"), F.col("before").alias("ba"))
-        b = rows.select("g", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("at").alias("pb"), F.col("before").alias("bb"))
-        # the least overlap of a similar pair: ceil(t (na + nb) / (1 + t))
-        need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
-        gain = F.lit(1) + F.least("pa", "pb") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-        near = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (gain >= need)
-        if only_first:
-            near = near & ~F.arrays_overlap("ba", "bb")
-        return a.join(b, "g").filter(near).select("a", "b", "g", "na", "nb")
-
-    pairs = joined(cold, False).union(joined(heated, True)).groupBy("a", "b").agg(F.min("g").alias("g"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    profiles = folded.select("doc_id", "profile").dropDuplicates(["doc_id"])
-    pairs = pairs.join(profiles.toDF("a", "fa"), "a").join(profiles.toDF("b", "fb"), "b").select("a", "b", "g", "na", "nb", "fa", "fb")
+def candidate_pairs(folded: DataFrame, cold: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a < b`` under shingles of few documents that pass all filters, with the joined shingle ``g`` they are verified under.
+
+    Pairs that share a shingle of many documents too are left to that shingle's cells.
+    """
+    a = cold.select("g", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("at").alias("pa"))
+    b = cold.select("g", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("at").alias("pb"))
+    # the least overlap of a similar pair: ceil(t (na + nb) / (1 + t))
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
+    gain = F.lit(1) + F.least("pa", "pb") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (gain >= need)
+    pairs = a.join(b, "g").filter(near).groupBy("a", "b").agg(F.min("g").alias("g"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    heat = hot.groupBy("doc_id").agg(F.collect_set("g").alias("heat"))
+    profiles = folded.select("doc_id", "profile").dropDuplicates(["doc_id"]).join(heat, "doc_id", "left")
+    pairs = pairs.join(profiles.toDF("a", "fa", "ha"), "a").join(profiles.toDF("b", "fb", "hb"), "b")
+    pairs = pairs.filter(~F.coalesce(F.arrays_overlap("ha", "hb"), F.lit(False))).select("a", "b", "g", "na", "nb", "fa", "fb")
 
     def suffix_filter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int64) for c in ("fa", "fb"))
-            apart = (np.abs(x - y) * ((x < 255) & (y < 255))).sum(axis=1)
-            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            keep = apart <= both - 2 * -(-percent * both // (100 + percent))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES) for c in ("fa", "fb"))
+            keep = _suffixes_fit(x, y, batch.column("na").to_numpy() + batch.column("nb").to_numpy(), percent)
             yield batch.select(["a", "b", "g", "na", "nb"]).filter(pa.array(keep))
 
     return pairs.mapInArrow(suffix_filter, "a long, b long, g long, na long, nb long")
 
 
+def _suffixes_fit(x: np.ndarray, y: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the counts of two sets in hash ranges leave room for a similar pair; ``both`` has their summed sizes."""
+    apart = (np.abs(x.astype(np.int16) - y) * ((x < 255) & (y < 255))).sum(axis=1)
+    return apart <= both - 2 * -(-percent * both // (100 + percent))
+
+
+def _cell_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a cell that pass all filters and share no hot shingle before the cell's own."""
+    n, at, block = (rows.column(c).to_numpy().astype(np.int64) for c in ("n_shingles", "at", "block"))
+    lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+    low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+    gain = 1 + np.minimum(at[:, None], at[None, :]) + np.minimum((n - at)[:, None], (n - at)[None, :]) - 1
+    ok = (100 * low >= percent * high) & (gain >= -(-percent * (low + high) // (100 + percent)))
+    i, j = np.nonzero(np.triu(ok, 1) if lo == hi else ok & (block == lo)[:, None] & (block == hi)[None, :])
+    if not len(i):
+        return i, j
+    before = rows.column("before").combine_chunks()
+    value, kind = np.unique(before.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    owner = np.repeat(np.arange(len(n)), before.value_lengths().to_numpy(zero_copy_only=False))
+    profile = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint8).reshape(-1, RANGES)
+    apart = np.ones(len(i), bool)
+    for start in range(0, len(value), 512):
+        some = (kind >= start) & (kind < start + 512)
+        held = np.zeros((len(n), 512), bool)
+        held[owner[some], kind[some] - start] = True
+        bits = np.packbits(held, axis=1)
+        for k in range(0, len(i), 1 << 15):
+            apart[k : k + (1 << 15)] &= ~(bits[i[k : k + (1 << 15)]] & bits[j[k : k + (1 << 15)]]).any(axis=1)
+    i, j = i[apart], j[apart]
+    fit = [_suffixes_fit(profile[i[k : k + (1 << 14)]], profile[j[k : k + (1 << 14)]], n[i[k : k + (1 << 14)]] + n[j[k : k + (1 << 14)]], percent) for k in range(0, len(i), 1 << 14)]
+    keep = np.concatenate([*fit, np.zeros(0, bool)])
+    return i[keep], j[keep]
+
+
+_CELL = "cell long, g long, lo int, hi int, block int, doc_id long, n_shingles long, at int, before array<long>, profile binary"
+
+
+def hot_cells(folded: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """Rows of the cells of shingles of many documents, without the documents that no other of their cell can be similar to.
+
+    A shingle's documents are dealt into blocks of bounded size, and each two blocks make a cell.
+    """
+    splits = hot.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCUMENTS)), F.ceil(F.sum("n_shingles") / F.lit(CELL_SHINGLES))).cast("int").alias("s"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
+    rows = hot.join(splits, "g").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    rows = rows.join(folded.select("doc_id", "profile"), "doc_id").select(F.xxhash64("g", "lo", "hi").alias("cell"), "g", "lo", "hi", "block", "doc_id", "n_shingles", "at", "before", "profile")
+
+    def run(table: pa.Table) -> pa.Table:
+        return table.take(pa.array(np.unique(np.concatenate(_cell_pairs(table, percent)))))
+
+    return rows.groupBy("g", "lo", "hi").applyInArrow(run, _CELL)
+
+
+def cell_links(cells: DataFrame, docs: DataFrame, folded: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links within cells: ``src, dst`` that join each cell's linked documents, and rows of ``src, n`` with the links of each.
+
+    Links are counted where they are verified, so a group of many near copies gives rows in
+    proportion to its documents.
+    """
+    wanted = cells.select("cell", "g", "doc_id").join(folded.select("doc_id", "one"), "doc_id")
+    held = _placed_sets(docs, wanted, k).select("g", "cell", F.col("a").alias("doc_id"), "shingles")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        src, dst, count = [], [], []
+        if left.num_rows and right.num_rows:
+            ids = left.column("doc_id").to_numpy()
+            raw = dict(zip(right.column("doc_id").to_pylist(), right.column("shingles").to_pylist(), strict=True))
+            sets = [np.frombuffer(raw[d], np.uint64) for d in ids.tolist()]
+            size = np.array([len(s) for s in sets])
+            first = np.cumsum(size) - size
+            value, kind = np.unique(np.concatenate(sets), return_inverse=True)
+            i, j = _cell_pairs(left, percent)
+            linked, part = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            edges = np.searchsorted(i, np.arange(len(ids) + 1))
+            mark = np.zeros(len(value), bool)
+            for x in np.flatnonzero(np.diff(edges)).tolist():
+                ys = j[edges[x] : edges[x + 1]]
+                mine = kind[first[x] : first[x] + size[x]]
+                mark[mine] = True
+                hits = mark[kind[gather(first[ys], size[ys])]]
+                shared = np.add.reduceat(hits, np.cumsum(size[ys]) - size[ys], dtype=np.int64)
+                mark[mine] = False
+                ys = ys[100 * shared >= percent * (size[x] + size[ys] - shared)]
+                linked[x] += len(ys)
+                linked[ys] += 1
+                parts, at = np.unique(part[ys], return_index=True)
+                for p, y in zip(parts.tolist(), ys[at].tolist(), strict=True):
+                    if p != part[x]:
+                        src.append(ids[x])
+                        dst.append(ids[y])
+                        count.append(None)
+                        part[part == p] = part[x]
+            some = np.flatnonzero(linked)
+            src += ids[some].tolist()
+            dst += [None] * len(some)
+            count += linked[some].tolist()
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "n": pa.array(count, pa.int64())})
+
+    by = ["g", "cell"]
+    return cells.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(run, "src long, dst long, n long")
+
+
 def _placed_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``cell, g, a, shingles``: the whole set of each wanted ``(doc_id, one)``, from its text."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,13 +347,20 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     # the smallest id of each set, and one set of each id
     folded = full.groupBy(*keys).agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min(F.struct(*keys)).alias("set"))
     folded = settle(folded.select("doc_id", "set.*"))
-    pairs = settle(candidate_pairs(full.join(folded, ["doc_id", *keys], "left_semi"), percent))
-    links = settle(verify(pairs, docs, folded, k, percent))
+    kept = full.join(folded, ["doc_id", *keys], "left_semi").dropDuplicates(["doc_id"])
+    cold, hot = _split_tokens(kept)
+    hot = settle(hot)
+    pairs = settle(candidate_pairs(kept, cold, hot, percent))
+    cells = settle(hot_cells(kept, hot, percent))
+    links = settle(verify(pairs, docs, folded, k, percent).withColumn("n", F.lit(None).cast("long")).unionByName(
+        cell_links(cells, docs, folded, k, percent).withColumn("hot", F.lit(True)), allowMissingColumns=True))
     # copies link to the document that stands for their set
     heads = full.select("doc_id", *keys).distinct().join(folded.select(*keys, F.col("doc_id").alias("head")), keys)
     copies = heads.filter("doc_id <> head").select(F.col("head").alias("src"), F.col("doc_id").alias("dst"))
-    parts = connected_components(links.union(copies))
-    degree = links.select(F.col("src").alias("head")).union(links.select(F.col("dst").alias("head"))).groupBy("head").agg(F.count("*").alias("n_links"))
+    parts = connected_components(links.filter("dst is not null").select("src", "dst").union(copies))
+    counted = links.filter("hot is null").withColumn("n", F.lit(1))
+    degree = links.filter("n is not null").select(F.col("src").alias("head"), "n").union(counted.select("src", "n")).union(counted.select("dst", "n"))
+    degree = degree.groupBy("head").agg(F.sum("n").alias("n_links"))
     named = heads.groupBy("doc_id").agg(F.min("head").alias("head")).join(degree, "head").select("doc_id", "n_links")
     return (
         marked.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(named, "doc_id", "left")

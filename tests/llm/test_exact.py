@@ -114,3 +114,16 @@ def test_repeated_rows_and_null_ids(spark):
     removed = sorted((r["doc_id"] or 0, r["n_removed"]) for r in repeats.remove_repeats(rows).collect())
     assert removed == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 0), (2, 80)]
     assert bpe.round_trip(rows, queries.BYTE_VOCABULARY).count() == 6
+
+
+def test_links_are_counted_once_each(spark):
+    """Few and many documents under one shingle: the links of every document, copies left out."""
+    common = [f"c{j}" for j in range(80)]
+    texts = [(i, " ".join([*common[: 60 + i % 4], f"own{i}", *common[60 + i % 4 :]])) for i in range(150)]
+    texts += [(1000 + i, " ".join([f"d{j}" for j in range(90)] + [f"t{i}"])) for i in range(5)]
+    sets = {}
+    for d, t in texts:
+        w = t.split()
+        sets[d] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = {(a, sum(100 * len(x & y) >= 90 * len(x | y) for b, y in sets.items() if b != a)) for a, x in sets.items()}
+    assert _set(jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "n_links") == want
