@@ -8,7 +8,7 @@
    of 25 words, of which every window of 50 words holds one, and the blocks of a shard of
    passages are compiled into an Aho-Corasick automaton.
 4. *Stream*: the documents that share windows with an owner stream through that owner's shard.
-   Each block found is extended word by word along the passage; 50 words or more are removed.
+   The windows around each block found are compared with the passages' own, each once.
 
 A passage in very many documents splits its shard's documents over several tasks.
 """
@@ -138,55 +138,51 @@ def _passages(owned: DataFrame, window: int) -> DataFrame:
 
 
 def compile_automaton(passages: list[list[str]], block: int = BLOCK):
-    """An Aho-Corasick automaton of the aligned blocks of all passages; a block names the places it stands at."""
+    """An Aho-Corasick automaton of the aligned blocks of all passages."""
     import ahocorasick
 
-    places: dict[str, list[tuple[int, int]]] = {}
-    for p, words in enumerate(passages):
-        for at in range(0, len(words) - block + 1, block):
-            places.setdefault(" " + " ".join(words[at : at + block]) + " ", []).append((p, at))
     automaton = ahocorasick.Automaton()
-    for key, where in places.items():
-        automaton.add_word(key, where)
+    for words in passages:
+        for at in range(0, len(words) - block + 1, block):
+            automaton.add_word(" " + " ".join(words[at : at + block]) + " ", True)
     automaton.make_automaton()
     return automaton
 
 
-def locate(automaton, passages: list[list[str]], owners: list[int], doc_id: int, words: list[str], window: int = WINDOW, block: int = BLOCK) -> list[tuple[int, int]]:
-    """Word ranges of a document that repeat ``window`` words or more of passages of smaller ids."""
-    line = " " + " ".join(words) + " "
-    edges = np.cumsum([0, *(len(w) + 1 for w in words)])  # where the blank before each word stands
+def _line(words: list[str]) -> tuple[str, list[int]]:
+    """The words between blanks, and where the blank before each word stands."""
+    return " " + " ".join(words) + " ", np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+
+
+def window_owners(passages: list[list[str]], owners: list[int], window: int = WINDOW) -> dict[str, int]:
+    """The smallest id that owns each window of the passages."""
+    out: dict[str, int] = {}
+    for words, owner in zip(passages, owners, strict=True):
+        line, edges = _line(words)
+        for at in range(len(words) - window + 1):
+            key = line[edges[at] : edges[at + window] + 1]
+            out[key] = min(owner, out.get(key, owner))
+    return out
+
+
+def locate(automaton, owned: dict[str, int], doc_id: int, words: list[str], window: int = WINDOW, block: int = BLOCK) -> list[tuple[int, int]]:
+    """Word ranges of a document covered by windows that smaller ids own.
+
+    Only windows around a block found are compared, and each once, however many passages hold the block.
+    """
+    line, edges = _line(words)
     out: list[tuple[int, int]] = []
-    reached: dict[tuple[int, int], int] = {}
-    low, high = list(range(len(words))), [0] * len(words)  # how far the ranges found over a word go
-    for end, where in automaton.iter(line):
-        at = int(np.searchsorted(edges, end)) - block
-        for p, place in where:
-            if owners[p] >= doc_id:
-                continue
-            theirs, shift = passages[p], place - at
-            if high[at]:  # it adds nothing unless it goes on past those ranges
-                a, b = low[at] - 1, high[at]
-                right = b < len(words) and b + shift < len(theirs) and words[b] == theirs[b + shift]
-                left = a >= 0 and a + shift >= 0 and words[a] == theirs[a + shift]
-                if not left and not right:
-                    continue
-            if reached.get((p, shift), -1) >= at + block:
-                continue
-            a, i = at, place
-            while a > 0 and i > 0 and words[a - 1] == theirs[i - 1]:
-                a, i = a - 1, i - 1
-            b, j = at + block, place + block
-            while b < len(words) and j < len(theirs) and words[b] == theirs[j]:
-                b, j = b + 1, j + 1
-            reached[p, shift] = b
-            if b - a >= window:
-                out.append((a, b))
-                for w in range(a, b):
-                    if low[w] > a:
-                        low[w] = a
-                    if high[w] < b:
-                        high[w] = b
+    place = np.array(edges)
+    unseen = 0
+    for end, _ in automaton.iter(line):
+        at = int(np.searchsorted(place, end)) - block
+        for start in range(max(unseen, at + block - window), min(at, len(words) - window) + 1):
+            if owned.get(line[edges[start] : edges[start + window] + 1], doc_id) < doc_id:
+                if out and start <= out[-1][1]:
+                    out[-1] = (out[-1][0], start + window)
+                else:
+                    out.append((start, start + window))
+        unseen = max(unseen, at + 1)
     return out
 
 
@@ -197,10 +193,10 @@ def _stream(shards: DataFrame, streams: DataFrame, window: int, block: int) -> D
         owners = left.column("owner").to_pylist()
         out: list[tuple[int, int, int, int]] = []
         if passages and right.num_rows:
-            automaton = compile_automaton(passages, block)
+            automaton, owned = compile_automaton(passages, block), window_owners(passages, owners, window)
             for doc_id, one, text in zip(*(right.column(c).to_pylist() for c in ("doc_id", "one", "text")), strict=True):
                 words = [w.decode() for w in text.encode().split()]
-                out += [(doc_id, one, a, b) for a, b in locate(automaton, passages, owners, doc_id, words, window, block)]
+                out += [(doc_id, one, a, b) for a, b in locate(automaton, owned, doc_id, words, window, block)]
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "one", "a", "b"), columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
 
