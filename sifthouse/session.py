@@ -15,6 +15,9 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+#: Whether the files of a query's shuffles go when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", name: str = "sifthouse") -> SparkSession:
     """A session for one machine; on a cluster the caller brings its own."""
@@ -53,11 +56,17 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a table in the shared folder and read it back.
 
     That cuts the lineage and outlives lost executors. The table is Parquet: its columns take
-    less room than checkpointed rows.
+    less room than checkpointed rows. Shuffles that led to it are needed no more once it is
+    written, so their files go then.
     """
-    path = f"{shared_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def default_parallelism(spark: SparkSession) -> int:
