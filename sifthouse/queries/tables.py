@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
-from ..operators import chunking, facets, folding, people, relations
+from ..operators import chunking, facets, folding, people, relations, selection
 from ..sources import readers
 from ..streaming import events as S
 from ..session import table
@@ -267,6 +267,29 @@ def source_quality(spark, d):
     return table(spark, d, "pages").select("page_id", T.source_quality(F.col("url")).alias("quality"))
 
 
+@query("""SELECT page_id, (50 + CASE WHEN url LIKE '%.gov/%' OR url LIKE '%.edu/%' THEN 25 ELSE 12 END
+  + CASE page_id % 4 WHEN 0 THEN 25 WHEN 1 THEN CASE WHEN length(html) > 100 THEN 20 ELSE 0 END + CASE WHEN page_id % 90 > 5 THEN least(15, (page_id % 90) // 5) ELSE 0 END WHEN 2 THEN 15 ELSE CASE WHEN length(html) > 200 THEN 10 ELSE 0 END END
+  + CASE WHEN regexp_matches(lower(url), 'gov|niti aayog|pib|nature|ieee|arxiv|science|reuters|bloomberg|isro') THEN 15 ELSE 0 END)::DOUBLE AS score FROM pages""")
+def source_priority(spark, d):
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("video", "paper", "report", "article"))), (F.col("page_id") % 4 + 1).cast("int"))
+    none = F.lit(None).cast("double")
+    score = selection.source_priority(F.lit(False), none, T.source_quality(F.col("url")), kind, F.col("html"), F.col("page_id") % 90, F.lit(True), F.lit(60), none.cast("string"), F.col("url"))
+    return table(spark, d, "pages").select("page_id", score.alias("score"))
+
+
+@query("""WITH w AS (SELECT p_partkey, p_name, lower(p_type) AS b, 1 - (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) / count(*) OVER (PARTITION BY p_brand)::DOUBLE AS native FROM part),
+k AS (SELECT p_partkey, native, least(1.0::DOUBLE, (CASE WHEN regexp_matches(p_name, '\\bsmall') THEN 1.0::DOUBLE WHEN regexp_matches(b, '\\bsmall') THEN 0.6::DOUBLE ELSE 0 END
+  + CASE WHEN regexp_matches(p_name, '\\bwidget') THEN 1.0::DOUBLE WHEN regexp_matches(b, '\\bwidget') THEN 0.6::DOUBLE ELSE 0 END) / 2 + CASE WHEN contains(p_name, 'small widget') THEN 0.15::DOUBLE ELSE 0 END) AS kw FROM w),
+r AS (SELECT p_partkey, round(least(0.99::DOUBLE, CASE WHEN kw > 0 THEN 0.25::DOUBLE + 0.4::DOUBLE * kw + 0.1::DOUBLE * native ELSE 0.1::DOUBLE * native END), 4) AS score FROM k) SELECT * FROM r WHERE score >= 0.15""")
+def catalog_rank(spark, d):
+    w = Window.partitionBy("p_brand")
+    native = 1 - (F.row_number().over(w.orderBy("p_partkey")) - 1) / F.count("*").over(w)
+    none = F.lit(None).cast("double")
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_type", native.alias("native"))
+    keywords = selection.catalog_keywords(["small", "widget"], T.tokens(F.col("p_name")), T.tokens(F.col("p_type")))
+    return rows.select("p_partkey", selection.catalog_score(keywords, F.col("native"), none, none).alias("score")).filter("score >= 0.15")
+
+
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS title, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key FROM part")
 def norm_title(spark, d):
     return table(spark, d, "part").select("p_partkey", T.norm_title(F.col("p_name")).alias("title"), T.title_key(F.col("p_name")).alias("key"))
