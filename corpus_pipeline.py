@@ -18,8 +18,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
-    return jaccard.keep_one(docs)
+    """The document of the smallest id of each group of near copies: at least 0.8 of their five-word shingles are shared."""
+    return jaccard.keep_one(docs, k=5, percent=80)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,33 @@ def test_stages_follow_each_other(spark, docs):
     here = stages["bpe"](spark, here, SF)
     got = {tuple(r) for r in here.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
     assert got == brute.round_trips(texts, open_tokenizer(BYTE_VOCABULARY))
+
+
+def test_near_copies_of_five_words_and_four_fifths_go(spark):
+    """A copy with an added passage, one with scattered changes, and one just under the limit, beside the plain version."""
+    own = [[f"d{i}w{j}" for j in range(200)] for i in range(3)]
+    longer = own[0] + [f"added{j}" for j in range(34)]
+    changed = [f"new{j}" if j in (40, 80, 120, 160) else w for j, w in enumerate(own[1])]
+    under = own[2] + [f"more{j}" for j in range(60)]
+    texts = [(i, " ".join(w)) for i, w in enumerate([*own, longer, changed, under])]
+    kept = corpus_pipeline.remove_near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), SF)
+    left = {r["doc_id"] for r in kept.collect()}
+    assert left == {c for _, _, c in brute.near_components(texts, 5, 80)} == {0, 1, 2, 5}
+    assert {c for _, _, c in brute.near_components(texts)} == {0, 1, 2, 3, 4, 5}
+
+
+def test_later_stages_beside_plain_versions(spark, docs, rows):
+    """Near copies at five words and 0.8, and the stages after them, from all documents."""
+    stages, texts = dict(corpus_pipeline.STAGES), dict(rows)
+    here = stages["ngram_jaccard_join"](spark, docs, SF)
+    left = {r["doc_id"] for r in here.collect()}
+    assert left == {c for _, _, c in brute.near_components(rows, 5, 80)} != {c for _, _, c in brute.near_components(rows)}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    here = stages["benchmark_decontamination"](spark, here, SF)
+    bad = {r[0] for r in brute.contamination([(d, texts[d]) for d in left], items) if r[-1]}
+    assert {r["doc_id"] for r in here.collect()} == left - bad
+    here = stages["pii"](spark, here, SF)
+    clean = [(r["doc_id"], r["text"]) for r in here.collect()]
+    assert {d for d, _ in clean} == left - bad
+    got = {tuple(r) for r in stages["bpe"](spark, here, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    assert got == brute.round_trips(clean, open_tokenizer(BYTE_VOCABULARY))
