@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type, format, script and gender.
 
 Entities: e-mail addresses, phone numbers, IPv4 addresses, payment cards, account keys, secrets
-behind ``password``/``token``/``key`` signs, and names behind an honorific. A surrogate is a keyed
+behind ``password``/``token``/``key`` signs up to their end, and all words of names behind an honorific,
+here and wherever else the same text repeats them; particles such as "van der" stay. A surrogate is a keyed
 permutation of the entity's own letters and digits within its format, so equal entities get equal
 surrogates everywhere (coreference) and different ones different surrogates; names are drawn from
 pools by gender and script and continued by syllables. All surrogates of a corpus are then checked
@@ -43,18 +44,45 @@ SYLLABLES = {
     "cyrillic": ["ба", "де", "ви", "го", "ку", "ла", "ме", "ни", "ро", "су", "та", "зе", "фи", "жо", "ша", "ри"],
     "greek": ["βα", "δε", "φι", "γο", "κου", "λα", "με", "νι", "ρο", "σα", "τε", "ζι", "πο", "θα", "χε", "ρι"],
 }
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 # End of fixed values.
 
 _GENDER = {h: g for g, words in HONORIFICS.items() for h in words}
-_NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+|[А-ЯЁ][а-яё-]+|[Ά-Ϋ][ά-ώ]+"
+#: Small words between the words of a name.
+_PARTICLE = r"(?:(?:van|von|vom|zu|de)(?:[  ](?:der|den|dem|la|las|le|los))?|del|della|di|da|dos|du|la|le|el|al|bin|ibn|ben|ter|ten|af|av|y)(?![\w'’])"
+
+
+def _capitals(*ranges: tuple[int, int]) -> str:
+    return "".join(chr(c) for a, b in ranges for c in range(a, b) if chr(c).isupper())
+
+
+_UPPER = f"[{_capitals((0x41, 0x250), (0x370, 0x530), (0x1E00, 0x2000))}]"
+_LETTER = r"[^\W\d_][̀-ͯ]*"
+#: A capital and at least one letter, parts behind hyphens and apostrophes, and a part of one letter before an apostrophe.
+_NAME = rf"(?:[A-Za-z]['’])?{_UPPER}[̀-ͯ]*(?:{_LETTER})+(?:['’-](?:{_LETTER})+)*"
+_INITIAL = rf"{_UPPER}\.?(?!\w)"
+_SEP = "[  ]"
+_PLAIN_TITLES = "|".join(sorted((h for h in _GENDER if h != "Don"), key=len, reverse=True))
+_TITLED = rf"(?:{_PLAIN_TITLES})\b\.?{_SEP}{_UPPER}"
+#: The first word of a name, and those that follow it.
+_PERSON = (
+    rf"(?:{_INITIAL}{_SEP}?){{0,3}}(?:{_PARTICLE}{_SEP}){{0,3}}(?!{_TITLED})(?:{_NAME})"
+    rf"(?:{_SEP}(?:{_INITIAL}{_SEP}?)*(?:{_PARTICLE}{_SEP}){{0,3}}(?!{_TITLED})(?:{_NAME}))*")
+#: Parts of a name, and words of a text that may repeat one.
+_PART = re.compile(rf"(?:{_LETTER})+")
+#: A value starts as keys do, or has four letters or digits. It ends at its quote, or else at a blank, a quote or a closing sign.
+_REST = r"[^\s\"'`<>,;&|)\]}]"
+_FOUR = lambda rest: rf"(?=(?:(?![A-Za-z0-9]){rest})*(?:[A-Za-z0-9](?:(?![A-Za-z0-9]){rest})*){{4}})"
+_QUOTED = "|".join(rf"(?<={q}){_FOUR(rest)}{rest}{{6,}}(?={q})" for q, rest in (('"', r"[^\"\n]"), ("'", r"[^'\n]")))
+_VALUE = rf"(?:{_QUOTED}|(?:(?={_REST}*[A-Za-z0-9])[A-Za-z0-9_+/-]{{6}}|{_FOUR(_REST)}{_REST}{{6}}){_REST}*(?<![.:!?]))"
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,6}[A-Za-z]{2,24})"
     r"|(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)"
-    r"|(?P<secret>(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9_+/-]{6,200}))"
+    rf"|(?P<secret>(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b\s{{0,3}}[=:]\s{{0,3}}[\"']?)(?P<value>{_VALUE}))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    rf"|(?P<title>\b(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})\b\.?[  ])(?P<name>(?:{_NAME})(?:[  ](?:{_NAME}))?)"
+    rf"|(?P<title>\b(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})\b\.?{_SEP}(?:(?:{'|'.join(HONORIFICS['n'])})\b\.?{_SEP})*)(?P<name>{_PERSON})"
 )
 #: A text without any of these holds no entity.
 _HINT = re.compile(rf"[@\d]|(?i:passw|pwd|token|secret|api_?key)|\b(?:{'|'.join(_GENDER)})\b")
@@ -73,32 +101,65 @@ def script_of(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
+def _name_parts(name: str, at: int) -> Iterator[tuple[int, int, bool]]:
+    """``(begin, end, initial)`` of the parts of a name that are replaced: not particles, nor short ends behind an apostrophe."""
+    for m in _PART.finditer(name):
+        part, before, after = m[0], name[: m.start()], name[m.end() : m.end() + 1]
+        if len(part) == 1:
+            if part.isupper() and after not in ("'", "’"):
+                yield at + m.start(), at + m.end(), True
+        elif not (part[0].islower() and (not before or before[-1] in "  " or (before[-1] in "'’" and len(part) < 3))):
+            yield at + m.start(), at + m.end(), False
+
+
 def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
     """``(begin, end, kind, value)`` of each entity, in order. ``value`` is the same for all spellings of an entity."""
     if not text or not _HINT.search(text):
         return
+    found, names = [], {}
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
         if m["email"]:
-            yield m.start(), m.end(), "email", m["email"].lower()
+            found.append((m.start(), m.end(), "email", m["email"].lower()))
         elif m["key"]:
-            yield m.start(), m.end(), "key", m["key"]
+            found.append((m.start(), m.end(), "key", m["key"]))
         elif m["secret"]:
-            yield m.start("value"), m.end("value"), "secret", m["value"]
+            found.append((m.start("value"), m.end("value"), "secret", m["value"]))
         elif m["ip"]:
-            yield m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m["ip"].split("."))
+            found.append((m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m["ip"].split("."))))
         elif m["phone"]:
-            yield m.start(), m.end(), "phone", re.sub(r"\D", "", m["phone"])
+            found.append((m.start(), m.end(), "phone", re.sub(r"\D", "", m["phone"])))
         elif m["card"]:
-            yield m.start(), m.end(), "card", re.sub(r"\D", "", m["card"])
+            found.append((m.start(), m.end(), "card", re.sub(r"\D", "", m["card"])))
         elif kind:
-            gender = _GENDER[m["title"].strip("  .")]
-            at = m.start("name")
-            words = re.split("[  ]", m["name"])
-            for i, word in enumerate(words):
-                role = gender if i == 0 and len(words) > 1 else "n"
-                yield at, at + len(word), f"name-{role}-{script_of(word)}", word.lower()
-                at += len(word) + 1
+            gender = _GENDER[m["title"].split()[0].rstrip(".")]
+            parts = list(_name_parts(m["name"], m.start("name")))
+            several = sum(not initial for _, _, initial in parts) > 1
+            for i, (begin, end, initial) in enumerate(parts):
+                word = text[begin:end]
+                role = "i" if initial else gender if i == 0 and several else "n"
+                found.append((begin, end, f"name-{role}-{script_of(word)}", word.lower()))
+                if not initial:
+                    names.setdefault(word.lower(), found[-1][2])
+    if names:
+        found = _with_repeats(text, found, names)
+    yield from found
+
+
+def _with_repeats(text: str, found: list[tuple[int, int, str, str]], names: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """``found`` and the bare repeats of names: of the kind of the name before them, or of the first there is."""
+    out, at, last = [], 0, dict(names)
+    for entity in [*found, (len(text), len(text), "", "")]:
+        for m in _PART.finditer(text, at, entity[0]):
+            if m[0][0].isupper() and m[0].lower() in names:
+                around = text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]
+                if not any(c.isdigit() or c == "_" for c in around):
+                    out.append((m.start(), m.end(), last[m[0].lower()], m[0].lower()))
+        out.append(entity)
+        at = entity[1]
+        if entity[3] in names and entity[2].startswith("name"):
+            last[entity[3]] = entity[2]
+    return out[:-1]
 
 
 class Surrogates:
@@ -174,6 +235,9 @@ class Surrogates:
             return first + self.permute(rest, "0123456789", tweak + first)
         if kind.startswith("name"):
             _, gender, script = kind.split("-")
+            if gender == "i":  # another letter; too few to be redrawn
+                letters = ALPHABETS[script]
+                return letters[(letters.find(value) + 1 + self._number(kind) % (len(letters) - 1)) % len(letters)]
             pool = NAMES[script, gender]
             number = self._number(tweak, value)
             name = pool[number % len(pool)].lower()
@@ -191,19 +255,19 @@ def spelled(original: str, surrogate: str, kind: str) -> str:
         digits = iter(surrogate)
         return "".join(next(digits) if c.isdigit() else c for c in original)
     if kind.startswith("name"):
-        return surrogate.upper() if original.isupper() and len(original) > 1 else surrogate[0].upper() + surrogate[1:] if original[0].isupper() else surrogate
+        return surrogate.upper() if original.isupper() else surrogate[0].upper() + surrogate[1:] if original[0].isupper() else surrogate
     if kind == "email" and original != original.lower():
         return surrogate.upper() if original.isupper() else surrogate
     return surrogate
 
 
 def found_entities(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, value`` of every entity, once for each text."""
+    """``doc_id, kind, value`` of every entity but initials, once for each text."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows += [(doc_id, kind, value) for kind, value in {(k, v) for _, _, k, v in entities(text)}]
+                rows += [(doc_id, kind, value) for kind, value in {(k, v) for _, _, k, v in entities(text) if not k.startswith("name-i-")}]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "kind", "value"])
 

@@ -77,6 +77,49 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "nothing here"
 
 
+LONG = "".join("aB3xY9kQ"[i % 8] for i in range(300))
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+#: Texts, and their personal data as marked by hand.
+MARKED = [
+    ("Señora Maria Garcia Lopez left", ["Maria", "Garcia", "Lopez"]),
+    ("Mr John Fitzgerald Kennedy spoke", ["John", "Fitzgerald", "Kennedy"]),
+    ("Mr. John F. Kennedy spoke", ["John", "F", "Kennedy"]),
+    ("Mr J. R. Tolkien wrote", ["J", "R", "Tolkien"]),
+    ("Mme Anna van der Berg and Mr O'Brien", ["Anna", "Berg", "Brien"]),
+    ("Monsieur Jean-Luc Picard, Mr McDonald, Herr Dvořák", ["Jean", "Luc", "Picard", "McDonald", "Dvořák"]),
+    ("Frau Prof. Dr. Anna Meyer-Schmidt", ["Anna", "Meyer", "Schmidt"]),
+    ("Meyer came. Mrs Clara Meyer sat. Later Clara and MEYER's dog, not meyerish Meyerhof, met Mr Smith's son. Smith left", ["Meyer", "Clara", "Meyer", "Clara", "MEYER", "Smith", "Smith"]),
+    ("Господин Иван Петрович Сидоров и Сидоров", ["Иван", "Петрович", "Сидоров", "Сидоров"]),
+    (f"token={LONG} end", [LONG]),
+    (f'token = "{JWT}" end', [JWT]),
+    (f"secret: {JWT}. End", [JWT]),
+    ("pwd=P@ssw0rd$2024x, next; password: ******** and ------", ["P@ssw0rd$2024x"]),
+    ('password = "correct horse; battery" and more "words"', ["correct horse; battery"]),
+    ("Señor Ortega y Gasset, Frau von der Leyen, sah Herr Meyer den Hund", ["Ortega", "Gasset", "Leyen", "Meyer"]),
+    ("key is unset, password: ------", []),
+]
+
+
+@pytest.mark.parametrize("text, marked", MARKED)
+def test_entities_as_marked_by_hand(text, marked):
+    found = list(pii.entities(text))
+    assert [text[a:b] for a, b, _, _ in found] == marked
+    assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+
+
+def test_surrogates_of_whole_names_and_secrets(spark):
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in MARKED)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(docs).collect()}
+    for i, (text, marked) in enumerate(MARKED):
+        out = got[i]["text"]
+        assert got[i]["n_entities"] == len(marked)
+        assert not any(re.search(rf"(?<!\w){re.escape(m)}(?!\w)", out) for m in marked)
+        assert [k for _, _, k, _ in pii.entities(out)] == [k for _, _, k, _ in pii.entities(text)]
+        assert len({v for _, _, _, v in pii.entities(out)}) == len({m.lower() for m in marked})
+    assert not any(LONG[j : j + 20] in got[9]["text"] for j in range(280))
+    assert got[7]["text"].endswith(" left") and "meyerish Meyerhof" in got[7]["text"]
+
+
 def test_surrogates_are_distinct_and_none_is_an_entity(spark):
     numbers = [f"+1 212 555 {i:04d}" for i in range(400)]
     people = [f"Mrs {a}{b}a Zu{b}{a}" for a in ("Ka", "Lo", "Mi", "Ne") for b in ("ra", "se", "ti", "vo", "lu")]
