@@ -12,25 +12,42 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import text_column, with_fields
 
-# Notices and license texts as their authors publish them.
+# Notices, and license texts as their authors publish them. Names that end in -notice or -grant are of
+# pieces that stand alone, those in -text of whole texts whose header has the plain name.
+_GPL = (
+    "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by "
+    "the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version. "
+    "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details.")
+_AS_IS = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_BSD_END = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "all-rights-reserved": "All rights reserved.",
-    "MIT": (
+    "MIT-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    "ISC": (
+    "ISC-grant": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."),
     "Apache-2.0": (
@@ -38,16 +55,16 @@ TEMPLATES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License."),
-    "BSD-2-Clause": (
+    "BSD-2-Clause-grant": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
         "in the documentation and/or other materials provided with the distribution."),
-    "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
-        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    "GPL-2.0": _GPL.format(what="program", a=";", b=";", kind="", version="2"),
+    "GPL-3.0": _GPL.format(what="program", a=":", b=",", kind="", version="3"),
+    "LGPL-2.1": _GPL.format(what="library", a=";", b=";", kind="Lesser ", version="2.1"),
+    "LGPL-3.0": _GPL.format(what="program", a=":", b=",", kind="Lesser ", version="3"),
+    "AGPL-3.0": _GPL.format(what="program", a=":", b=",", kind="Affero ", version="3"),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/."),
@@ -55,6 +72,18 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+TEMPLATES["MIT"] = TEMPLATES["MIT-grant"] + _AS_IS
+TEMPLATES["ISC"] = TEMPLATES["ISC-grant"] + (
+    " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+TEMPLATES["BSD-3-Clause-grant"] = TEMPLATES["BSD-2-Clause-grant"] + (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission.")
+for _n in ("BSD-2-Clause", "BSD-3-Clause"):
+    TEMPLATES[_n] = TEMPLATES[f"{_n}-grant"] + _BSD_END
+TEMPLATES |= {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 # End of fixed values.
 
 #: Words are runs of ASCII letters and digits and of all bytes beyond ASCII, in small letters.
@@ -121,7 +150,10 @@ class Scanner:
         self.vocabulary = frozenset(w for _, words, _ in self.templates for w in words)
 
     def scan(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
-        """``(template, coverage, first word, end)``, the longest aligned first; spans inside a longer match are left out."""
+        """``(template, coverage, first word, end)``, the best first.
+
+        Of matches that align mostly the same words the best stays: the one of most words aligned, less those that its template or its span has besides.
+        """
         shared = self.vocabulary.intersection(words)
         found = []
         if not shared:
@@ -137,40 +169,61 @@ class Scanner:
                     if w in shared:
                         places.setdefault(w, []).append(i)
             found += self._match(name, template, count, words, places)
-        found.sort(key=lambda m: (-(m[4]), m[2], m[0]))
-        kept: list[tuple[str, float, int, int, int]] = []
-        for m in found:
-            if not any(k[2] <= m[2] and m[3] <= k[3] for k in kept):
-                kept.append(m)
-        return [m[:4] for m in kept]
-
-    def _match(self, name, template, count, words, places) -> Iterator[tuple[str, float, int, int, int]]:
+        score = lambda m: 3 * len(m[3]) - m[2] - (m[3][-1][0] + 1 - m[3][0][0])
+        found.sort(key=lambda m: (-score(m), -len(m[3]), m[3][0], m[0]))
+        used: set[int] = set()
+        kept = []
+        for name, cover, _, pairs in found:
+            mine = {i for i, _ in pairs}
+            if 2 * len(mine & used) <= len(mine):
+                used |= mine
+                kept.append((name, cover, pairs[0][0], pairs[-1][0] + 1))
+        return kept
+
+    def _match(self, name, template, count, words, places) -> Iterator[tuple[str, float, int, list[tuple[int, int]]]]:
         size = len(template)
         origins = sorted(at - i for i, w in enumerate(template) if count[w] == 1 for at in places.get(w, ()))
         slack = max(2, size // 4)
         # origins of one occurrence lie close together; a cluster needs the votes of half the unique words covered
         need = max(1, int(self.coverage * sum(1 for n in count.values() if n == 1)) // 2)
+
+        def aligned(low: int, high: int) -> list[tuple[int, int]]:
+            begin = max(low - slack, 0)
+            pairs = [(begin + i, j) for i, j in align(words[begin : high + size + slack], template)]
+            while pairs and pairs[-1][0] + 1 - pairs[0][0] > 2 * size:
+                pairs = pairs[1:] if pairs[1][0] - pairs[0][0] > pairs[-1][0] - pairs[-2][0] else pairs[:-1]
+            return pairs if len(pairs) >= self.coverage * size else []
+
+        clusters: list[tuple[int, int, int, list]] = []
         i = 0
-        done = -1
         while i < len(origins):
             j = i
             while j + 1 < len(origins) and origins[j + 1] - origins[j] <= slack and origins[j + 1] - origins[i] <= size:
                 j += 1
-            if j - i + 1 >= need:
-                begin, end = max(origins[i] - slack, done, 0), min(origins[j] + size + slack, len(words))
-                pairs = align(words[begin:end], template)
-                if len(pairs) >= self.coverage * size:
-                    first, last = begin + pairs[0][0], begin + pairs[-1][0] + 1
-                    if last - first <= 2 * size:
-                        yield name, len(pairs) / size, first, last, len(pairs)
-                        done = last
+            clusters.append((origins[i], origins[j], j - i + 1, aligned(origins[i], origins[j]) if j - i + 1 >= need else []))
             i = j + 1
+        # words put between parts of a template move the origins of the later parts by up to its size; a joined region holds one match at most
+        i = 0
+        while i < len(clusters):
+            j, votes, best = i, clusters[i][2], clusters[i][3]
+            while j + 1 < len(clusters) and clusters[j + 1][1] - clusters[i][0] <= size and not (best and clusters[j + 1][3]):
+                j += 1
+                votes, best = votes + clusters[j][2], best or clusters[j][3]
+            if j > i and votes >= need and len(best) < size:
+                wide = aligned(clusters[i][0], clusters[j][1])
+                best = wide if len(wide) > len(best) else best
+            if best:
+                yield name, len(best) / size, size, best
+            i += 1
+            while best and i < len(clusters) and clusters[i][0] + size <= best[-1][0] + 1 + slack:
+                i += 1
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
     """``docs`` with ``n_words`` and ``licenses``: an array of ``(license, coverage, first, end)`` in order of place, over each whole text.
 
     Null and empty texts have no licenses; a text that names a license twice lists it twice.
+    A match aligns ``coverage`` of a template within a span of up to twice its words.
     """
     base = docs.drop("n_words", "licenses")
     names = base.columns

@@ -185,6 +185,25 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_beside_their_rivals():
+    """Every template is found as itself, alone, twice, slightly changed, and with words put in its middle."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    names = lambda text: [m[0] for m in sorted(scanner.scan(licenses.words_of(text)), key=lambda m: m[2])]
+    for name, text in licenses.TEMPLATES.items():
+        assert names(f"before {text} after") == [name]
+        assert names(f"before {text} between {text} after") == [name, name]
+    bsd = licenses.TEMPLATES["BSD-3-Clause"].replace("the copyright holder nor", "the Example University of Somewhere nor")
+    assert names(bsd) == ["BSD-3-Clause"]
+    assert {"BSD-3-Clause", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GPL-2.0"} <= licenses.TEMPLATES.keys()
+    notice = [f"n{i}" for i in range(60)]
+    scanner = licenses.Scanner({"notice": " ".join(notice)})
+    found = scanner.scan(licenses.words_of(" ".join([*notice[:30], *(f"x{i}" for i in range(30)), *notice[30:]])))
+    assert found == [("notice", 1.0, 0, 90)]
+    thirds = [w for i in range(3) for w in [*notice[20 * i : 20 * i + 20], *(f"y{i}z{j}" for j in range(19))]]
+    assert scanner.scan(licenses.words_of(" ".join(thirds + notice))) == [("notice", 1.0, 117, 177), ("notice", 1.0, 0, 98)]
+    assert scanner.scan(licenses.words_of(" ".join(notice + thirds))) == [("notice", 1.0, 0, 60), ("notice", 1.0, 60, 158)]
+
+
 def test_alignment_is_increasing_and_equal():
     rng = np.random.default_rng(2)
     for _ in range(50):
