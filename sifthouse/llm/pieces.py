@@ -19,9 +19,8 @@ import re
 
 import numpy as np
 
-from .shared import _BYTE_CODES, _STEP, mix
+from .shared import SALTS, span_hashes
 
-_SECOND_CODES = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 #: White space of any kind but blank, tab and line ends, and format characters: such texts are not cut.
 _RARE = [*range(0x0B, 0x0D), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF]
 _RARE_SPACE = re.compile("[" + "".join(map(chr, _RARE)) + "]")
@@ -333,17 +332,7 @@ class Pieces:
         packed_first = count[self.start]
         self.size = np.diff(np.append(packed_first, count[-1]))
         self.bytes = b
-        packed = b[inside]
-        if len(self.start):
-            place = np.arange(len(packed)) - np.repeat(packed_first, self.size)
-            powers = np.full(int(self.size.max()), _STEP, np.uint64)
-            powers[0] = 1
-            weight = np.cumprod(powers)[place]
-            length = self.size.astype(np.uint64) * _STEP
-            self.key = mix(np.add.reduceat(_BYTE_CODES[packed] * weight, packed_first) ^ length)
-            self.check = mix(np.add.reduceat(_SECOND_CODES[packed] * weight, packed_first) + length)
-        else:
-            self.key = self.check = np.zeros(0, np.uint64)
+        self.key, self.check = span_hashes(b, self.start, self.size, SALTS)
 
     def text(self, i: int) -> str:
         return self.bytes[self.start[i] : self.start[i] + self.size[i]].tobytes().decode()

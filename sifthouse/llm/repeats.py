@@ -51,17 +51,6 @@ def _window_seeds(h: np.ndarray, first: np.ndarray, window: int, phrase: int) ->
     return start, least[start]
 
 
-def _window_hashes(h: np.ndarray, window: int) -> np.ndarray:
-    """Hash of each window's words by a running polynomial."""
-    step = np.uint64(0xD6E8FEB86659FD93)
-    inverse = np.uint64(pow(int(step), -1, 2**64))
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(len(h) - 1, 0), step, np.uint64)]))
-        back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(len(h) - window, 0), inverse, np.uint64)]))
-        summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)])])
-        return mix((summed[window:] - summed[:-window]) * back[: len(h) - window + 1])
-
-
 def sketch(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     """Per row: ``doc_id, n_words, one, two`` (hashes of the sequence), ``sha`` of its words joined by blanks, and its distinct ``seeds``."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +99,7 @@ def _recurring_windows(held: DataFrame, window: int, phrase: int) -> DataFrame:
                 at, seed, doc = at[keep], seed[keep], doc[keep]
                 ids = batch.column("doc_id").slice(start, stop - start).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(int64(_window_hashes(h, window)[at])), pa.array(int64(seed)), pa.array(ids[doc], pa.int64()), pa.array(at - words.first[doc], pa.int32())],
+                    [pa.array(int64(phrase_hashes(h, window)[at])), pa.array(int64(seed)), pa.array(ids[doc], pa.int64()), pa.array(at - words.first[doc], pa.int32())],
                     ["w", "seed", "doc_id", "at"])
 
     return held.select("doc_id", "text", "seeds").mapInArrow(run, "w long, seed long, doc_id long, at int")

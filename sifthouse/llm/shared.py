@@ -24,7 +24,6 @@ BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _rng = np.random.default_rng(20240117)
-_BYTE_CODES = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ODD = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -38,6 +37,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: What is left of eight bytes that are read where a span has fewer.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Salts of hashes that are independent of each other.
+SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+
+
+def span_hashes(b: np.ndarray, start: np.ndarray, size: np.ndarray, salts: tuple[int, ...] = SALTS[:1]) -> list[np.ndarray]:
+    """A 64-bit hash of each span of bytes for each salt.
+
+    Eight bytes at a time are mixed with their place in the span and the salt before they are
+    summed. As the mixing is not linear, no structure of a long span cancels out, and hashes
+    under two salts are independent.
+    """
+    if not len(start):
+        return [np.zeros(0, np.uint64) for _ in salts]
+    blocks = (size + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded.data, strides=(1,))[np.repeat(start, blocks) + 8 * place]
+    eight &= _MASKS[np.minimum(np.repeat(size, blocks) - 8 * place, 8)]
+    out = []
+    for salt in salts:
+        by_place = mix(np.arange(int(blocks.max()), dtype=np.uint64) * _STEP + np.uint64(salt))
+        out.append(mix(np.add.reduceat(mix(eight ^ by_place[place]), first) ^ (size.astype(np.uint64) * _STEP)))
+    return out
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as large_string without nulls: a null text is empty."""
     column = batch.column(name).cast(pa.large_string())
@@ -79,32 +106,32 @@ class Words:
         ends[:-1] &= ~inside[1:]
         tails = edges[1:][edges[1:] > 0] - 1
         ends[tails] = inside[tails]
-        self.bytes, self.inside = b, inside
+        self.bytes = b
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, edges)
 
     def hashes(self) -> np.ndarray:
-        size = self.end - self.start
-        if not len(size):
-            return np.zeros(0, np.uint64)
-        packed = self.bytes[self.inside]
-        first = np.cumsum(size) - size
-        place = np.arange(len(packed)) - np.repeat(first, size)
-        powers = np.full(int(size.max()), _STEP, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers)
-        summed = np.add.reduceat(_BYTE_CODES[packed] * powers[place], first)
-        return mix(summed ^ (size.astype(np.uint64) * _STEP))
+        return span_hashes(self.bytes, self.start, self.end - self.start)[0]
 
 
 def phrase_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the ``k`` words from each position on (of all but the last ``k - 1``)."""
-    n = max(len(words) - k + 1, 0)
-    out = np.zeros(n, np.uint64)
-    for j in range(k if n else 0):
-        out += words[j : j + n] * _ODD[j % 64] * (np.uint64(2 * (j // 64) + 1))
-    return mix(out)
+    """Hash of the ``k`` words from each position on (of all but the last ``k - 1``).
+
+    Phrases of 1, 2, 4, ... words are mixed from their halves, and the phrase from those that make up ``k``.
+    """
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, at, span, halves = np.full(n, k, np.uint64), 0, 1, words
+    while True:
+        if k & span:
+            out = mix(out * _ODD[0] + halves[at : at + n])
+            at += span
+        if at == k:
+            return out
+        halves = mix(halves[:-span] * _ODD[1] + halves[span:] * _ODD[2])
+        span *= 2
 
 
 def sequence_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

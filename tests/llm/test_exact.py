@@ -116,6 +116,43 @@ def test_repeated_rows_and_null_ids(spark):
     assert bpe.round_trip(rows, queries.BYTE_VOCABULARY).count() == 6
 
 
+def _thue_morse(n):
+    """A word of ``n`` letters and its complement: polynomial hashes modulo 2^64 can't tell them apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_of_one_structure_stay_apart(spark):
+    """Words of 1,024 and 4,096 bytes that differ in every letter, as single words and in windows."""
+    texts, number = [], 0
+    for n in (1024, 4096):
+        one, two = _thue_morse(n)
+        for word in (one, two):
+            number += 1
+            texts.append((number, word))
+            texts.append((100 + number, " ".join([word, *(f"w{number}x{i}" for i in range(3))])))
+            texts.append((200 + number, " ".join([*(f"v{i}" for i in range(25)), word, *(f"u{i}" for i in range(35))])))
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    assert _set(jaccard.near_duplicates(table), *NEAR) == brute.near_components(texts)
+    assert _set(repeats.remove_repeats(table), *KEPT) == brute.removed_windows(texts)
+    assert _set(bpe.round_trip(table, queries.BYTE_VOCABULARY), *TRIPS) == brute.round_trips(texts, open_tokenizer(queries.BYTE_VOCABULARY))
+
+
+def test_token_files_of_long_words(spark, tmp_path):
+    texts = [(i, w) for i, w in enumerate([*_thue_morse(1024), *_thue_morse(4096)])]
+    token_files.write_tokens(spark.createDataFrame(texts, "doc_id long, text string"), f"{tmp_path}/tokens", queries.WORD_VOCABULARY, queries.WORD_END)
+    assert _set(token_files.token_digests(spark, f"{tmp_path}/tokens"), *FILES) == brute.token_files(texts, open_tokenizer(queries.WORD_VOCABULARY))
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """An id with two texts joins the copies of both."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = spark.createDataFrame([(5, a), (5, b), (9, b), (10, b), (11, a), (12, b + " more"), (13, "other")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(rows).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == [(5, 58, 5, 0), (5, 58, 5, 1), (9, 58, 5, 1), (10, 58, 5, 1), (11, 58, 5, 0), (12, 59, 5, 1), (13, 1, 13, 0)]
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(rows).collect()) == [5, 5, 13]
+
+
 def test_links_are_counted_once_each(spark):
     """Few and many documents under one shingle: the links of every document, copies left out."""
     common = [f"c{j}" for j in range(80)]
