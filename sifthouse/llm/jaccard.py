@@ -8,8 +8,9 @@ the shared shingle leave to gain) and the suffix filter (counts of both sets in
 ranges, of which the summed differences bound the symmetric difference); each pair left is verified once.
 
 Shingles of few documents are joined with themselves. The documents of a shingle with many are
-dealt into cells of bounded size, in which pairs are filtered, verified and counted in place:
-no table ever holds the pairs of a large group.
+dealt into cells of bounded size, in which pairs are filtered, verified and counted in place: no
+table ever holds the pairs of a large group. Counting all links of a group of n different near
+copies takes n^2 comparisons, and as each two blocks of 512 meet, n^2 / 512 narrow rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
@@ -102,12 +104,15 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def shingle_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: ``doc_id, n_shingles``, two sums that name the set, its rarest shingles (``prefix``), and its counts in hash ranges (``profile``)."""
-    sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(docs, k).astype(np.float32))
+def rarity(sketch: np.ndarray) -> np.ndarray:
+    """The sketch's counts as a byte each, rare first: an order of eight steps for each doubling."""
+    return np.minimum(8 * np.log2(sketch + 1.0), 255).astype(np.uint8)
 
+
+def shingle_prefixes(docs: DataFrame, k: int, percent: int, order: Broadcast) -> DataFrame:
+    """Per row: ``doc_id, n_shingles``, two sums that name the set, its rarest shingles (``prefix``) by ``order`` (see ``rarity``), and its counts in hash ranges (``profile``)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        ranks = order.value
         for batch in batches:
             data, offsets = buffers(text_column(batch))
             for start, stop in chunks(offsets):
@@ -115,44 +120,51 @@ def shingle_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 n = np.diff(edges)
                 doc = np.repeat(np.arange(len(n)), n)
                 one, two = _sums(values, edges)
-                order = np.lexsort((values, counts[_bucket(values)], doc))
+                rare = np.lexsort((values, ranks[_bucket(values)], doc))
                 take = np.where(n > 0, prefix_length(n, percent), 0)
                 picked = np.repeat(edges[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())
                 ranges = np.bincount(doc * RANGES + ((values >> np.uint64(20)) % np.uint64(RANGES)).astype(np.int64), minlength=RANGES * len(n)).reshape(-1, RANGES)
                 profile = [r.tobytes() for r in np.minimum(ranges, 255).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(start, stop - start), pa.array(n, pa.int64()), pa.array(int64(one)), pa.array(int64(two)),
-                     list_array(int64(values[order][picked]), np.concatenate([[0], np.cumsum(take)]), pa.int64()), pa.array(profile, pa.binary())],
+                     list_array(int64(values[rare][picked]), np.concatenate([[0], np.cumsum(take)]), pa.int64()), pa.array(profile, pa.binary())],
                     ["doc_id", "n_shingles", "one", "two", "prefix", "profile"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, prefix array<long>, profile binary")
 
 
-def _split_tokens(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The prefix shingles of few documents (``cold``), and those of many (``hot``) with the hot ones ``before`` them in their prefix."""
-    tokens = folded.select("doc_id", "n_shingles", F.posexplode("prefix").alias("at", "g"))
-    many = tokens.groupBy("g").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("g")
-    own = tokens.join(many, "g").groupBy("doc_id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("at", "g"))).alias("own"))
-    hot = own.select("doc_id", "n_shingles", "own", F.posexplode("own").alias("place", "one")).select(
-        "doc_id", "n_shingles", "one.at", "one.g", F.slice("own.g", F.lit(1), F.col("place")).alias("before"))
-    return tokens.join(many, "g", "left_anti"), hot
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that sorts and merges: its sides grow with the corpus, so neither is broadcast, whatever its size here."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _split_tokens(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prefix shingles of few sets (``cold``), and those of many (``hot``) with the hot ones ``before`` them in their prefix."""
+    tokens = sets.select("sid", "n_shingles", F.posexplode("prefix").alias("at", "g"))
+    many = settle(tokens.groupBy("g").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("g"))
+    own = _joined(tokens, many, "g").groupBy("sid", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("at", "g"))).alias("own"))
+    hot = own.select("sid", "n_shingles", "own", F.posexplode("own").alias("place", "one")).select(
+        "sid", "n_shingles", "one.at", "one.g", F.slice("own.g", F.lit(1), F.col("place")).alias("before"))
+    return _joined(tokens, many, "g", "left_anti"), settle(hot)
 
 
-def candidate_pairs(folded: DataFrame, cold: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a < b`` under shingles of few documents that pass all filters, with the joined shingle ``g`` they are verified under.
+def candidate_pairs(sets: DataFrame, cold: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a < b`` of sets under shingles of few that pass all filters, with the joined shingle ``g`` they are verified under.
 
-    Pairs that share a shingle of many documents too are left to that shingle's cells.
+    Pairs that share a shingle of many sets too are left to that shingle's cells.
     """
-    a = cold.select("g", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("at").alias("pa"))
-    b = cold.select("g", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("at").alias("pb"))
+    a = cold.select("g", F.col("sid").alias("a"), F.col("n_shingles").alias("na"), F.col("at").alias("pa"))
+    b = cold.select("g", F.col("sid").alias("b"), F.col("n_shingles").alias("nb"), F.col("at").alias("pb"))
     # the least overlap of a similar pair: ceil(t (na + nb) / (1 + t))
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
     gain = F.lit(1) + F.least("pa", "pb") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (gain >= need)
-    pairs = a.join(b, "g").filter(near).groupBy("a", "b").agg(F.min("g").alias("g"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    heat = hot.groupBy("doc_id").agg(F.collect_set("g").alias("heat"))
-    profiles = folded.select("doc_id", "profile").dropDuplicates(["doc_id"]).join(heat, "doc_id", "left")
-    pairs = pairs.join(profiles.toDF("a", "fa", "ha"), "a").join(profiles.toDF("b", "fb", "hb"), "b")
+    pairs = _joined(a, b, "g").filter(near).groupBy("a", "b").agg(F.min(F.struct("g", "na", "nb")).alias("x")).select("a", "b", "x.*")
+    heat = hot.groupBy("sid").agg(F.collect_set("g").alias("heat"))
+    # of the sets, those in a pair
+    met = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    profiles = _joined(_joined(met, sets.select("sid", "profile"), "sid"), heat, "sid", "left")
+    pairs = _joined(_joined(pairs, profiles.toDF("a", "fa", "ha"), "a"), profiles.toDF("b", "fb", "hb"), "b")
     pairs = pairs.filter(~F.coalesce(F.arrays_overlap("ha", "hb"), F.lit(False))).select("a", "b", "g", "na", "nb", "fa", "fb")
 
     def suffix_filter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,19 +212,20 @@ def _cell_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return i[keep], j[keep]
 
 
-_CELL = "cell long, g long, lo int, hi int, block int, doc_id long, n_shingles long, at int, before array<long>, profile binary"
+_CELL = "cell long, g long, lo int, hi int, block int, sid long, n_shingles long, at int, before array<long>, profile binary"
 
 
-def hot_cells(folded: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
-    """Rows of the cells of shingles of many documents, without the documents that no other of their cell can be similar to.
+def hot_cells(sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """Rows of the cells of shingles of many sets, without the sets that no other of their cell can be similar to.
 
-    A shingle's documents are dealt into blocks of bounded size, and each two blocks make a cell.
+    A shingle's sets are dealt into blocks of bounded size, and each two blocks make a cell.
     """
     splits = hot.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCUMENTS)), F.ceil(F.sum("n_shingles") / F.lit(CELL_SHINGLES))).cast("int").alias("s"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
-    rows = hot.join(splits, "g").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    block = F.pmod(F.xxhash64("sid"), F.col("s")).cast("int")
+    rows = _joined(_joined(hot, splits, "g"), sets.select("sid", "profile"), "sid").withColumn("block", block)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = rows.join(folded.select("doc_id", "profile"), "doc_id").select(F.xxhash64("g", "lo", "hi").alias("cell"), "g", "lo", "hi", "block", "doc_id", "n_shingles", "at", "before", "profile")
+    rows = rows.select(F.xxhash64("g", "lo", "hi").alias("cell"), "g", "lo", "hi", "block", "sid", "n_shingles", "at", "before", "profile")
 
     def run(table: pa.Table) -> pa.Table:
         return table.take(pa.array(np.unique(np.concatenate(_cell_pairs(table, percent)))))
@@ -220,20 +233,19 @@ def hot_cells(folded: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("g", "lo", "hi").applyInArrow(run, _CELL)
 
 
-def cell_links(cells: DataFrame, docs: DataFrame, folded: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links within cells: ``src, dst`` that join each cell's linked documents, and rows of ``src, n`` with the links of each.
+def cell_links(cells: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links within cells: ``src, dst`` that join each cell's linked sets, and rows of ``src, n`` with the links of each.
 
-    Links are counted where they are verified, so a group of many near copies gives rows in
-    proportion to its documents.
+    Links are counted where they are verified, so a cell of many near copies gives rows in
+    proportion to its sets.
     """
-    wanted = cells.select("cell", "g", "doc_id").join(folded.select("doc_id", "one"), "doc_id")
-    held = _placed_sets(docs, wanted, k).select("g", "cell", F.col("a").alias("doc_id"), "shingles")
+    held = _placed_sets(docs, sets, cells.select("cell", "g", "sid"), k)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         src, dst, count = [], [], []
         if left.num_rows and right.num_rows:
-            ids = left.column("doc_id").to_numpy()
-            raw = dict(zip(right.column("doc_id").to_pylist(), right.column("shingles").to_pylist(), strict=True))
+            ids = left.column("sid").to_numpy()
+            raw = dict(zip(right.column("sid").to_pylist(), right.column("shingles").to_pylist(), strict=True))
             sets = [np.frombuffer(raw[d], np.uint64) for d in ids.tolist()]
             size = np.array([len(s) for s in sets])
             first = np.cumsum(size) - size
@@ -269,8 +281,8 @@ def cell_links(cells: DataFrame, docs: DataFrame, folded: DataFrame, k: int, per
     return cells.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(run, "src long, dst long, n long")
 
 
-def _placed_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``cell, g, a, shingles``: the whole set of each wanted ``(doc_id, one)``, from its text."""
+def _placed_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``cell, g, sid, shingles``: the whole set of each of ``wanted(cell, g, sid)``, from the text of a document that has it."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(text_column(batch))
@@ -282,27 +294,28 @@ def _placed_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                         continue  # another text of a repeated id
                     raw = values[edges[i] : edges[i + 1]].tobytes()
                     places = batch.column("places")[start + i].values
-                    cells, gs = places.field("cell"), places.field("g")
                     yield pa.RecordBatch.from_arrays(
-                        [cells, gs, pa.array([batch.column("doc_id")[start + i].as_py()] * len(cells), pa.int64()), pa.array([raw] * len(cells), pa.binary())], ["cell", "g", "a", "shingles"])
+                        [places.field("cell"), places.field("g"), pa.array([batch.column("sid")[start + i].as_py()] * len(places), pa.int64()), pa.array([raw] * len(places), pa.binary())],
+                        ["cell", "g", "sid", "shingles"])
 
-    held = docs.select("doc_id", "text").join(wanted.groupBy("doc_id", "one").agg(F.collect_list(F.struct("cell", "g")).alias("places")), "doc_id")
-    return held.select("doc_id", "text", "one", "places").mapInArrow(run, "cell long, g long, a long, shingles binary")
+    placed = wanted.groupBy("sid").agg(F.collect_list(F.struct("cell", "g")).alias("places"))
+    placed = _joined(placed, sets.select("sid", "doc_id", "one"), "sid")
+    return _joined(docs.select("doc_id", "text"), placed, "doc_id").select("sid", "text", "one", "places").mapInArrow(run, "cell long, g long, sid long, shingles binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, folded: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose sets are as similar as asked: ``src, dst``.
 
-    Pairs are gathered under their shingle; a shingle with many documents is split into cells by
+    Pairs are gathered under their shingle; a shingle with many sets is split into cells by
     hashes of both sides, so each cell holds a bounded number of shingles. A cell gets each of
     its sets once, made from the text as it is dealt out.
     """
     members = pairs.select("g", F.col("a").alias("d"), F.col("na").alias("n")).union(pairs.select("g", F.col("b").alias("d"), F.col("nb").alias("n"))).distinct()
     splits = members.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(CELL_SHINGLES)).cast("int").alias("s"))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("s"))
-    placed = pairs.join(splits, "g").select("a", "b", F.xxhash64("g", part("a"), part("b")).alias("cell"), F.col("g"))
-    wanted = placed.select("cell", "g", F.col("a").alias("doc_id")).union(placed.select("cell", "g", F.col("b").alias("doc_id"))).distinct()
-    held = _placed_sets(docs, wanted.join(folded.select("doc_id", "one"), "doc_id"), k).select("cell", "g", "a", F.lit(None).cast("long").alias("b"), "shingles")
+    placed = _joined(pairs, splits, "g").select("a", "b", F.xxhash64("g", part("a"), part("b")).alias("cell"), F.col("g"))
+    wanted = placed.select("cell", "g", F.col("a").alias("sid")).union(placed.select("cell", "g", F.col("b").alias("sid"))).distinct()
+    held = _placed_sets(docs, sets, wanted, k).select("cell", "g", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
     asked = placed.select("cell", "g", "a", "b", F.lit(None).cast("binary").alias("shingles"))
     parts = pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = held.union(asked).repartition(int(parts), "cell").sortWithinPartitions("cell", "g", F.col("b").asc_nulls_first(), "a")
@@ -334,41 +347,49 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, n_links``.
 
     Words are runs between blanks with A-Z lowered; a set holds the distinct ``k``-word shingles
-    (a shorter text: its whole sequence). Two documents link at 100 * intersection >= ``percent``
-    * union. Documents without words have an empty set and stand alone. ``n_links`` counts the
-    linked documents of other sets than its own; copies are not expanded into pairs. Rows that
-    repeat a ``doc_id`` share one component, that of any of their texts' copies and of the links
-    of one of their texts; a row without ``doc_id`` stands alone with a null component.
+    (a shorter text: its whole sequence). Two sets link at 100 * intersection >= ``percent``
+    * union. Rows without words (null, empty and blank texts) have an empty set and stand alone.
+    ``component_id`` is the smallest ``doc_id`` whose text is reached by links from the row's own;
+    ``n_links`` counts the linked sets other than its own: copies are not expanded into pairs.
+    Rows that repeat a ``doc_id`` are one document: its texts share a component, but each row has
+    the links of its own text. A row without ``doc_id`` stands alone with a null component and no links.
     """
     docs = docs.select("doc_id", "text")
-    marked = settle(shingle_prefixes(docs, k, percent))
+    order = docs.sparkSession.sparkContext.broadcast(rarity(shingle_sketch(docs, k)))
+    marked = settle(shingle_prefixes(docs, k, percent, order))
+    order.destroy()
     keys = ["n_shingles", "one", "two"]
-    full = marked.filter("n_shingles > 0 and doc_id is not null")
-    # the smallest id of each set, and one set of each id
-    folded = full.groupBy(*keys).agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min(F.struct(*keys)).alias("set"))
-    folded = settle(folded.select("doc_id", "set.*"))
-    kept = full.join(folded, ["doc_id", *keys], "left_semi").dropDuplicates(["doc_id"])
-    cold, hot = _split_tokens(kept)
-    hot = settle(hot)
-    pairs = settle(candidate_pairs(kept, cold, hot, percent))
-    cells = settle(hot_cells(kept, hot, percent))
-    links = settle(verify(pairs, docs, folded, k, percent).withColumn("n", F.lit(None).cast("long")).unionByName(
-        cell_links(cells, docs, folded, k, percent).withColumn("hot", F.lit(True)), allowMissingColumns=True))
-    # copies link to the document that stands for their set
-    heads = full.select("doc_id", *keys).distinct().join(folded.select(*keys, F.col("doc_id").alias("head")), keys)
-    copies = heads.filter("doc_id <> head").select(F.col("head").alias("src"), F.col("doc_id").alias("dst"))
-    parts = connected_components(links.filter("dst is not null").select("src", "dst").union(copies))
+    # equal sets are folded, under the smallest id that has them; once written, the number of a row stays its own
+    sets = marked.filter("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(
+        F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
+    sets = settle(sets.withColumn("sid", F.monotonically_increasing_id()))
+    cold, hot = _split_tokens(sets)
+    pairs = settle(candidate_pairs(sets, cold, hot, percent))
+    cells = settle(hot_cells(sets, hot, percent))
+    links = settle(verify(pairs, docs, sets, k, percent).withColumn("n", F.lit(None).cast("long")).unionByName(
+        cell_links(cells, docs, sets, k, percent).withColumn("hot", F.lit(True)), allowMissingColumns=True))
     counted = links.filter("hot is null").withColumn("n", F.lit(1))
-    degree = links.filter("n is not null").select(F.col("src").alias("head"), "n").union(counted.select("src", "n")).union(counted.select("dst", "n"))
-    degree = degree.groupBy("head").agg(F.sum("n").alias("n_links"))
-    named = heads.groupBy("doc_id").agg(F.min("head").alias("head")).join(degree, "head").select("doc_id", "n_links")
-    return (
-        marked.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(named, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    degree = links.filter("n is not null").select("src", "n").union(counted.select("src", "n")).union(counted.select(F.col("dst").alias("src"), "n"))
+    degree = degree.groupBy(F.col("src").alias("sid")).agg(F.sum("n").alias("n_links"))
+    rows = settle(_joined(marked.select("doc_id", *keys), sets.select(*keys, "sid"), keys, "left").select("doc_id", "n_shingles", "sid"))
+    held = rows.filter("doc_id is not null and sid is not null")
+    repeated = held.groupBy("doc_id").agg(F.min("sid").alias("src"), F.max("sid").alias("most")).filter("src < most").select("doc_id", "src")
+    repeated = _joined(held, repeated, "doc_id").filter("src <> sid").select("src", F.col("sid").alias("dst"))
+    parts = connected_components(links.filter("dst is not null").select("src", "dst").union(repeated)).withColumnRenamed("node", "sid")
+    parts = settle(_joined(sets.select("sid", "doc_id"), parts, "sid"))
+    least = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    parts = _joined(_joined(parts, least, "component").select("sid", "component_id"), degree, "sid", "left")
+    alone = _joined(sets.select("sid", "doc_id"), parts, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
+    known = F.col("doc_id").isNotNull()
+    return _joined(rows, alone, "sid", "left").select(
+        "doc_id", "n_shingles", F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of ``docs`` of which one document of each component, that of the smallest ``doc_id``, stays; columns are kept."""
+    """The rows of ``docs`` of which one document of each component, that of the smallest ``doc_id``, stays; columns are kept.
+
+    Rows without ``doc_id`` stay, and so do all rows that repeat an id that stays.
+    """
     gone = near_duplicates(docs, k, percent).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _joined(docs, gone, "doc_id", "left_anti").select(docs.columns)
