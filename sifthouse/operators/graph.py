@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import settle
+from ..session import discard, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before["n"]:
             break
-        current = settle(_small_star(_large_star(current)))
+        last, current = current, settle(_small_star(_large_star(current)))
+        discard(last)
         after = current.agg(*mark).first()
         if after == before:
             break

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one (gone at exit) where a local run leaves that unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sifthouse-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         where = _own["dir"] = "file://" + path
@@ -50,6 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own: dict[str, str] = {}
+#: Where settled tables stand.
+_places: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def _run_folder(spark: SparkSession) -> str:
+    """The folder of this process's settled tables, which goes when it ends."""
+    base = shared_dir(spark)
+    if base not in _own:
+        _own[base] = f"{base}/settled-{uuid.uuid4().hex}"
+
+        def clear(path: str = _own[base]) -> None:
+            with contextlib.suppress(Exception):  # the session may have ended before
+                remove_folder(spark, path)
+
+        atexit.register(clear)
+    return _own[base]
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -57,16 +83,26 @@ def settle(df: DataFrame) -> DataFrame:
 
     That cuts the lineage and outlives lost executors. The table is Parquet: its columns take
     less room than checkpointed rows. Shuffles that led to it are needed no more once it is
-    written, so their files go then.
+    written, so their files go then. ``discard`` removes it when nothing will read it again,
+    else it goes when the process ends.
     """
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{_run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _places[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove settled tables that no later job reads."""
+    for table in tables:
+        if path := _places.pop(table, None):
+            remove_folder(table.sparkSession, path)
 
 
 def default_parallelism(spark: SparkSession) -> int:
