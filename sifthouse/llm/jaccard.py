@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
-from ..session import settle
+from ..session import discard, settle
 from .pieces import gather
 from .shared import Words, buffers, chunks, int64, list_array, phrase_hashes, sequence_hashes, text_column
 
@@ -138,14 +138,14 @@ def _joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "
     return left.join(right.hint("merge"), on, how)
 
 
-def _split_tokens(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The prefix shingles of few sets (``cold``), and those of many (``hot``) with the hot ones ``before`` them in their prefix."""
+def _split_tokens(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The prefix shingles of few sets (``cold``), those of many (``hot``) with the hot ones ``before`` them in their prefix, and the list of the latter."""
     tokens = sets.select("sid", "n_shingles", F.posexplode("prefix").alias("at", "g"))
     many = settle(tokens.groupBy("g").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("g"))
     own = _joined(tokens, many, "g").groupBy("sid", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("at", "g"))).alias("own"))
     hot = own.select("sid", "n_shingles", "own", F.posexplode("own").alias("place", "one")).select(
         "sid", "n_shingles", "one.at", "one.g", F.slice("own.g", F.lit(1), F.col("place")).alias("before"))
-    return _joined(tokens, many, "g", "left_anti"), settle(hot)
+    return _joined(tokens, many, "g", "left_anti"), settle(hot), many
 
 
 def candidate_pairs(sets: DataFrame, cold: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
@@ -363,15 +363,17 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     sets = marked.filter("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(
         F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
     sets = settle(sets.withColumn("sid", F.monotonically_increasing_id()))
-    cold, hot = _split_tokens(sets)
+    cold, hot, many = _split_tokens(sets)
     pairs = settle(candidate_pairs(sets, cold, hot, percent))
     cells = settle(hot_cells(sets, hot, percent))
     links = settle(verify(pairs, docs, sets, k, percent).withColumn("n", F.lit(None).cast("long")).unionByName(
         cell_links(cells, docs, sets, k, percent).withColumn("hot", F.lit(True)), allowMissingColumns=True))
+    discard(many, hot, pairs, cells)
     counted = links.filter("hot is null").withColumn("n", F.lit(1))
     degree = links.filter("n is not null").select("src", "n").union(counted.select("src", "n")).union(counted.select(F.col("dst").alias("src"), "n"))
     degree = degree.groupBy(F.col("src").alias("sid")).agg(F.sum("n").alias("n_links"))
     rows = settle(_joined(marked.select("doc_id", *keys), sets.select(*keys, "sid"), keys, "left").select("doc_id", "n_shingles", "sid"))
+    discard(marked)
     held = rows.filter("doc_id is not null and sid is not null")
     repeated = held.groupBy("doc_id").agg(F.min("sid").alias("src"), F.max("sid").alias("most")).filter("src < most").select("doc_id", "src")
     repeated = _joined(held, repeated, "doc_id").filter("src <> sid").select("src", F.col("sid").alias("dst"))
