@@ -50,19 +50,20 @@ def span_hashes(b: np.ndarray, start: np.ndarray, size: np.ndarray, salts: tuple
     summed. As the mixing is not linear, no structure of a long span cancels out, and hashes
     under two salts are independent.
     """
-    if not len(start):
-        return [np.zeros(0, np.uint64) for _ in salts]
-    blocks = (size + 7) >> 3
-    first = np.cumsum(blocks) - blocks
-    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
     padded = np.concatenate([b, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(padded) - 7, "<u8", padded.data, strides=(1,))[np.repeat(start, blocks) + 8 * place]
-    eight &= _MASKS[np.minimum(np.repeat(size, blocks) - 8 * place, 8)]
-    out = []
-    for salt in salts:
-        by_place = mix(np.arange(int(blocks.max()), dtype=np.uint64) * _STEP + np.uint64(salt))
-        out.append(mix(np.add.reduceat(mix(eight ^ by_place[place]), first) ^ (size.astype(np.uint64) * _STEP)))
-    return out
+    eights = np.ndarray(len(padded) - 7, "<u8", padded.data, strides=(1,))
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in salts]
+    for at in range(0, len(start), 1 << 18):  # bounds the memory that a long text takes
+        begin, length = start[at : at + (1 << 18)], size[at : at + (1 << 18)]
+        blocks = (length + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        eight = eights[np.repeat(begin, blocks) + 8 * place]
+        eight &= _MASKS[np.minimum(np.repeat(length, blocks) - 8 * place, 8)]
+        for out, salt in zip(parts, salts, strict=True):
+            by_place = mix(np.arange(int(blocks.max()), dtype=np.uint64) * _STEP + np.uint64(salt))
+            out.append(mix(np.add.reduceat(mix(eight ^ by_place[place]), first) ^ (length.astype(np.uint64) * _STEP)))
+    return [np.concatenate(p) for p in parts]
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
@@ -156,3 +157,10 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with further fields behind its own."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def free_prefix(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(wanted.lower()) for c in df.columns):
+        wanted = "_" + wanted
+    return wanted
