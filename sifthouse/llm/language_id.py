@@ -22,6 +22,8 @@ from .shared import LOWER, buffers, chunks, mix, text_column, with_fields
 
 ORDER = 4
 UNDETERMINED = "und"
+#: Bytes that are coded together.
+SPAN_BYTES = 1 << 19
 
 
 def grams(b: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -80,10 +82,21 @@ class Model:
         return {"languages": self.languages, "trees": self.trees}
 
     def code_lengths(self, b: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Bits of each text under each language."""
+        """Bits of each text under each language; a long text is coded span by span, each after the bytes before it."""
         if not hasattr(self, "table"):
             self.table, self.costs = PieceTable(keep=1_000_000), np.zeros((1 << 14, len(self.trees)), np.float32)
-        codes = grams(b, edges)
+        out = np.zeros((len(edges) - 1, len(self.trees)))
+        for x in range(0, len(b), SPAN_BYTES):
+            y, before = min(x + SPAN_BYTES, len(b)), max(x - ORDER, 0)
+            codes = grams(b[before:y], np.clip(edges, before, y) - before)[x - before :]
+            number = self._numbers(codes)
+            text = np.repeat(np.arange(len(edges) - 1), np.diff(np.clip(edges, x, y)))
+            for i in range(len(self.trees)):
+                out[:, i] += np.bincount(text, self.costs[:, i][number], minlength=len(out))
+        return out
+
+    def _numbers(self, codes: np.ndarray) -> np.ndarray:
+        """Where the costs of each code stand; those of new ones are computed."""
         keys = mix(codes)
         number = self.table.find(keys, codes)
         missing = number < 0
@@ -97,30 +110,52 @@ class Model:
                 self.costs = np.concatenate([self.costs, np.zeros_like(self.costs)])
             self.costs[places] = np.stack([t.bits(new) for t in self.trees], axis=1)
             number = self.table.find(keys, codes)
-        out = np.zeros((len(edges) - 1, len(self.trees)))
-        for i in range(len(self.trees)):
-            summed = np.concatenate([[0.0], np.cumsum(self.costs[:, i][number], dtype=np.float64)])
-            out[:, i] = summed[edges[1:]] - summed[edges[:-1]]
-        return out
+        return number
+
+
+def _spans(text: bytes, most: int) -> bytes:
+    """All of a short text; of a longer one ten spans, evenly spread, that make up ``most`` bytes."""
+    if len(text) <= most:
+        return text
+    size = most // 10
+    return b"".join(text[i * (len(text) - size) // 9 :][:size] for i in range(10))
 
 
 def train(docs: DataFrame, per_language: int = 400, sample_bytes: int = 1_000_000) -> Model | None:
-    """Trees from at most ``sample_bytes`` of text, of about ``per_language`` documents chosen by a hash of their ids among the texts of up to a tenth of that, for each language of ``docs(doc_id, text, lang)``."""
-    known = docs.filter("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
-    share = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(per_language * 1_000_000) / F.col("n")).alias("limit"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    some = known.join(share, "lang").filter(place < F.col("limit")).filter(F.octet_length("text") <= sample_bytes // 10).select("lang", "doc_id", "text")
+    """Trees for every language of ``docs(doc_id, text, lang)``, or None where no text is labelled.
+
+    A language is learnt from at most ``sample_bytes`` of text: from about ``per_language`` rows,
+    chosen by a hash of id and text among all its rows, each of which gives at most a fortieth of
+    ``sample_bytes`` (of a longer text ten spans spread over it). Equal texts count once. A
+    language of which no row is chosen (that happens where few texts repeat very often) is learnt
+    from its row of least hash. Null and empty texts and null languages teach nothing.
+    """
+    known = docs.filter("lang is not null and text is not null and text <> ''").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each tree to be built
+    if not sizes:
+        return None
+    limits = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, per_language / n) * 2**53))))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [_spans(t.encode().translate(LOWER), sample_bytes // 40) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(parts, pa.binary())], ["lang", "h", "part"])
+
+    some = known.filter(F.pmod("h", F.lit(2**53)) < limits[F.col("lang")]).mapInArrow(run, "lang string, h long, part binary").distinct()
     texts: dict[str, list[bytes]] = {}
-    for row in sorted(some.collect(), key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"])):
+    for row in sorted(some.collect(), key=lambda r: (r["lang"], r["h"], r["part"])):
         mine = texts.setdefault(row["lang"], [])
         if sum(map(len, mine)) < sample_bytes:
-            mine.append(row["text"].encode().translate(LOWER))
+            mine.append(bytes(row["part"]))
+    if missing := sorted(sizes.keys() - texts.keys()):
+        least = known.filter(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.struct("h", "text")).alias("x")).select("lang", "x.h", "x.text")
+        texts.update({r["lang"]: [bytes(r["part"])] for r in least.mapInArrow(run, "lang string, h long, part binary").collect()})
     trees = []
     for language in sorted(texts):
         rows = texts[language]
         edges = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         trees.append(Tree(grams(np.frombuffer(b"".join(rows), np.uint8), edges)))
-    return Model(sorted(texts), trees) if trees else None
+    return Model(sorted(texts), trees)
 
 
 _LETTERS = np.array([chr(c).isalpha() if c < 128 else False for c in range(256)])
@@ -152,7 +187,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 share = np.exp2(np.maximum(least[:, None] - bits, -1000))
                 score = 1 / share.sum(axis=1)
                 best = bits.argmin(axis=1)
-                letters = np.concatenate([[0], np.cumsum(_LETTERS[b])])
+                letters = np.concatenate([[0], np.cumsum(_LETTERS[b], dtype=np.int32)])
                 plain = letters[edges[1:]] > letters[edges[:-1]]
                 for i in np.flatnonzero(~plain).tolist():
                     plain[i] = any(map(str.isalpha, raw[edges[i] : edges[i + 1]].decode()))
