@@ -1,26 +1,31 @@
 """Personal data replaced by keyed surrogates of the same type, format, script and gender.
 
-Entities: e-mail addresses, phone numbers, IPv4 addresses, payment cards, account keys, secrets
-behind ``password``/``token``/``key`` signs up to their end, and all words of names behind an honorific,
-here and wherever else the same text repeats them; particles such as "van der" stay. A surrogate is a keyed
+Entities: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards, bank accounts (IBAN),
+social security numbers, account keys, web tokens, private keys, secrets behind ``password``/``token``/``key``
+signs up to their end, and all words of names behind an honorific, here and wherever else the same text
+repeats them; particles such as "van der" stay. Texts are searched once: what is found is settled with them. A surrogate is a keyed
 permutation of the entity's own letters and digits within its format, so equal entities get equal
 surrogates everywhere (coreference) and different ones different surrogates; names are drawn from
-pools by gender and script and continued by syllables. All surrogates of a corpus are then checked
-against each other and against the entities found: any that coincide are drawn again, the
-smallest entity keeping its first, until none do. Only redrawn entities travel to their documents.
+pools by gender and script and continued by syllables. A name is one entity whatever stands before
+it; one that has more than one gender in the corpus is drawn from the pool of the only gender but
+"n" it has, or else of "n". All surrogates of a corpus are then checked against each other and
+against the entities found: any that coincide are drawn again, the smallest entity keeping its
+first, until none do. Only entities that a document can't draw by itself travel to the documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .shared import text_column, with_fields
+from .shared import free_prefix, with_fields
 
 # Honorifics by gender, and given and family names by script and gender.
 HONORIFICS = {
@@ -78,14 +83,21 @@ _VALUE = rf"(?:{_QUOTED}|(?:(?={_REST}*[A-Za-z0-9])[A-Za-z0-9_+/-]{{6}}|{_FOUR(_
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,6}[A-Za-z]{2,24})"
     r"|(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)"
+    r"|(?P<pem>(?<=-----BEGIN PRIVATE KEY-----)[A-Za-z0-9+/=\s]+|(?<=-----BEGIN RSA PRIVATE KEY-----)[A-Za-z0-9+/=\s]+|(?<=-----BEGIN EC PRIVATE KEY-----)[A-Za-z0-9+/=\s]+|(?<=-----BEGIN OPENSSH PRIVATE KEY-----)[A-Za-z0-9+/=\s]+)"
+    r"|(?P<token>\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|\bgh[pousr]_[A-Za-z0-9]{20,}|\bgithub_pat_[A-Za-z0-9_]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bsk_live_[A-Za-z0-9]{16,})"
     rf"|(?P<secret>(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b\s{{0,3}}[=:]\s{{0,3}}[\"']?)(?P<value>{_VALUE}))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:.])|(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?(?![\w:.]))"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))"
+    r"|(?P<ssn>(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     rf"|(?P<title>\b(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})\b\.?{_SEP}(?:(?:{'|'.join(HONORIFICS['n'])})\b\.?{_SEP})*)(?P<name>{_PERSON})"
 )
+#: What says of which kind a token is, and stays.
+_TOKEN_HEAD = re.compile("eyJ|gh[pousr]_|github_pat_|xox[abprs]-|sk_live_")
 #: A text without any of these holds no entity.
-_HINT = re.compile(rf"[@\d]|(?i:passw|pwd|token|secret|api_?key)|\b(?:{'|'.join(_GENDER)})\b")
+_HINT = re.compile(rf"[@\d]|-----BEGIN|(?i:passw|pwd|token|secret|api_?key)|\b(?:{'|'.join(_GENDER)})\b")
 
 
 def luhn(digits: str) -> bool:
@@ -96,6 +108,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(account: str) -> str:
+    """The two check digits of country and account: 98 less the remainder by 97 of their digits, letters counting from 10."""
+    digits = "".join(str(int(c, 36)) for c in account[4:] + account[:2] + "00")
+    return f"{98 - int(digits) % 97:02d}"
+
+
 def script_of(word: str) -> str:
     c = word[0]
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
@@ -125,6 +143,18 @@ def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
             found.append((m.start(), m.end(), "key", m["key"]))
         elif m["secret"]:
             found.append((m.start("value"), m.end("value"), "secret", m["value"]))
+        elif m["pem"] or m["token"]:
+            found.append((m.start(), m.end(), "secret", m[0]))
+        elif m["ipv6"]:
+            groups = m["ipv6"].split(":")
+            if len(groups) <= 8:
+                found.append((m.start(), m.end(), "ipv6", ipaddress.IPv6Address(m["ipv6"]).exploded))
+        elif m["iban"]:
+            account = m["iban"].replace(" ", "")
+            if account[2:4] == iban_check(account):
+                found.append((m.start(), m.end(), "iban", account))
+        elif m["ssn"]:
+            found.append((m.start(), m.end(), "ssn", m["ssn"]))
         elif m["ip"]:
             found.append((m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m["ip"].split("."))))
         elif m["phone"]:
@@ -214,7 +244,20 @@ class Surrogates:
         if kind == "email":
             local, domain = value.split("@")
             body, _, top = domain.rpartition(".")
-            return f"{self.format(local, f'{tweak}|{domain}')}@{self.format(body, tweak + '|domain')}.{top}"
+            more = "".join("abcdefghijklmnopqrstuvwxyz"[self._number(tweak, value, i) % 26] for i in range(attempt - 3))  # where all addresses of the format are taken
+            return f"{self.format(local, f'{tweak}|{domain}')}{more}@{self.format(body, tweak + '|domain')}.{top}"
+        if kind == "ipv6":
+            return ipaddress.IPv6Address(int(self.permute(f"{int(ipaddress.IPv6Address(value)):0128b}", "01", tweak), 2)).exploded
+        if kind == "iban":
+            account = value[:2] + "00" + self.format(value[4:], tweak + value[:2])
+            return account[:2] + iban_check(account) + account[4:]
+        if kind == "ssn":  # areas from 100 to 599 are left among themselves
+            fits = lambda s: s[0] in "12345" and s[3:5] != "00" and s[5:] != "0000"
+            digits = value.replace("-", "")
+            new = self.within(digits, "0123456789", tweak, fits) if fits(digits) else self.permute(digits, "0123456789", tweak)
+            return f"{new[:3]}-{new[3:5]}-{new[5:]}"
+        if kind == "secret" and (head := _TOKEN_HEAD.match(value)):
+            return head[0] + self.format(value[head.end() :], tweak + head[0])
         if kind == "secret" and re.fullmatch("[0-9a-f]+", value):
             return self.permute(value, "0123456789abcdef", tweak)
         if kind == "key":
@@ -239,7 +282,7 @@ class Surrogates:
                 letters = ALPHABETS[script]
                 return letters[(letters.find(value) + 1 + self._number(kind) % (len(letters) - 1)) % len(letters)]
             pool = NAMES[script, gender]
-            number = self._number(tweak, value)
+            number = self._number("name", attempt, value)  # of the name alone: gender and script choose the pool
             name = pool[number % len(pool)].lower()
             number //= len(pool)
             for _ in range(min(attempt, 6)):  # a name that is taken is continued
@@ -251,9 +294,9 @@ class Surrogates:
 
 def spelled(original: str, surrogate: str, kind: str) -> str:
     """The surrogate in the original's separators and letter case."""
-    if kind in ("phone", "card"):
-        digits = iter(surrogate)
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+    if kind in ("phone", "card", "iban"):
+        symbols = iter(surrogate)
+        return "".join(next(symbols) if c.isalnum() else c for c in original)
     if kind.startswith("name"):
         return surrogate.upper() if original.isupper() else surrogate[0].upper() + surrogate[1:] if original[0].isupper() else surrogate
     if kind == "email" and original != original.lower():
@@ -261,17 +304,23 @@ def spelled(original: str, surrogate: str, kind: str) -> str:
     return surrogate
 
 
-def found_entities(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, value`` of every entity but initials, once for each text."""
+def _family(kind: Column) -> Column:
+    """What an entity is beside its value: its kind, without the gender of a name."""
+    return F.when(kind.startswith("name-"), F.concat(F.lit("name-"), F.substring_index(kind, "-", -1))).otherwise(kind)
+
+
+def mark_entities(docs: DataFrame, row: str, spans: str) -> DataFrame:
+    """``docs`` with a number of each row and the ``entities`` of its text, settled: later passes search no text again."""
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    names = numbered.columns
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows += [(doc_id, kind, value) for kind, value in {(k, v) for _, _, k, v in entities(text) if not k.startswith("name-i-")}]
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "kind", "value"])
+            found = [[dict(zip("a b kind value".split(), e, strict=True)) for e in entities(t)] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, spans])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, kind string, value string")
+    return settle(numbered.mapInArrow(run, with_fields(numbered, f"`{spans}` array<struct<a:int,b:int,kind:string,value:string>>")))
 
 
 def _drawn(values: DataFrame, key: bytes) -> DataFrame:
@@ -280,18 +329,26 @@ def _drawn(values: DataFrame, key: bytes) -> DataFrame:
         for batch in batches:
             rows = [batch.column(c).to_pylist() for c in ("kind", "value", "attempt")]
             made = [draw(k, v, a) for k, v, a in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "value", "attempt")), pa.array(made, pa.string())], ["kind", "value", "attempt", "surrogate"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "value", "attempt", "mixed")), pa.array(made, pa.string())], ["kind", "value", "attempt", "mixed", "surrogate"])
 
-    return values.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, surrogate string")
+    return values.select("kind", "value", "attempt", "mixed").mapInArrow(run, "kind string, value string, attempt int, mixed boolean, surrogate string")
 
 
 def redrawn_entities(found: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
-    """``kind, value, attempt`` of the entities whose first surrogate coincides with another's, or with an entity of the corpus.
+    """``family, value, kind, attempt`` of the entities of ``found(kind, value)`` that a document can't draw by itself.
 
-    Each round redraws all but the smallest value of every coincidence.
+    These are the names of several genders, and the entities whose first surrogate coincides
+    with another's or with an entity of the corpus. Each round redraws all but the smallest
+    value of every coincidence. Initials aren't redrawn, as there are too few.
     """
-    family = F.substring_index("kind", "-", 1)
-    values = found.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
+    kind, family = F.col("kind"), F.substring_index("kind", "-", 1)
+    one = found.filter(~kind.startswith("name-i-")).groupBy(_family(kind).alias("family"), "value").agg(F.min("kind").alias("least"), F.max("kind").alias("most"), F.bool_or(kind.startswith("name-m-")).alias("m"))
+    # of kinds name-f, name-m and name-n: f and m, or all of them, make n
+    gender = F.when(F.col("least").startswith("name-f-"), F.when(F.col("m"), "n").otherwise("f")).otherwise("m")
+    mixed = F.col("least") < F.col("most")
+    values = one.select(
+        F.when(mixed, F.concat(F.lit("name-"), gender, F.lit("-"), F.substring_index("most", "-", -1))).otherwise(F.col("least")).alias("kind"),
+        "value", F.lit(0).alias("attempt"), mixed.alias("mixed"))
     drawn = settle(_drawn(values, key))
     for _ in range(rounds):
         shared = drawn.groupBy(family.alias("f"), "surrogate").agg(F.min(F.struct("value", "kind")).alias("keeps"), F.count("*").alias("n")).filter("n > 1")
@@ -299,47 +356,63 @@ def redrawn_entities(found: DataFrame, key: bytes, rounds: int = 40) -> DataFram
         clash = drawn.withColumn("f", family).join(shared.select("f", "surrogate", "keeps"), ["f", "surrogate"], "left")
         clash = clash.join(real.withColumn("real", F.lit(True)), ["f", "surrogate"], "left")
         again = (F.col("keeps").isNotNull() & (F.struct("value", "kind") != F.col("keeps"))) | F.col("real").isNotNull()
-        marked = settle(clash.select("kind", "value", "attempt", "surrogate", F.coalesce(again, F.lit(False)).alias("again")))
+        marked = settle(clash.select("kind", "value", "attempt", "mixed", "surrogate", F.coalesce(again, F.lit(False)).alias("again")))
         if marked.filter("again").isEmpty():
             break
         redo = _drawn(marked.filter("again").withColumn("attempt", F.col("attempt") + 1), key)
         drawn = settle(marked.filter("not again").drop("again").unionByName(redo))
     else:
         raise RuntimeError(f"surrogates still coincide after {rounds} rounds")
-    return drawn.filter("attempt > 0").select("kind", "value", "attempt")
+    return drawn.filter("attempt > 0 or mixed").select(_family(kind).alias("family"), "value", "kind", "attempt")
 
 
-def replace_pii(docs: DataFrame, key: bytes = b"sifthouse") -> DataFrame:
-    """``docs`` with entities in ``text`` replaced, ``n_entities`` (occurrences) and ``kinds`` (sorted, distinct).
+def replace_pii(docs: DataFrame, key: bytes | None = None, prefix: str = "") -> DataFrame:
+    """``docs`` with entities in ``text`` replaced, and ``n_entities`` (occurrences) and ``kinds`` (sorted, distinct) behind ``prefix``.
 
-    Null texts stay null, texts without entities stay as they are; other columns are kept. Rows
-    that repeat a ``doc_id`` or lack one are treated alike: surrogates depend on the entity only.
+    ``key`` decides the surrogates, and who has it can undo those of numbers and addresses. None
+    takes it from the session's ``spark.sifthouse.pii.key``, or draws a new one for this call
+    where that is unset. Null texts stay null, texts without entities stay as they are. Other
+    columns are kept, but those named as the new ones. Rows that repeat a ``doc_id`` or lack one
+    are treated as any others: surrogates depend on the corpus's entities only.
     """
-    base = docs.drop("n_entities", "kinds", "redrawn")
-    redrawn = redrawn_entities(found_entities(base), key)
-    if redrawn.isEmpty():
-        given = base.withColumn("redrawn", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+    if key is None:
+        given = docs.sparkSession.conf.get("spark.sifthouse.pii.key", None)
+        key = given.encode() if given else secrets.token_bytes(32)
+    counted, sorts = f"{prefix}n_entities", f"{prefix}kinds"
+    base = docs.drop(counted, sorts)
+    own = free_prefix(base, "pii_")
+    row, spans, redrawn = f"{own}row", f"{own}spans", f"{own}redrawn"
+    marked = mark_entities(base, row, spans)
+    held = marked.filter(F.size(spans) > 0)
+    found = held.select(F.col(row).alias("row"), F.explode(spans).alias("e")).select("row", "e.kind", "e.value").distinct()
+    again = redrawn_entities(found, key)
+    none = F.lit(None).cast("array<struct<kind:string,value:string,attempt:int,family:string>>")
+    if again.isEmpty():
+        given = marked.withColumn(redrawn, none)
     else:
-        per_doc = found_entities(base).filter("doc_id is not null").join(redrawn, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("redrawn"))
-        given = base.join(per_doc, "doc_id", "left").select(*base.columns, "redrawn")
-    schema = with_fields(base, "n_entities int, kinds array<string>")
+        travels = found.select("row", _family(F.col("kind")).alias("family"), "value").distinct().join(again, ["family", "value"])
+        per_row = travels.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("kind", "value", "attempt", "family")).alias(redrawn))
+        given = held.join(per_row, row, "left").select(*marked.columns, redrawn).unionByName(marked.filter(F.size(spans) == 0).withColumn(redrawn, none))
     names = base.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = Surrogates(key)
         for batch in batches:
             texts, counts, kinds = [], [], []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("redrawn").to_pylist(), strict=True):
-                attempts = {(r["kind"], r["value"]): r["attempt"] for r in own or ()}
+            for text, here, others in zip(*(batch.column(c).to_pylist() for c in ("text", spans, redrawn)), strict=True):
+                drawn = {(r["family"], r["value"]): (r["kind"], r["attempt"]) for r in others or ()}
                 parts, at, seen = [], 0, []
-                for begin, end, kind, value in entities(text):
-                    parts += [text[at:begin], spelled(text[begin:end], draw(kind, value, attempts.get((kind, value), 0)), kind)]
-                    at = end
+                for e in here:
+                    kind, value = e["kind"], e["value"]
+                    family = f"name-{kind.rpartition('-')[2]}" if kind.startswith("name-") and not kind.startswith("name-i-") else kind
+                    own_kind, attempt = drawn.get((family, value), (kind, 0))
+                    parts += [text[at : e["a"]], spelled(text[e["a"] : e["b"]], draw(own_kind, value, attempt), kind)]
+                    at = e["b"]
                     seen.append(kind.split("-")[0])
                 texts.append("".join([*parts, text[at:]]) if parts else text)
                 counts.append(len(seen))
                 kinds.append(sorted(set(seen)))
             columns = [pa.array(texts, batch.column("text").type) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(kinds, pa.list_(pa.string()))], [*names, "n_entities", "kinds"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(kinds, pa.list_(pa.string()))], [*names, counted, sorts])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, with_fields(base, f"`{counted}` int, `{sorts}` array<string>"))

@@ -33,6 +33,44 @@ def test_toxicity_of_odd_and_empty_tables(spark, odd, empty):
     assert by[2] == by[3] == by[4]  # none of them has a word
 
 
+def test_training_adds_to_the_preset_filters():
+    """Phrases that only a filter of two words can tell apart: the words of both kinds are the same."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(1_000):
+        words = rng.integers(100, 130, 12).astype(np.int32)
+        words[3:5], words[7:9] = ([7, 8], [9, 6]) if i % 2 else ([7, 6], [9, 8])
+        rows.append((np.stack([words, words + 1_000], axis=1), i // 2 % 2 if i % 100 == 99 else i % 2, "x"))
+    nets = {epochs: toxicity.fit(rows, epochs=epochs) for epochs in (0, 20)}
+    right = {e: np.mean([(n.scores(r[0], np.array([0, len(r[0])]))[0][0] >= 0.7) == i % 2 for i, r in enumerate(rows[::5])]) for e, n in nets.items()}
+    assert right[20] >= 0.95 > 0.7 >= right[0]
+
+
+def test_long_texts_score_as_their_parts_do(monkeypatch):
+    """A text longer than a span: the same outputs as in one piece."""
+    rng = np.random.default_rng(6)
+    words = lambda n: rng.integers(0, 1 << 16, (n, 2)).astype(np.int32)
+    net = toxicity.fit([(words(20), i % 2, "ab"[i % 2]) for i in range(100)], epochs=2)
+    first, text = np.array([0, 3, 3, 700, 1000]), words(1000)
+    whole, language = net.logits(text, first), net.guess(text, first)
+    monkeypatch.setattr(toxicity, "SPAN_WORDS", 37)
+    assert np.allclose(net.logits(text, first), whole, atol=1e-5) and (net.guess(text, first) == language).all()
+
+
+def test_languages_of_long_texts(spark, monkeypatch):
+    """A language of long texts only is learnt, and spans of a text sum to its whole code length."""
+    en, fr = "the quick brown fox jumps over the lazy dog and runs ", "le petit renard brun saute par dessus le chien paresseux "
+    docs = spark.createDataFrame([(i, fr * 4_000 if i % 2 else en * 3, "fr" if i % 2 else "en") for i in range(8)], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == ["en", "fr"]
+    assert {(r["lang"], r["lang_pred"]) for r in language_id.identify(docs, model).collect()} == {("en", "en"), ("fr", "fr")}
+    text = np.frombuffer((en + fr).encode() * 5, np.uint8)
+    edges = np.array([0, 7, 7, 300, len(text)])
+    whole = model.code_lengths(text, edges)
+    monkeypatch.setattr(language_id, "SPAN_BYTES", 11)
+    assert np.allclose(model.code_lengths(text, edges), whole)
+
+
 def test_languages_on_documents_kept_from_fitting(spark):
     lang = spark.read.parquet(f"{SF_LARGER}/documents.parquet").select("doc_id", "lang", "text")
     got = queries.op6_language_id(spark, SF_LARGER).join(lang, "doc_id").filter("held_out and lang is not null and length(text) >= 80").toPandas()
@@ -131,6 +169,61 @@ def test_surrogates_are_distinct_and_none_is_an_entity(spark):
     assert not made & before
 
 
+def test_surrogates_without_ids_and_of_one_name(spark):
+    """Rows without an id are redrawn as others are; a name is one entity behind any honorific."""
+    rows = [(1, "Mrs Maria Meyer"), (None, "Mrs Maria Meyer"), (1, "Mrs Maria Meyer"), (2, "Mrs Clara Meyer and Dr Clara Meyer"), (3, "Mr Clara Voss and Clara"), *((10 + i, f"Mr Karl Name{chr(97 + i)}x") for i in range(20))]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    got = [r["text"] for r in pii.replace_pii(docs, b"a key").orderBy("place").collect()]
+    before = {v for _, t in rows for _, _, _, v in pii.entities(t)}
+    assert not any(re.search(rf"(?i)(?<!\w){v}(?!\w)", t) for v in before for t in got)
+    marys = [t for (_, a), t in zip(rows, got) if a == "Mrs Maria Meyer"]
+    assert len(set(marys)) == 1
+    clara = re.fullmatch(r"Mrs (\w+) (\w+) and Dr (\w+) (\w+)", got[3]).groups()
+    assert clara[0] == clara[2] and clara[1] == clara[3] == marys[0].split()[-1]
+    assert re.fullmatch(rf"Mr {clara[0]} \w+ and {clara[0]}", got[4])
+    assert len({t.split()[-1] for t in got[5:]}) == 20
+
+
+def test_surrogates_need_a_key_of_their_own(spark):
+    """The same key gives the same surrogates; without one every call draws its own."""
+    docs = spark.createDataFrame([(1, "write to ann.lee@mail.example.com")], "doc_id long, text string")
+    text = lambda *key: pii.replace_pii(docs, *key).first()["text"]
+    assert text(b"a") == text(b"a") != text(b"b")
+    assert text() != text()
+
+
+def test_further_kinds_of_entities(spark):
+    texts = [
+        "SSN 123-45-6789.", "hosts 2001:db8::1 and fe80::1ff:fe23:4567:890a, at 12:30:45", "to GB82 WEST 1234 5698 7654 32 or DE89370400440532013000, not DE00370400440532013000",
+        f"bearer {JWT} and ghp_{'aB3' * 12}", "-----BEGIN RSA PRIVATE KEY-----\nMIIabc123+/=\n-----END RSA PRIVATE KEY-----"]
+    marked = [["123-45-6789"], ["2001:db8::1", "fe80::1ff:fe23:4567:890a"], ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"], [JWT, f"ghp_{'aB3' * 12}"], ["\nMIIabc123+/=\n"]]
+    assert [[t[a:b] for a, b, _, _ in pii.entities(t)] for t in texts] == marked
+    out = [r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for text, new, kinds in zip(texts, out, ([k for _, _, k, _ in pii.entities(t)] for t in texts), strict=True):
+        assert [k for _, _, k, _ in pii.entities(new)] == kinds and new != text
+    assert all(m not in new for ms, new in zip(marked, out, strict=True) for m in ms)
+
+
+def test_surrogates_where_a_format_is_full(spark):
+    """All addresses of one letter at one domain of one letter: some get a longer one."""
+    docs = spark.createDataFrame([(i, f"{chr(97 + i)}@{d}.org") for i in range(26) for d in "abcdefghijklmnopqrstuvwxyz"], "doc_id long, text string")
+    out = [r["text"] for r in pii.replace_pii(docs, b"k").collect()]
+    assert len(set(out)) == 26 * 26 and not set(out) & {r["text"] for r in docs.collect()}
+
+
+def test_columns_of_other_owners_stay(spark):
+    """Columns named as an operator's own, or as what it uses within: the values of the caller's under a prefix, or in a stage."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "Mrs Clara Meyer is here", 7.5, 3, [1], "r", "s", "en")], "doc_id long, text string, score double, n_words int, spans array<int>, redrawn string, pii_row string, lang string")
+    out = pii.replace_pii(docs, prefix="my_").first()
+    assert out["redrawn"] == "r" and out["pii_row"] == "s" and out["my_n_entities"] == 2
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert [tuple(r)[2:] for r in got.collect()] == [(7.5, 3, [1], "r", "s", "en")]
+
+
 def test_surrogates_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id")["text"]
     for r in queries.op7_pii_surrogates(spark, SF).collect():
