@@ -23,7 +23,7 @@ def test_stages_follow_each_other(spark, docs):
 
     here = stages["ngram_jaccard_join"](spark, here, SF)
     left = {r["doc_id"] for r in here.collect()}
-    assert here.columns == docs.columns and left == {c for _, _, c in brute.near_components(rows.items())}
+    assert here.columns == docs.columns and left == {c for _, _, c in brute.near_components(rows.items(), 5, 80)}
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     here = stages["benchmark_decontamination"](spark, here, SF)
