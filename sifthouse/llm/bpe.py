@@ -3,23 +3,23 @@
 The words of all documents are counted; the most frequent ones, up to a fixed number, are
 compiled on the driver into a minimal acyclic automaton whose arcs carry additive outputs, so
 that shared suffixes are stored once and the sum of outputs along a word is its place in the id
-table. The automaton is one file that Spark hands to every executor (a replaced executor fetches
-it again) and that workers map into memory. Words outside it are merged exactly by the
+table. The automaton is one file in the shared folder that Spark hands to every executor (a
+replaced executor fetches it again) and that workers map into memory. Words outside it are merged exactly by the
 vocabulary's ranks. Either way each distinct piece of text is encoded once per worker.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import settle, shared_dir
 from .pieces import _PLAIN, BatchEncoder, PieceTable, Pieces, encoder, gather, open_tokenizer, byte_symbols
 from .shared import buffers, chunks, text_column, with_fields
 
@@ -27,14 +27,14 @@ from .shared import buffers, chunks, text_column, with_fields
 class Lexicon:
     """A minimal acyclic transducer from words (bytes) to id sequences, as flat arrays in one file.
 
-    States keep their arcs in byte order in ``label``/``target``/``output`` from ``arcs[state]``
-    on; ``final`` says where words end. A word's number is the sum of outputs on its way, and
-    its ids are ``ids[begin[number]:begin[number + 1]]``.
+    Arcs stand in the order of their ``key``, the number of their state and their byte, with
+    ``target`` and ``output``; ``final`` says at which states words end. A word's number is the
+    sum of outputs on its way, and its ids are ``ids[begin[number]:begin[number + 1]]``.
     """
 
     def __init__(self, parts: list[np.ndarray]):
-        self.arcs, self.label, self.target, self.output, self.final, self.begin, self.ids = parts
-        self.root = len(self.arcs) - 2
+        self.key, self.target, self.output, self.final, self.begin, self.ids = parts
+        self.root = len(self.final) - 1
 
     @staticmethod
     def build(words: dict[bytes, bytes]) -> "Lexicon":
@@ -67,33 +67,32 @@ class Lexicon:
             before = word
         frozen.append((0, path[0][1]))
         count = []
-        arcs, label, target, output = [0], [], [], []
-        for final, out in frozen:
+        if len(frozen) >= 1 << 23:
+            raise ValueError("more states than a 32-bit arc key can name")
+        key, target, output = [], [], []
+        for number, (final, out) in enumerate(frozen):
             seen = final
             for byte, state in out:
-                label.append(byte)
+                key.append(number << 8 | byte)
                 target.append(state)
                 output.append(seen)
                 seen += count[state]
             count.append(seen)
-            arcs.append(len(label))
         sizes = np.array([len(words[w]) // 4 for w in ordered], np.int64)
         return Lexicon([
-            np.array(arcs, np.int32), np.array(label, np.int32), np.array(target, np.int32), np.array(output, np.int32),
+            np.array(key, np.int32), np.array(target, np.int32), np.array(output, np.int32),
             np.array([f for f, _ in frozen], np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32),
             np.frombuffer(b"".join(words[w] for w in ordered), "<i4").astype(np.int32)])
 
-    def save(self, path: str) -> None:
-        parts = [self.arcs, self.label, self.target, self.output, self.final, self.begin, self.ids]
-        with open(path, "wb") as f:
-            np.array([len(p) for p in parts], np.int64).tofile(f)
-            for p in parts:
-                p.astype(np.int32).tofile(f)
+    def to_bytes(self) -> bytes:
+        parts = [self.key, self.target, self.output, self.final, self.begin, self.ids]
+        return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(p.astype(np.int32).tobytes() for p in parts)
 
     @staticmethod
     def open(path: str) -> "Lexicon":
-        sizes = np.fromfile(path, np.int64, 7)
-        whole = np.memmap(path, np.int32, "r", offset=56)
+        """The automaton in a file, mapped into memory: workers of one machine share its pages."""
+        sizes = np.fromfile(path, np.int64, 6)
+        whole = np.memmap(path, np.int32, "r", offset=48)
         ends = np.cumsum(sizes)
         return Lexicon([whole[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)])
 
@@ -105,9 +104,8 @@ class Lexicon:
         size = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
         first = np.cumsum(size) - size
-        # one ordered key for every arc: its state and its byte
-        keys = self._keys()
-        here, total, alive = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64), np.flatnonzero(size > 0)
+        keys = self.key
+        here, total, alive = np.full(len(words), self.root, np.int32), np.zeros(len(words), np.int64), np.flatnonzero(size > 0)
         step = 0
         while len(alive):
             key = here[alive] << 8 | raw[first[alive] + step]
@@ -123,19 +121,13 @@ class Lexicon:
             alive = alive[~over]
         return out
 
-    def _keys(self) -> np.ndarray:
-        if not hasattr(self, "_ordered"):
-            state = np.repeat(np.arange(len(self.arcs) - 1, dtype=np.int64), np.diff(self.arcs))
-            self._ordered = state << 8 | self.label
-        return self._ordered
-
     def __call__(self, words: list[str]) -> list[bytes | None]:
         number = self.numbers([w.encode() for w in words])
         begin, ids = self.begin, self.ids
         return [ids[begin[n] : begin[n + 1]].astype("<i4").tobytes() if n >= 0 else None for n in number.tolist()]
 
 
-def _count_words(batches: Iterable[pa.RecordBatch], keep_blanks: bool, lower: bool, limit: int = 600_000) -> Iterator[pa.RecordBatch]:
+def _count_words(batches: Iterable[pa.RecordBatch], keep_blanks: bool, lower: bool, limit: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Letters-only words of a partition with their counts, in blocks of bounded size."""
     table = PieceTable(keep=limit)
     names: list[str] = []
@@ -171,28 +163,48 @@ def _count_words(batches: Iterable[pa.RecordBatch], keep_blanks: bool, lower: bo
         yield out()
 
 
-def frequent_words(docs: DataFrame, keep_blanks: bool, lower: bool, most: int, least: int = 2) -> DataFrame:
-    """The ``most`` frequent words of all documents (ties to the smaller word) that occur ``least`` times or more."""
+def frequent_words(docs: DataFrame, keep_blanks: bool, lower: bool, most: int, least: int = 2) -> list[str]:
+    """The frequent words of all documents, up to ``most``: all that occur more often than a limit, which is ``least`` times at least.
+
+    The limit comes from a histogram of counts in eighths of their doublings, which has some
+    five hundred rows at most, so no task sorts the words of the corpus.
+    """
     counted = docs.select("text").mapInArrow(lambda it: _count_words(it, keep_blanks, lower), "word string, n long")
-    totals = counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return totals.orderBy(F.desc("n"), "word").limit(most)
+    step = F.floor(F.log2("n") * 8).cast("int")
+    totals = settle(counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).withColumn("step", step))
+    limit, taken = None, 0
+    for row in totals.groupBy("step").count().orderBy(F.desc("step")).collect():
+        taken += row["count"]
+        if taken > most:
+            break
+        limit = row["step"]
+    if limit is None:
+        return []
+    return [r["word"] for r in totals.filter(F.col("step") >= limit).select("word").toLocalIterator()]
+
+
+def _shared_file(spark: SparkSession, name: str, content: bytes) -> str:
+    """A file in the shared folder, written once under a name that its content gives."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        draft = jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.{uuid.uuid4().hex}")
+        out = files.create(draft)
+        out.write(bytearray(content))
+        out.close()
+        files.rename(draft, path)
+    return path.toString()
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, keep_blanks: bool = True, lower: bool = False, most: int = 150_000) -> str:
-    """Count, compile and hand out the lexicon of ``docs``; its file name on every executor. ``most`` bounds its size."""
-    found = [r["word"] for r in frequent_words(docs, keep_blanks, lower, most).toLocalIterator()]
+    """Count, compile and hand out the lexicon of ``docs``; its file name on every executor. ``most`` bounds its words."""
+    found = frequent_words(docs, keep_blanks, lower, most)
     plain = BatchEncoder(vocabulary, keep_blanks, lower).plain
-    lexicon = Lexicon.build({w.encode(): ids for w, ids in zip(found, plain.encode_pieces(found), strict=True)})
+    content = Lexicon.build({w.encode(): ids for w, ids in zip(found, plain.encode_pieces(found), strict=True)}).to_bytes()
     # named by its content, so that the same lexicon is always the same file
-    folder = os.path.join(tempfile.gettempdir(), f"sifthouse-lexicons-{os.getuid()}")
-    os.makedirs(folder, exist_ok=True)
-    draft = tempfile.mkstemp(dir=folder)[1]
-    lexicon.save(draft)
-    with open(draft, "rb") as f:
-        name = "lexicon-" + hashlib.sha256(f.read()).hexdigest()[:24]
-    path = os.path.join(folder, name)
-    os.rename(draft, path)
-    docs.sparkSession.sparkContext.addFile(path)
+    name = "lexicon-" + hashlib.sha256(content).hexdigest()[:24]
+    docs.sparkSession.sparkContext.addFile(_shared_file(docs.sparkSession, name, content))
     return name
 
 

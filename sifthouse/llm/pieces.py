@@ -236,7 +236,7 @@ class PieceEncoder:
 class PieceTable:
     """Numbers distinct pieces by two hashes of their bytes, in numpy; begun anew beyond ``keep`` pieces."""
 
-    def __init__(self, keep: int = 1_500_000):
+    def __init__(self, keep: int = 300_000):
         self.keep = keep
         self.clear()
 
@@ -351,14 +351,14 @@ class BatchEncoder:
 
     def __init__(self, name: str, keep_blanks: bool, lower: bool, lookup=None):
         self.keep_blanks = keep_blanks
-        self.plain = PieceEncoder(name, leads if keep_blanks else words, lower, lookup, keep=200_000)
+        self.plain = PieceEncoder(name, leads if keep_blanks else words, lower, lookup, keep=50_000)
         self.table = PieceTable()
         self._reset()
 
     def _reset(self) -> None:
         self.table.clear()
-        self.ids, self.used = np.zeros(1 << 20, np.int32), 0
-        self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        self.ids, self.used = np.zeros(1 << 18, np.int32), 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def _learn(self, pieces: Pieces, at: np.ndarray) -> None:
         if self.table.size + len(at) > self.table.keep:

@@ -92,11 +92,11 @@ def test_round_trip(spark, rows, odd):
 def test_lexicon_finds_its_words_only(tmp_path):
     words = {w.encode(): bytes(4 * (1 + i % 3)) for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops", "é", "日本"])}
     lexicon = bpe.Lexicon.build(words)
-    lexicon.save(f"{tmp_path}/lexicon")
+    (tmp_path / "lexicon").write_bytes(lexicon.to_bytes())
     again = bpe.Lexicon.open(f"{tmp_path}/lexicon")
     assert again([w.decode() for w in words]) == list(words.values())
     assert again(["", "ta", "tapsx", "x", "sto"]) == [None] * 5
-    assert len(again.arcs) - 1 < sum(map(len, words))  # suffixes are shared
+    assert len(again.final) < sum(map(len, words))  # suffixes are shared
 
 
 @pytest.mark.parametrize("run", [
