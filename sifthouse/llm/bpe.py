@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle, shared_dir
-from .pieces import _PLAIN, BatchEncoder, PieceTable, Pieces, encoder, gather, open_tokenizer, byte_symbols
+from .pieces import BatchEncoder, PieceTable, Pieces, byte_symbols, encoder, gather, lowered, open_tokenizer
 from .shared import buffers, chunks, text_column, with_fields
 
 
@@ -96,16 +96,15 @@ class Lexicon:
         ends = np.cumsum(sizes)
         return Lexicon([whole[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)])
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Each word's number or -1; all words take a step together."""
-        out = np.full(len(words), -1, np.int64)
-        if not len(self.begin) - 1 or not words:
+    def numbers(self, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number or -1 of each word, whose bytes stand in ``raw`` one after another; all words take a step together."""
+        out = np.full(len(size), -1, np.int64)
+        if not len(self.begin) - 1 or not len(size):
             return out
-        size = np.array([len(w) for w in words], np.int64)
-        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+        raw = raw.astype(np.int32)
         first = np.cumsum(size) - size
         keys = self.key
-        here, total, alive = np.full(len(words), self.root, np.int32), np.zeros(len(words), np.int64), np.flatnonzero(size > 0)
+        here, total, alive = np.full(len(size), self.root, np.int32), np.zeros(len(size), np.int64), np.flatnonzero(size > 0)
         step = 0
         while len(alive):
             key = here[alive] << 8 | raw[first[alive] + step]
@@ -122,44 +121,45 @@ class Lexicon:
         return out
 
     def __call__(self, words: list[str]) -> list[bytes | None]:
-        number = self.numbers([w.encode() for w in words])
+        coded = [w.encode() for w in words]
+        number = self.numbers(np.frombuffer(b"".join(coded), np.uint8), np.array([len(w) for w in coded], np.int64))
         begin, ids = self.begin, self.ids
         return [ids[begin[n] : begin[n + 1]].astype("<i4").tobytes() if n >= 0 else None for n in number.tolist()]
 
 
-def _count_words(batches: Iterable[pa.RecordBatch], keep_blanks: bool, lower: bool, limit: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """Letters-only words of a partition with their counts, in blocks of bounded size."""
+def _count_words(batches: Iterable[pa.RecordBatch], keep_blanks: bool, lower: bool, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Plain words of a partition with their counts, in blocks of bounded size: a word may come more than once."""
     table = PieceTable(keep=limit)
-    names: list[str] = []
+    names: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
     counts = np.zeros(0, np.int64)
 
     def out() -> pa.RecordBatch:
-        total: dict[str, int] = {}
-        for name, n in zip(names, counts.tolist(), strict=True):
-            match = _PLAIN.fullmatch(name)
-            if match is not None:
-                stem = match.group(1).lower() if lower else match.group(1)
-                total[stem] = total.get(stem, 0) + n
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(np.concatenate(names)))
+        return pa.RecordBatch.from_arrays([words, pa.array(counts)], ["word", "n"])
 
     for batch in batches:
         data, offsets = buffers(text_column(batch))
         for start, stop in chunks(offsets):
             pieces = Pieces(data, offsets[start : stop + 1], keep_blanks)
-            number = table.find(pieces.key, pieces.check)
-            at = pieces.distinct(np.flatnonzero(number < 0))
+            plain = np.flatnonzero(pieces.plain)
+            number = table.find(pieces.key[plain], pieces.check[plain])
+            at = pieces.distinct(plain[number < 0])
             if table.size + len(at) > limit and table.size:
                 yield out()
                 table.clear()
-                names, counts = [], np.zeros(0, np.int64)
-                at = pieces.distinct(np.arange(len(pieces.key)))
+                names, sizes, counts = [], [], np.zeros(0, np.int64)
+                at = pieces.distinct(plain)
             if len(at):
                 table.add(pieces.key[at], pieces.check[at])
-                names += [pieces.text(i) for i in at.tolist()]
-                number = table.find(pieces.key, pieces.check)
+                raw = pieces.raw(at)
+                names.append(lowered(raw) if lower else raw)
+                sizes.append(pieces.size[at])
+                number = table.find(pieces.key[plain], pieces.check[plain])
             counts = np.concatenate([counts, np.zeros(table.size - len(counts), np.int64)])
             counts += np.bincount(number, minlength=table.size)
-    if names:
+    if table.size:
         yield out()
 
 

@@ -6,7 +6,7 @@ Two rules are used: ``words`` drops the blanks (for vocabularies that drop white
 A text with white space beyond blank, tab and line ends goes to the tokenizer whole, so the
 result is the tokenizer's own for every text.
 
-Most pieces are Latin letters with some punctuation behind them. Their letters are merged here,
+Most pieces are Latin letters with some marks behind them, which are parted. Letters are merged here,
 many words at once in numpy, by the vocabulary's own merge ranks; any other piece goes to the
 tokenizer.
 """
@@ -116,16 +116,14 @@ class Merger:
             open_ = open_[~hit & (there != -1)]
         return out
 
-    def __call__(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each piece, as little-endian 32-bit numbers."""
-        size = np.array([len(p) for p in pieces], np.int64)
-        if not len(size) or not size.sum():
-            return [b""] * len(pieces)
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
+    def __call__(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, whose bytes stand in ``raw`` one after another, and how many each has."""
+        if not size.sum():
+            return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
         last = np.cumsum(size) - 1
         token = self.inner[raw]
         token[last[size > 0]] = self.final[raw[last[size > 0]]]
-        word = np.repeat(np.arange(len(pieces)), size)
+        word = np.repeat(np.arange(len(size)), size)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(token):
             head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -145,9 +143,14 @@ class Merger:
             token, word = token[stay], word[stay]
         word = np.concatenate([w for w, _ in done])
         order = np.argsort(word, kind="stable")
-        flat = np.concatenate([t for _, t in done])[order].astype("<i4").tobytes()
-        ends = np.cumsum(np.bincount(word, minlength=len(pieces))) * 4
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return np.concatenate([t for _, t in done])[order].astype(np.int32), np.bincount(word, minlength=len(size))
+
+    def words(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as little-endian 32-bit numbers."""
+        flat, counts = self(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64))
+        ends = np.cumsum(counts) * 4
+        data = flat.astype("<i4").tobytes()
+        return [data[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 class PieceEncoder:
@@ -170,7 +173,7 @@ class PieceEncoder:
             found = self.lookup(stems)
             self.known.update((s, f) for s, f in zip(stems, found, strict=True) if f is not None)
             stems = [s for s, f in zip(stems, found, strict=True) if f is None]
-        self.known.update(zip(stems, self.merge([s.encode() for s in stems]), strict=True))
+        self.known.update(zip(stems, self.merge.words([s.encode() for s in stems]), strict=True))
 
     def learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > self.keep:
@@ -236,7 +239,7 @@ class PieceEncoder:
 class PieceTable:
     """Numbers distinct pieces by two hashes of their bytes, in numpy; begun anew beyond ``keep`` pieces."""
 
-    def __init__(self, keep: int = 300_000):
+    def __init__(self, keep: int = 600_000):
         self.keep = keep
         self.clear()
 
@@ -298,8 +301,23 @@ def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
+_LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
+_MARK = np.isin(np.arange(256), list(b"!#$%&()*+,./:;=?@^_~-"))
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII and Latin-1 letters in lower case."""
+    out = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+    out[1:] += ((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)).astype(np.uint8) * 32
+    return out
+
+
 class Pieces:
-    """Spans and hashes of the pieces of a few texts; ``odd`` marks the texts that must be cut by the slower rules."""
+    """Spans and hashes of the pieces of a few texts.
+
+    ``plain`` marks pieces of ASCII and Latin-1 letters, perhaps after a blank, of which the
+    marks behind them are parted; ``odd`` marks the texts that must be cut by the slower rules.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, keep_blanks: bool):
         base = int(offsets[0])
@@ -332,8 +350,33 @@ class Pieces:
         packed_first = count[self.start]
         self.size = np.diff(np.append(packed_first, count[-1]))
         self.bytes = b
+        self._part_marks(edges)
         self.key, self.check = span_hashes(b, self.start, self.size, SALTS)
 
+    def _part_marks(self, edges: np.ndarray) -> None:
+        b = self.bytes
+        letter = _LETTER[b]
+        two = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0xBF) & (b[1:] != 0x97) & (b[1:] != 0xB7)
+        letter[:-1] |= two
+        letter[1:] |= two
+        letters, marks = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (letter, _MARK[b]))
+        begin, end = self.start, self.start + self.size
+        first = begin + (b[begin] == 32) if len(begin) else begin
+        stem = first + letters[end] - letters[first]  # where the letters end if they all come first
+        self.plain = (stem > first) & (letters[stem] - letters[first] == stem - first) & (marks[end] - marks[stem] == end - stem) & (stem - begin <= 41)
+        cut = np.flatnonzero(self.plain & (stem < end))
+        if len(cut):
+            tail, rest = stem[cut], (end - stem)[cut]
+            self.size[cut] -= rest
+            self.start = np.insert(self.start, cut + 1, tail)
+            self.size = np.insert(self.size, cut + 1, rest)
+            self.plain = np.insert(self.plain, cut + 1, False)
+            self.first = np.searchsorted(self.start, edges)
+
+    def raw(self, at: np.ndarray) -> np.ndarray:
+        """The bytes of the pieces at ``at``, one after another."""
+        return self.bytes[gather(self.start[at], self.size[at])]
+
     def text(self, i: int) -> str:
         return self.bytes[self.start[i] : self.start[i] + self.size[i]].tobytes().decode()
 
@@ -350,7 +393,7 @@ class BatchEncoder:
     """Ids of whole Arrow columns: pieces are numbered by hash, and each distinct piece is encoded once per worker."""
 
     def __init__(self, name: str, keep_blanks: bool, lower: bool, lookup=None):
-        self.keep_blanks = keep_blanks
+        self.keep_blanks, self.lower, self.lookup = keep_blanks, lower, lookup
         self.plain = PieceEncoder(name, leads if keep_blanks else words, lower, lookup, keep=50_000)
         self.table = PieceTable()
         self._reset()
@@ -363,10 +406,31 @@ class BatchEncoder:
     def _learn(self, pieces: Pieces, at: np.ndarray) -> None:
         if self.table.size + len(at) > self.table.keep:
             self._reset()
-        got = self.plain.encode_pieces([pieces.text(i) for i in at.tolist()])
+        plain, odd = at[pieces.plain[at]], at[~pieces.plain[at]]
+        self._put(pieces, plain, *self._plain_ids(pieces.raw(plain), pieces.size[plain]))
+        got = self.plain.encode_pieces([pieces.text(i) for i in odd.tolist()])
+        self._put(pieces, odd, np.frombuffer(b"".join(got), "<i4"), np.array([len(g) // 4 for g in got], np.int64))
+
+    def _plain_ids(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces: those of the lexicon's words, and merged ones of all others."""
+        raw = lowered(raw) if self.lower else raw
+        if self.lookup is None or not len(size):
+            return self.plain.merge(raw, size)
+        found = self.lookup.numbers(raw, size)
+        known = found >= 0
+        new, counts = self.plain.merge(raw[~np.repeat(known, size)], size[~known])
+        begin = self.lookup.begin.astype(np.int64)
+        counted = np.zeros(len(size), np.int64)
+        counted[known], counted[~known] = (begin[1:] - begin[:-1])[found[known]], counts
+        out = np.zeros(int(counted.sum()), np.int32)
+        mine = np.repeat(known, counted)
+        out[mine], out[~mine] = self.lookup.ids[gather(begin[found[known]], counted[known])], new
+        return out, counted
+
+    def _put(self, pieces: Pieces, at: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        if not len(at):
+            return
         number = self.table.add(pieces.key[at], pieces.check[at])
-        size = np.array([len(g) // 4 for g in got], np.int32)
-        flat = np.frombuffer(b"".join(got), "<i4")
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
         while self.table.size > len(self.begin):
