@@ -63,3 +63,40 @@ def cross_filter(rows: DataFrame, facets: dict[str, tuple[Column, Column]]) -> D
         others = [F.col(f"c_{n}") for n in facets if n != name]
         cells.append(F.struct(F.lit(name).alias("facet"), F.col(f"k_{name}").alias("label"), reduce(lambda a, b: a & b, others, F.lit(True)).alias("counts")))
     return flagged.select(F.explode(F.array(*cells)).alias("x")).filter("x.counts").groupBy("x.facet", "x.label").agg(F.count("*").alias("n"))
+
+
+def common_values(rows: DataFrame, values: Column) -> DataFrame:
+    """``tally_values``, without values of one row where there are ten rows or more and any value has two."""
+    held = tally_values(rows, values)
+    limit = held.agg(F.max("n").alias("most")).crossJoin(F.broadcast(rows.agg(F.count("*").alias("rows"))))  # one row each
+    return held.crossJoin(F.broadcast(limit)).filter((F.col("n") >= 2) | (F.col("rows") < 10) | (F.col("most") < 2)).select("label", "n")
+
+
+#: Bars of a time histogram that are filled up.
+MOST_BARS = 240
+
+
+def filled_dates(rows: DataFrame, ts: Column, unit: str) -> DataFrame:
+    """Counts by ``year``, ``month`` or ``day``; empty years and months between the first and the last are there too, if that makes ``MOST_BARS`` at most."""
+    counts = rows.filter(ts.isNotNull()).groupBy(F.date_trunc(unit, ts).cast("date").alias("day")).agg(F.count("*").alias("n"))
+    if unit == "day":
+        return counts
+    span = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).filter("lo is not null")
+    bars = F.sequence("lo", "hi", F.expr(f"interval 1 {unit}"))
+    every = span.select(F.explode(F.when(F.size(bars) <= MOST_BARS, bars)).alias("day")).join(counts, "day", "left_anti")
+    return counts.unionByName(every.withColumn("n", F.lit(0).cast("long")))
+
+
+def orientation(width: Column, height: Column) -> Column:
+    """Square within a twentieth of the longer side."""
+    return F.when(width * 20 < height * 19, "portrait").when(height * 20 < width * 19, "landscape").otherwise("square")
+
+
+def video_quality(width: Column, height: Column) -> Column:
+    return ladder(-F.least(width, height), [(-1999, "4K"), (-999, "1080p"), (-699, "720p")], "lower")
+
+
+def category_place(category: Column, order: list[str]) -> Column:
+    """Where a category stands in a given order; others stand last."""
+    place = F.array_position(F.array(*map(F.lit, order)), category)
+    return F.when(place > 0, place).otherwise(len(order) + 1)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import numbered
+
 
 def interval_overlap(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
     """Rows of equal ``key`` whose closed intervals ``[ls, le]`` and ``[rs, re]`` meet, each pair once.
@@ -25,32 +27,38 @@ def under_scopes(rows: DataFrame, folder: str, scopes: list[str]) -> DataFrame:
     return rows.filter(inside)
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``key, change`` between ``(key, size, mtime, fingerprint)`` snapshots: new, changed, unchanged, renamed, removed.
+def snapshot_diff(old: DataFrame, new: DataFrame, key: str, unreadable: list[str] | None = None) -> DataFrame:
+    """``key, change, renamed_from`` between ``(key, size, mtime, fingerprint)`` snapshots: new, changed, unchanged, renamed, removed, missing.
 
     A removed and a new row of equal size and fingerprint are a renaming, one to one in key order.
+    What is gone below an ``unreadable`` folder is missing and nothing else, and so is everything
+    where ``new`` is empty but ``old`` isn't: a root that vanished removes nothing. Sizes, times and
+    fingerprints may be null: presence is a mark of its own.
     """
-    o, n = (d.select(F.col(key).alias("k"), F.col("size").alias(f"size_{s}"), F.col("mtime").alias(f"mtime_{s}"), F.col("fingerprint").alias(f"fp_{s}")) for d, s in ((old, "o"), (new, "n")))
-    both = o.join(n, "k", "full_outer")
-    moved = (F.col("size_o") != F.col("size_n")) | (F.abs(F.col("mtime_o") - F.col("mtime_n")) >= 1)
-    state = F.when(F.col("size_o").isNull(), "new").when(F.col("size_n").isNull(), "removed").when(moved, "changed").otherwise("unchanged")
+    fields = lambda d, s: d.select(F.col(key).alias("k"), F.col("size").alias(f"size_{s}"), F.col("mtime").alias(f"mtime_{s}"), F.col("fingerprint").alias(f"fp_{s}"), F.lit(True).alias(f"in_{s}"))
+    both = fields(old, "o").join(fields(new, "n"), "k", "full_outer")
+    moved = ~F.col("size_o").eqNullSafe(F.col("size_n")) | F.coalesce(F.abs(F.col("mtime_o") - F.col("mtime_n")) >= 1, F.col("mtime_o").isNull() != F.col("mtime_n").isNull())
+    lost = F.lit(new.isEmpty())
+    for folder in unreadable or ():
+        lost = lost | F.col("k").cast("string").startswith(folder.rstrip("/") + "/")
+    state = F.when(F.col("in_o").isNull(), "new").when(F.col("in_n").isNull() & lost, "missing").when(F.col("in_n").isNull(), "removed").when(moved, "changed").otherwise("unchanged")
     both = both.withColumn("change", state)
     ordered = lambda d, s: d.select("k", F.col(f"size_{s}").alias("size"), F.col(f"fp_{s}").alias("fp")).withColumn("i", F.row_number().over(Window.partitionBy("size", "fp").orderBy("k")))
     gone, come = ordered(both.filter("change = 'removed'"), "o"), ordered(both.filter("change = 'new'"), "n")
     pairs = gone.withColumnRenamed("k", "was").join(come, ["size", "fp", "i"]).select("k", "was")
-    renamed = both.join(pairs, "k", "left")
-    taken = pairs.select(F.col("was").alias("k"))
-    return (renamed.join(taken.withColumn("taken", F.lit(True)), "k", "left").filter("taken is null")
+    taken = pairs.select(F.col("was").alias("k"), F.lit(True).alias("taken"))
+    return (both.join(pairs, "k", "left").join(taken, "k", "left").filter("taken is null")
             .select(F.col("k").alias(key), F.when(F.col("was").isNotNull(), "renamed").otherwise(F.col("change")).alias("change"), F.col("was").alias("renamed_from")))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, changed: Column) -> DataFrame:
-    """Existing rows, replaced by incoming ones where ``changed`` (over aliases ``e`` and ``i``) holds, and new rows."""
-    joined = existing.alias("e").join(incoming.alias("i"), key, "full_outer")
-    take = F.coalesce(changed, F.lit(True))
+    """Existing rows, replaced by incoming ones where ``changed`` (over aliases ``e`` and ``i``) holds, and new rows; nulls are values as any others."""
+    joined = existing.withColumn("here", F.lit(True)).alias("e").join(incoming.withColumn("here", F.lit(True)).alias("i"), key, "full_outer")
+    had, comes = F.col("e.here").isNotNull(), F.col("i.here").isNotNull()
+    take = comes & (~had | F.coalesce(changed, F.lit(True)))
     columns = [c for c in existing.columns if c != key]
-    return joined.select(key, *(F.when(F.col(f"i.{c}").isNotNull() & (F.col(f"e.{c}").isNull() | take), F.col(f"i.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in columns),
-                         F.when(F.col(f"e.{columns[0]}").isNull(), "inserted").when(F.col(f"i.{columns[0]}").isNotNull() & take, "updated").otherwise("kept").alias("action"))
+    return joined.select(key, *(F.when(take, F.col(f"i.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in columns),
+                         F.when(~had, "inserted").when(take, "updated").otherwise("kept").alias("action"))
 
 
 def keep_latest(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -69,10 +77,63 @@ def move_prefix(path: Column, old: str, new: str) -> Column:
 
 
 def even_sample(rows: DataFrame, by: list[str], order: list[Column], count: int) -> DataFrame:
-    """``count`` rows of each group, evenly spread over its order."""
-    w = Window.partitionBy(*by)
-    i = F.row_number().over(w.orderBy(*order)) - 1
-    n = F.count("*").over(w)
-    numbered = rows.withColumn("i", i).withColumn("n", n)
-    picked = F.floor(F.floor(F.col("i") * count / F.col("n") + 0.999999) * F.col("n") / count) == F.col("i")
-    return numbered.filter((F.col("n") <= count) | picked).drop("i", "n")
+    """``count`` rows of each group, evenly spread over its order: the places ``floor(i n / count)``."""
+    held = numbered(rows, by, order)
+    i = F.col("rn") - 1
+    picked = F.floor(F.ceil(i * count / F.col("n")) * F.col("n") / count) == i
+    return held.filter((F.col("n") <= count) | picked).drop("rn", "n")
+
+
+def spread_picks(rows: DataFrame, by: list[str], order: list[Column], most: int = 3) -> DataFrame:
+    """Every ``n / most``-th row of each group, ``most`` at most."""
+    held = numbered(rows, by, order)
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / most))
+    return held.filter((((F.col("rn") - 1) % step) == 0) & ((F.col("rn") - 1) / step < most)).drop("rn", "n")
+
+
+def replace_kind(chunks: DataFrame, new: DataFrame, kind: str) -> DataFrame:
+    """Chunks ``(source_id, kind, ord, text)`` with those of a kind replaced by ``new(source_id, i, text)`` for its sources, numbered behind the ones that stay."""
+    touched = new.select("source_id").distinct()
+    stays = chunks.join(touched.withColumn("t", F.lit(True)), "source_id", "left").filter((F.col("kind") != kind) | F.col("t").isNull()).drop("t")
+    last = stays.groupBy("source_id").agg(F.max("ord").alias("last"))
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("i"))
+    added = new.withColumn("p", place).join(last, "source_id", "left").select("source_id", F.lit(kind).alias("kind"), (F.coalesce(F.col("last") + 1, F.lit(0)) + F.col("p") - 1).cast("int").alias("ord"), "text")
+    return stays.select("source_id", "kind", F.col("ord").cast("int").alias("ord"), "text").unionByName(added)
+
+
+def purge(derived: DataFrame, sources: DataFrame) -> DataFrame:
+    """Derived rows without those of ``sources(source_id)``."""
+    return derived.join(sources.select("source_id").distinct(), "source_id", "left_anti")
+
+
+def remove_under(sources: DataFrame, path: Column, prefix: str) -> DataFrame:
+    """Sources that aren't the file or folder ``prefix`` nor below it."""
+    return sources.filter(~((path == prefix) | path.startswith(prefix.rstrip("/") + "/")))
+
+
+def recovered(status: Column, attempts: Column, most: int = 3) -> Column:
+    """What was being worked on when the process ended goes back to the queue, or has failed after ``most`` attempts."""
+    return F.when((status == "processing") & (attempts < most), "queued").when(status == "processing", "failed").when(status == "running", "pending").otherwise(status)
+
+
+def next_status(status: Column, event: Column) -> Column:
+    """Of a pass over a file: pending, running, and done or failed; any other event leaves it."""
+    return (F.when((status == "pending") & (event == "claim"), "running").when((status == "running") & (event == "finish"), "done")
+            .when((status == "running") & (event == "fail"), "failed").when((status == "failed") & (event == "retry"), "pending").otherwise(status))
+
+
+def unique_names(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """Rows with their names made unique: the first of equal ones stays, later ones get a number before the extension."""
+    held = numbered(rows, [name], order)
+    stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    numbered_ = F.concat(stem, F.lit(" ("), (F.col("rn") - 1).cast("string"), F.lit(")"), ext)
+    return held.withColumn(name, F.when(F.col("rn") == 1, F.col(name)).otherwise(numbered_)).drop("rn", "n")
+
+
+def already_there(uploads: DataFrame, files: DataFrame, apart: float = 2.0) -> DataFrame:
+    """Uploads of which a file of the same ``name`` and ``size`` is there whose ``mtime`` is less than ``apart`` seconds away; joined by slots of that width."""
+    slot = F.floor(F.col("mtime") / apart)
+    near = files.select("name", "size", F.col("mtime").alias("there"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    held = uploads.withColumn("slot", slot)
+    same = [held[c] == near[c] for c in ("name", "size", "slot")]
+    return held.join(near, [*same, F.abs(held["mtime"] - near["there"]) < apart], "left_semi").drop("slot")
