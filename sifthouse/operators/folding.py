@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import hamming
-from ..functions.text import isbn13, norm_title, normalize_url, title_key
+from ..functions.text import isbn13, norm_title, normalize_url, record_title, surname, title_key
+from ..session import settle
 from .graph import connected_components
 
 
+#: Letters and digits that a title needs to name a record.
+TITLE_KEY_LEAST = 10
+
+
 def first_by(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     named = rows.select("*", *(k.alias(f"_k{i}") for i, k in enumerate(keys)))
     w = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy(*order)
@@ -29,42 +33,110 @@ def novel(candidates: DataFrame, seen: DataFrame, key: str, url: str = "url", ti
     return first_by(c.join(urls, "_u", "left_anti").join(titles, "_t", "left_anti"), [F.col("_u")], [F.col(key)]).drop("_u", "_t")
 
 
-def similar_titles(rows: DataFrame, key: str, title: str, floor: float = 0.85) -> DataFrame:
-    """``a < b`` of which the title words' Jaccard similarity is ``floor`` or more, joined on the words of an alphabetical prefix."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(norm_title(F.col(title)), " "), lambda w: w != "")))
-    sets = rows.select(F.col(key).alias("id"), words.alias("w")).filter(F.size("w") > 0)
-    prefix = sets.select("id", "w", F.explode(F.slice("w", F.lit(1), (F.size("w") - F.ceil(F.size("w") * floor) + 1).cast("int"))).alias("t"))
-    a, b = prefix.toDF("a", "wa", "t"), prefix.toDF("b", "wb", "t")
-    return a.join(b, "t").filter((F.col("a") < F.col("b")) & (jaccard(F.col("wa"), F.col("wb")) >= floor)).select("a", "b").distinct()
-
-
-def fold_catalog(records: DataFrame, key: str = "id") -> DataFrame:
-    """``id, head``: records that share a DOI, an ISBN, a handle, or title with author or year fold to the smallest id."""
-    keys = F.array(
-        F.concat(F.lit("doi:"), F.lower("doi")), F.concat(F.lit("isbn:"), isbn13(F.col("isbn"))), F.concat(F.lit("handle:"), F.col("handle")),
-        F.concat(F.lit("ta:"), norm_title(F.col("title")), F.lit("|"), F.lower("author")), F.concat(F.lit("ty:"), norm_title(F.col("title")), F.lit("|"), F.col("year").cast("string")))
-    exploded = records.select(F.col(key).alias("id"), F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k"))
-    first = exploded.groupBy("k").agg(F.min("id").alias("head"))
-    edges = exploded.join(first, "k").filter("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst"))
+def title_words(title: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.split(norm_title(title), " "), lambda w: w != "")))
+
+
+def similar_titles(rows: DataFrame, key: str, title: str, percent: int = 85) -> DataFrame:
+    """``a < b``: pairs of different title word sets, named by the smallest key that has them, whose Jaccard similarity is ``percent`` or more.
+
+    Words are ordered rare first by the number of sets they are in; two similar sets share one of
+    the first words of that order, so pairs are joined on those, must pass the length and the
+    positional filter, and are verified under the first word they share.
+    """
+    sets = settle(rows.select(F.col(key).alias("id"), title_words(F.col(title)).alias("w")).filter(F.size("w") > 0).groupBy("w").agg(F.min("id").alias("id")))
+    spread = sets.select("id", F.explode("w").alias("t"))
+    often = spread.groupBy("t").agg(F.count("*").alias("often"))
+    ranked = spread.join(often, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("r")).select("id", F.col("r.t").alias("w"))
+    n = F.size("w")
+    prefix = settle(ranked.select("id", "w", n.alias("n"), F.posexplode(F.slice("w", F.lit(1), (n - F.ceil(n * F.lit(percent) / F.lit(100)) + 1).cast("int"))).alias("at", "t")))
+    a, b = prefix.toDF("a", "wa", "na", "pa", "t"), prefix.toDF("b", "wb", "nb", "pb", "t")
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - F.lit(1e-9))
+    room = F.lit(1) + F.least("pa", "pb") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    met = a.join(b, "t").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (room >= need))
+    first = F.arrays_overlap(F.slice("wa", F.lit(1), F.col("pa")), F.slice("wb", F.lit(1), F.col("pb")))
+    shared = F.size(F.array_intersect("wa", "wb"))
+    return met.filter(~first & (100 * shared >= percent * (F.col("na") + F.col("nb") - shared))).select("a", "b")
+
+
+def catalog_keys(records: DataFrame) -> DataFrame:
+    """``id, k`` of what names a record: DOI, ISBNs, handle, and its title with the first author's surname, or with the year where no author is known."""
+    title, who = record_title(F.col("title")), surname(F.get("authors", F.lit(0)))
+    long = F.length(title) >= TITLE_KEY_LEAST
+    isbns = F.transform(F.filter(F.transform(F.coalesce("isbns", F.array().cast("array<string>")), isbn13), lambda i: i.isNotNull()), lambda i: F.concat(F.lit("isbn:"), i))
+    one = F.array(
+        F.concat(F.lit("doi:"), F.lower(F.trim("doi"))), F.concat(F.lit("hdl:"), F.lower(F.trim("handle"))),
+        F.when(long & (who != ""), F.concat(F.lit("t:"), title, F.lit("|"), who)).when(long & ((who == "") | who.isNull()) & F.col("year").isNotNull(), F.concat(F.lit("t:"), title, F.lit("|"), F.col("year").cast("string"))))
+    return records.select("id", F.explode(F.array_distinct(F.concat(F.filter(one, lambda k: k.isNotNull()), isbns))).alias("k"))
+
+
+def fold_catalog(records: DataFrame) -> DataFrame:
+    """``id, head``: records joined by any shared key, under the smallest ``id`` of each group."""
+    keys = settle(catalog_keys(records))
+    first = keys.groupBy("k").agg(F.min("id").alias("head"))
+    edges = keys.join(first, "k").filter("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst"))
     parts = connected_components(edges)
-    return records.select(F.col(key).alias("id")).join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("head"))
-
-
-def collapse_bursts(rows: DataFrame, group: str, most: int = 6) -> DataFrame:
-    """``group, id, kept_id``: in order of relevance a picture within ``most`` bits of one already kept folds into it."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, int]] = []
-        out = []
-        for row in pdf.sort_values(["relevance", "id"], ascending=[False, True]).itertuples(index=False):
-            into = next((i for i, h in kept if bin((int(row.hash) ^ h) & (2**64 - 1)).count("1") <= most), None)
-            if into is None:
-                kept.append((row.id, int(row.hash)))
-                into = row.id
-            out.append((getattr(row, group), row.id, into))
-        return pd.DataFrame(out, columns=[group, "id", "kept_id"])
-
-    kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, "id", "hash", "relevance").groupBy(group).applyInPandas(fold, f"{group} {kind}, id long, kept_id long")
+    return records.select("id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("head"))
+
+
+def merge_catalog(records: DataFrame) -> DataFrame:
+    """One row for each group of copies: the best-scored record with the fields it lacks from the next best, and ``also_in`` of the others.
+
+    ``records(id, source, score, doi, handle, isbns, title, authors, year, abstract, subjects)``;
+    equal scores rank by ``id``. ISBNs and subjects are those of all, in rank order.
+    """
+    heads = fold_catalog(records)
+    fields = [c for c in records.columns if c not in ("id", "source", "score", "isbns", "subjects")]
+    rank = F.struct((-F.col("score")).alias("s"), "id")
+    group = records.join(heads, "id").groupBy("head")
+    row = F.struct(rank.alias("rank"), "source", "isbns", "subjects")
+    listed = lambda c: F.array_distinct(F.flatten(F.transform("rows", lambda r: F.coalesce(r[c], F.array().cast("array<string>")))))
+    merged = group.agg(F.array_sort(F.collect_list(row)).alias("rows"), *(F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in fields))
+    return merged.select(
+        F.col("rows")[0]["rank"]["id"].alias("id"), F.col("rows")[0]["source"].alias("source"), (-F.col("rows")[0]["rank"]["s"]).alias("score"), *fields,
+        listed("isbns").alias("isbns"), F.slice(listed("subjects"), 1, 15).alias("subjects"),
+        F.transform(F.slice("rows", F.lit(2), F.size("rows")), lambda r: F.struct(r["source"].alias("source"), r["rank"]["id"].alias("id"))).alias("also_in"))
+
+
+def local_copies(records: DataFrame, files: DataFrame) -> DataFrame:
+    """``id, file``: catalog records of which a file of the same title is there; the smallest file stands for all."""
+    key = lambda c: record_title(F.translate(F.regexp_replace(F.col(c), r"\.[A-Za-z0-9]{1,5}$", ""), "_-", "  "))
+    titles = files.select("file", key("name").alias("t")).filter(F.length("t") >= TITLE_KEY_LEAST).groupBy("t").agg(F.min("file").alias("file"))
+    return records.select("id", record_title(F.col("title")).alias("t")).join(titles, "t").select("id", "file")
+
+
+def collapse_bursts(rows: DataFrame, group: str, most: int = 6, bits: int = 64) -> DataFrame:
+    """``group, id, kept_id``: in order of relevance a picture within ``most`` bits of one already kept folds into the first such.
+
+    ``rows(group, id, hash, relevance)``. Equal hashes of a group fold first. Near hashes are
+    joined by bands, each pair once, from the better picture to the worse. Then in rounds a
+    picture is kept when all better ones near it are folded, and folded when a better one near it
+    is kept. Rows without a hash are kept.
+    """
+    best = lambda p: F.struct((-F.col(f"{p}relevance")).alias("r"), F.col(f"{p}id").alias("i"))
+    held = rows.select(group, "id", "hash", "relevance")
+    firsts = settle(held.filter("hash is not null").groupBy(group, "hash").agg(F.min(best("")).alias("at")).select(group, "hash", F.col("at.i").alias("head"), "at"))
+    bands = most + 1
+    edges = [bits * i // bands for i in range(bands + 1)]
+    part = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    cut = firsts.select(group, "hash", "head", "at", F.posexplode(F.array(*(part(F.col("hash"), i) for i in range(bands)))).alias("band", "part"))
+    a, b = cut.toDF(group, "ha", "a", "ra", "band", "part"), cut.toDF(group, "hb", "b", "rb", "band", "part")
+    near = settle(a.join(b, [group, "band", "part"]).filter((F.col("ra") < F.col("rb")) & (hamming(F.col("ha"), F.col("hb")) <= most)).select(group, "a", "ra", "b").distinct())
+    nodes = firsts.select(group, F.col("head").alias("b"))
+    kept = settle(nodes.join(near, [group, "b"], "left_anti"))
+    folded = settle(nodes.limit(0))
+    while True:
+        into = near.join(kept.withColumnRenamed("b", "a"), [group, "a"], "left_semi").select(group, "b")
+        folded = settle(folded.union(into.join(folded, [group, "b"], "left_anti").distinct()))
+        open_ = nodes.join(kept, [group, "b"], "left_anti").join(folded, [group, "b"], "left_anti")
+        waits = near.join(folded.withColumnRenamed("b", "a"), [group, "a"], "left_anti").select(group, "b")
+        more = settle(open_.join(waits, [group, "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        kept = settle(kept.union(more))
+    goes = near.join(kept.withColumnRenamed("b", "a"), [group, "a"], "left_semi").groupBy(group, "b").agg(F.min(F.struct("ra", "a")).alias("x")).select(group, F.col("b").alias("head"), F.col("x.a").alias("into"))
+    return (held.join(firsts.select(group, "hash", "head"), [group, "hash"], "left").join(goes, [group, "head"], "left")
+            .select(group, "id", F.coalesce("into", "head", "id").alias("kept_id")))
 
 
 def dedupe_topics(topics: Column, most: int = 6) -> Column:

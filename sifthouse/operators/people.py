@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scores import dot, norm
+from ..functions.scores import norm
+from ..functions.text import tokens
+from ..session import settle
+from . import retrieval
 from .graph import connected_components
 
 
 def mutual_neighbours(vectors: DataFrame, k: int = 12, floor: float = 0.5) -> DataFrame:
     """``src < dst, score`` where each of ``vectors(id, v)`` is among the other's ``k`` nearest at ``floor`` or more.
 
-    The faces of one library are compared with each other, block by block of the nested loop.
+    Exact, over blocks of bounded size; the neighbours are settled once and met with themselves.
     """
-    a, b = vectors.toDF("src", "a"), vectors.toDF("dst", "b")
-    scored = a.join(b, F.col("src") != F.col("dst")).select("src", "dst", dot(F.col("a"), F.col("b")).alias("score")).filter(F.col("score") >= floor)
-    near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))).filter(F.col("rank") <= k)
-    back = near.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    blocks = retrieval.packed_blocks(vectors.toDF("id", "v"))
+    best = retrieval.block_best(blocks, blocks, k, floor)
+    order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    near = settle(best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"))
+    back = near.filter("src > dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return near.filter("src < dst").join(back, ["src", "dst"], "left_semi").select("src", "dst", "score")
 
 
@@ -56,6 +60,51 @@ def cover(members: DataFrame, group: str, id_column: str, quality: Column, has_c
     return members.groupBy(group).agg(F.max_by(id_column, F.struct(has_crop.alias("c"), quality.alias("q"), (-F.col(id_column)).alias("i"))).alias("cover"))
 
 
+def assign_ids(groups: DataFrame, faces: DataFrame, known: DataFrame) -> DataFrame:
+    """``person, person_id`` of every group: its hand-made anchor, else the known id most of its faces had that no larger group took, else a new one.
+
+    ``groups(id, person)`` are faces in groups, ``faces(id, person_id, locked)`` what they were,
+    ``known(person_id)`` ids that exist. Groups without anchor vote in rounds: every open group
+    asks for the best id it has left, the largest group (then the smallest name) gets it. A new
+    id is made from the group's own name, so a second run gives the same.
+    """
+    held = groups.join(faces, "id")
+    sizes = groups.groupBy("person").agg(F.count("*").alias("size"))
+    anchors = held.filter("locked and person_id is not null").groupBy("person").agg(F.min("person_id").alias("person_id"))
+    given = settle(anchors)
+    votes = settle(held.filter("not locked and person_id is not null").join(known, "person_id", "left_semi").join(anchors, "person", "left_anti")
+                   .groupBy("person", "person_id").agg(F.count("*").alias("votes")).join(sizes, "person"))
+    while True:
+        open_ = votes.join(given.select("person"), "person", "left_anti").join(given.select("person_id"), "person_id", "left_anti")
+        wish = open_.groupBy("person", "size").agg(F.min(F.struct((-F.col("votes")).alias("v"), "person_id")).alias("w")).select("person", "size", "w.person_id")
+        won = wish.groupBy("person_id").agg(F.min(F.struct((-F.col("size")).alias("s"), "person")).alias("w")).select("w.person", "person_id")
+        more = settle(given.unionByName(won))
+        if more.count() == given.count():
+            break
+        given = more
+    fresh = F.concat(F.lit("p-"), F.substring(F.sha2(F.col("person").cast("string"), 256), 1, 16))
+    return sizes.join(given, "person", "left").select("person", F.coalesce("person_id", fresh).alias("person_id"))
+
+
+def signature(faces: DataFrame) -> DataFrame:
+    """One row that changes with the faces and their corrections: ``n, last, locked, decided``."""
+    return faces.agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("last"), F.count_if("locked").alias("locked"), F.count_if(F.col("locked") & F.col("person_id").isNotNull()).alias("decided"))
+
+
+def named_in(texts: DataFrame, key: str, text: str, people: DataFrame) -> DataFrame:
+    """``key, person_id`` of the people whose whole name stands in a text, joined on the first word of the name."""
+    words = tokens(F.col(text))
+    named = people.select("person_id", tokens(F.col("name")).alias("n")).filter(F.size("n") > 0).select("person_id", "n", F.col("n")[0].alias("w"))
+    said = texts.select(F.col(key), words.alias("t")).select(key, F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("line"), F.explode(F.array_distinct("t")).alias("w"))
+    return said.join(named, "w").filter(F.col("line").contains(F.concat(F.lit(" "), F.array_join("n", " "), F.lit(" ")))).select(key, "person_id").distinct()
+
+
+def best_faces(faces: DataFrame, most: int = 6) -> DataFrame:
+    """The ``most`` best faces of each person by ``quality``, ties to the smaller ``id``."""
+    place = F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("quality"), "id"))
+    return faces.withColumn("place", place).filter(F.col("place") <= most)
+
+
 def merge_people(faces: DataFrame, source: str, target: str) -> DataFrame:
     """Faces of ``source`` go to ``target`` and are locked there."""
     mine = F.col("person_id") == source

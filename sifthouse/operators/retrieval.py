@@ -2,42 +2,66 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from ..functions.scores import dot, hamming
+from ..functions.scores import dot, doubles, hamming
 from ..functions.text import tokens
+from ..session import settle
 
 K1, B = 1.2, 0.75
 
 
+def _times(words: Column, term: str) -> Column:
+    """How often a word, or the words of a phrase in a row, stand in ``words``."""
+    parts = term.split(" ")
+    if len(parts) == 1:
+        return F.size(F.filter(words, lambda x: x == term))
+    phrase = F.array(*map(F.lit, parts))
+    return F.size(F.filter(F.transform(words, lambda x, i: F.slice(words, i + 1, len(parts)) == phrase), lambda same: same))
+
+
+def _counts(columns: dict[str, float], terms: list[str]) -> Column:
+    """``len`` and the weighted counts ``f0, f1, ...`` of the terms; each column's tokens are found once."""
+    def column(name: str, weight: float) -> Column:
+        counts = lambda t: F.struct(F.size(t).cast("double").alias("len"), *(_times(t, term).cast("double") * F.lit(weight) for term in terms))
+        return F.transform(F.array(tokens(F.coalesce(F.col(name), F.lit("")))), lambda t: counts(t))[0]
+
+    parts = [column(c, w) for c, w in columns.items()]
+    fields = ["len", *(f"f{j}" for j in range(len(terms)))]
+    parts = [p.cast(f"struct<{','.join(f + ':double' for f in fields)}>") for p in parts]
+    return F.transform(F.array(F.array(*parts)), lambda all_: F.struct(*(
+        reduce(lambda a, b: a + b, (all_[i][f] for i in range(len(parts)))).alias(f) for f in fields)))[0]
+
+
 def bm25(docs: DataFrame, terms: list[str], key: str, columns: dict[str, float], limit: int = 200) -> DataFrame:
     """Okapi BM25 over weighted text columns: rows that hold all terms, filled up by rows with any where those are under a quarter of ``limit``.
 
-    Only the query's terms are counted, so nothing is exploded: one narrow pass gathers the
-    corpus statistics as a single row, a second scores the rows that match.
+    One pass counts the terms and keeps the narrow rows that hold any; the corpus statistics are
+    observed on the way. No word of the corpus is exploded or shuffled. A term of several words
+    is a phrase, which counts as one word.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
-    counted = docs.select(key, *(tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)))
-    weights = list(columns.values())
-    times = lambda j: reduce(lambda a, b: a + b, (F.size(F.filter(f"t{i}", lambda t: t == terms[j])) * F.lit(w) for i, w in enumerate(weights)))
-    length = reduce(lambda a, b: a + b, (F.size(f"t{i}") for i in range(len(weights))))
-    tf = counted.select(key, length.cast("double").alias("len"), *(times(j).alias(f"f{j}") for j in range(len(terms))))
-    stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *(F.count_if(F.col(f"f{j}") > 0).alias(f"n{j}") for j in range(len(terms))))
-    has = [F.col(f"f{j}") > 0 for j in range(len(terms))]
-    scored = tf.filter(reduce(lambda a, b: a | b, has)).crossJoin(F.broadcast(stats))  # stats is one row
-    score = F.lit(0.0)
-    for j in range(len(terms)):
-        idf = F.greatest(F.log((F.col("n") - F.col(f"n{j}") + 0.5) / (F.col(f"n{j}") + 0.5)), F.lit(1e-6))
-        f = F.col(f"f{j}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    ranked = scored.select(key, score.alias("score"), reduce(lambda a, b: a & b, has).alias("full"))
-    n_full = ranked.agg(F.count_if("full").alias("n_full"))
-    return (
-        ranked.crossJoin(F.broadcast(n_full)).filter(F.col("full") | (F.col("n_full") < limit / 4))
-        .orderBy(F.desc("score"), key).limit(limit).select(key, "score", "full")
-    )
+    tf = docs.select(key, _counts(columns, terms).alias("x")).select(key, "x.*")
+    f = [F.col(f"f{j}") for j in range(len(terms))]
+    seen = Observation()
+    tf = tf.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("len").alias("words"), *(F.count_if(x > 0).alias(f"n{j}") for j, x in enumerate(f)))
+    held = settle(tf.filter(reduce(lambda a, b: a | b, (x > 0 for x in f))))
+    stats = seen.get
+    n, score = stats["n"], F.lit(0.0)
+    average = (stats["words"] or 0.0) / max(n, 1) or 1.0
+    for j, x in enumerate(f):
+        idf = max(math.log((n - stats[f"n{j}"] + 0.5) / (stats[f"n{j}"] + 0.5)), 1e-6)
+        score = score + F.lit(idf) * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("len") / average))
+    ranked = held.select(key, score.alias("score"), reduce(lambda a, b: a & b, (x > 0 for x in f)).alias("full"))
+    if ranked.filter("full").limit(-(-limit // 4)).count() >= limit / 4:
+        ranked = ranked.filter("full")
+    return ranked.orderBy(F.desc("score"), key).limit(limit)
 
 
 def contains_phrase(docs: DataFrame, key: str, text: str, phrase: str) -> DataFrame:
@@ -46,6 +70,25 @@ def contains_phrase(docs: DataFrame, key: str, text: str, phrase: str) -> DataFr
     return docs.filter(line.contains(f" {' '.join(phrase.lower().split())} ")).select(key)
 
 
+def word_shares(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, floor: float) -> DataFrame:
+    """``query_key, key, score``: the share of each query's words that a text holds, at ``floor`` or more; a stand-in for a reranker's verdict.
+
+    Joined on words. Of a query's words a text must hold ``ceil(floor n)``, so it holds one of
+    the first ``n - ceil(floor n) + 1`` too: only those, the rarest of the corpus, are joined, and
+    the pairs they give are counted in full.
+    """
+    asked = queries.select(F.col(query_key).alias("q"), F.array_distinct(tokens(F.col(query_text))).alias("qw")).filter(F.size("qw") > 0)
+    said = settle(docs.select(F.col(key).alias("d"), F.array_distinct(tokens(F.col(text))).alias("w")))
+    spread = asked.select("q", F.size("qw").alias("n"), F.explode("qw").alias("t"))
+    words = said.select("d", F.explode("w").alias("t"))
+    often = words.join(spread.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("often"))
+    ranked = spread.join(often, "t", "left").groupBy("q", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), "t"))).alias("r"))
+    rare = settle(ranked.select("q", "n", F.col("r.t").alias("qw"), F.explode(F.slice("r.t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(floor)) + 1).cast("int"))).alias("t")))
+    pairs = rare.join(words, "t").groupBy("q", "d").agg(F.count("*").alias("c"))
+    held = pairs.select("q", "d").join(asked, "q").join(said, "d").select("q", "d", (F.size(F.array_intersect("qw", "w")) / F.size("qw")).alias("score"))
+    return held.filter(F.col("score") >= floor).select(F.col("q").alias(query_key), F.col("d").alias(key), "score")
+
+
 def name_search(rows: DataFrame, terms: list[str], key: str, name: str, limit: int = 50) -> DataFrame:
     """Share of terms (three characters or more) that a name holds anywhere."""
     used = [t.lower() for t in terms if len(t) >= 3]
@@ -61,14 +104,57 @@ def dense_topk(vectors: DataFrame, query: Column, key: str, vector: str, k: int,
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def dense_topk_batch(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, score, rank`` for a stated, bounded query set ``(query_id, q)`` against all ``vectors(id, v)``.
+def dense_topk_batch(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None) -> DataFrame:
+    """``query_id, id, score, rank`` of the ``k`` best of all ``vectors(id, v)`` for each of ``queries(query_id, q)``, without the query's own id.
 
-    A query set past the broadcast threshold takes part through a shuffled nested loop instead.
+    Vectors of one length; both sides are packed into blocks of bounded size, and each pair of
+    blocks gives at most ``k`` rows a query.
     """
-    scored = vectors.crossJoin(queries).filter("id <> query_id").select("query_id", "id", dot(F.col("v"), F.col("q")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    a, b = packed_blocks(queries.toDF("id", "v")), packed_blocks(vectors)
+    best = block_best(a, b, k, floor)
+    order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("src").alias("query_id"), F.col("dst").alias("id"), "score", "rank")
+
+
+#: Vectors of a block.
+BLOCK = 4_096
+
+
+def packed_blocks(vectors: DataFrame) -> DataFrame:
+    """``block, ids, flat``: ``vectors(id, v)`` in blocks of about ``BLOCK`` rows, each one row."""
+    count = vectors.count()
+    blocks = max(1, -(-count // BLOCK))
+    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.struct(F.col("id").cast("long").alias("id"), doubles(F.col("v")).alias("v")).alias("x"))
+    packed = dealt.groupBy("block").agg(F.collect_list("x").alias("x"))
+    return settle(packed.select("block", F.col("x.id").alias("ids"), F.flatten("x.v").alias("flat")))
+
+
+def block_best(left: DataFrame, right: DataFrame, k: int, floor: float | None = None) -> DataFrame:
+    """``src, dst, score``: for each vector of the left blocks its ``k`` best of each right block by inner product, at ``floor`` or more."""
+    blocks = [r["block"] for r in right.select("block").collect()]  # one number for each 4,096 rows
+    asked = left.select(F.col("ids").alias("a"), F.col("flat").alias("x"), F.explode(F.array(*map(F.lit, blocks)) if blocks else F.array().cast("array<int>")).alias("block"))
+    met = asked.join(right.select("block", F.col("ids").alias("b"), F.col("flat").alias("y")), "block").select("a", "x", "b", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, x, b, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("a", "x", "b", "y"))
+                x, y = x.reshape(len(a), -1), y.reshape(len(b), -1)
+                for at in range(0, len(a), 512):
+                    ids = a[at : at + 512]
+                    s = x[at : at + 512] @ y.T
+                    ok = ids[:, None] != b[None, :]
+                    if floor is not None:
+                        ok &= s >= floor - 1e-9
+                    if len(b) > k:  # all that may be among the k best, with room for rounding
+                        least = np.partition(np.where(ok, s, -np.inf), len(b) - k, axis=1)[:, len(b) - k]
+                        ok &= s >= least[:, None] - 1e-9
+                    rows, cols = np.nonzero(ok)
+                    exact = np.array([math.fsum(p) for p in x[at + rows] * y[cols]]) if len(rows) else np.zeros(0)
+                    keep = np.ones(len(rows), bool) if floor is None else exact >= floor
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows[keep]], pa.int64()), pa.array(b[cols[keep]], pa.int64()), pa.array(exact[keep], pa.float64())], ["src", "dst", "score"])
+
+    return met.mapInArrow(run, "src long, dst long, score double")
 
 
 def hash_search(rows: DataFrame, query: int | Column, key: str, column: str, most: int = 10, limit: int = 50) -> DataFrame:
@@ -76,11 +162,25 @@ def hash_search(rows: DataFrame, query: int | Column, key: str, column: str, mos
     return rows.select(key, distance.alias("distance")).filter(F.col("distance") <= most).orderBy("distance", key).limit(limit)
 
 
-def hash_pairs(rows: DataFrame, key: str, column: str, most: int) -> DataFrame:
-    """Pairs of rows within ``most`` bits: hashes cut into ``most + 1`` bands agree in one band at least, so bands are joined and pairs verified once."""
+def folded_hashes(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """``key, head`` of the rows whose hash a smaller key has too: copies stand behind their head."""
+    first = rows.groupBy(F.col(column).alias("h")).agg(F.min(key).alias("head"))
+    return rows.select(F.col(key).alias("k"), F.col(column).alias("h")).join(first, "h").filter("k <> head").select(F.col("k").alias(key), "head")
+
+
+def hash_pairs(rows: DataFrame, key: str, column: str, most: int, bits: int = 64) -> DataFrame:
+    """``a, b, distance``: pairs of different hashes of ``bits`` bits that are within ``most``, each named by its smallest key.
+
+    Hashes cut into ``most + 1`` bands agree in one band at least, so bands of at least some bits
+    are joined, and a pair is verified in the first band it shares.
+    """
+    first = settle(rows.groupBy(F.col(column).alias("h")).agg(F.min(key).alias("k")))
     bands = most + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    parts = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(column), a).bitwiseAND((1 << (b - a)) - 1 if b - a < 63 else -1).alias("part")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
-    cut = rows.select(F.col(key).alias("k"), F.col(column).alias("h"), F.explode(parts).alias("p")).select("k", "h", "p.band", "p.part")
+    edges = [bits * i // bands for i in range(bands + 1)]
+    part = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    cut = first.select("k", "h", F.posexplode(F.array(*(part(F.col("h"), i) for i in range(bands)))).alias("band", "part"))
     a, b = cut.toDF("a", "ha", "band", "part"), cut.toDF("b", "hb", "band", "part")
-    return a.join(b, ["band", "part"]).filter("a < b").select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance")).filter(F.col("distance") <= most).distinct()
+    met = a.join(b, ["band", "part"]).filter("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= most)
+    earlier = [part(F.col("ha"), i) == part(F.col("hb"), i) for i in range(bands)]
+    repeated = reduce(lambda x, y: x | y, ((F.col("band") > i) & e for i, e in enumerate(earlier)))
+    return met.filter(~repeated).select("a", "b", "distance")
