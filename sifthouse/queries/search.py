@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text as T
-from ..operators import chunking, facets, folding, fusion, relations, retrieval
+from ..operators import chunking, facets, folders, folding, fusion, relations, retrieval
 from ..plans import query_plan
 from ..session import table
 from .registry import TOKENS, query
@@ -73,11 +73,11 @@ def dense_topk_filtered(spark, d):
     return retrieval.dense_topk(rows, F.col("q"), "vec_id", "embedding", 20, floor=0.05).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DOT.format(a='e.embedding', b='q.embedding')} AS x FROM embeddings e, embeddings q WHERE q.vec_id < 10 AND e.vec_id <> q.vec_id),
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DOT.format(a='e.embedding', b='q.embedding')} AS x FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, id) AS rank FROM s) SELECT query_id, id, round(x, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def dense_batch_queries(spark, d):
     e = table(spark, d, "embeddings")
-    got = retrieval.dense_topk_batch(e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 5)
+    got = retrieval.dense_topk_batch(e.filter("vec_id % 100 = 0").select("vec_id", "embedding"), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 5)
     return got.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -104,11 +104,21 @@ def hamming_dupes(spark, d):
     return got.select("doc_id", "distance", F.round(scores.calibrated(F.lit("dupe"), F.col("distance")), 6).alias("relevance"))
 
 
-@query(f"""WITH h AS (SELECT p_partkey, {_HASH.format('p_brand || p_size')} AS h FROM part)
-SELECT a.p_partkey AS a, b.p_partkey AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.p_partkey < b.p_partkey AND bit_count(xor(a.h, b.h)) <= 8""")
+_PART_HASH = f"h AS (SELECT min(p_partkey) AS k, h FROM (SELECT p_partkey, {_HASH.format('p_brand || p_size')} AS h FROM part) GROUP BY h)"
+
+
+def _part_hashes(spark, d):
+    return table(spark, d, "part").select("p_partkey", folding.hash_column(F.concat(F.col("p_brand"), F.col("p_size").cast("string"))).alias("h"))
+
+
+@query(f"WITH {_PART_HASH} SELECT a.k AS a, b.k AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.k < b.k AND bit_count(xor(a.h, b.h)) <= 14")
 def hamming_pairs(spark, d):
-    h = table(spark, d, "part").select("p_partkey", folding.hash_column(F.concat(F.col("p_brand"), F.col("p_size").cast("string"))).alias("h"))
-    return retrieval.hash_pairs(h, "p_partkey", "h", 8)
+    return retrieval.hash_pairs(_part_hashes(spark, d), "p_partkey", "h", 14, bits=60)
+
+
+@query("SELECT p_partkey, head FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand || p_size) AS head FROM part) WHERE p_partkey <> head")
+def hamming_members(spark, d):
+    return retrieval.folded_hashes(_part_hashes(spark, d), "p_partkey", "h")
 
 
 @query(f"""WITH f AS (SELECT lang || '/' || source AS folder, n_chars FROM documents), a AS (SELECT folder, n_chars FROM f UNION ALL SELECT split_part(folder, '/', 1), n_chars FROM f)
@@ -124,27 +134,41 @@ def folder_scope_members(spark, d):
     return relations.under_scopes(rows, "folder", ["en/src1", "de"]).select("doc_id")
 
 
-@query("""WITH f AS (SELECT lang || '/' || source AS folder, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) AS total FROM f)
-SELECT folder, round(CASE WHEN n / total::DOUBLE > 0.9 THEN 0 ELSE ln(1 + total::DOUBLE / n) END, 6) AS weight FROM f, t WHERE split_part(folder, '/', 2) IN ('src3', 'src4')""")
+_FOLDER_WEIGHT = "CASE WHEN f / t::DOUBLE > 0.9 THEN 0 ELSE ln(1 + t::DOUBLE / f) END"
+
+
+@query(f"""WITH t AS (SELECT count(*) AS t FROM documents), w AS (SELECT ({_FOLDER_WEIGHT.replace('f /', 'count(*) /').replace('/ f)', '/ count(*))')}) AS de FROM documents, t WHERE lang = 'de' GROUP BY t),
+x AS (SELECT ({_FOLDER_WEIGHT.replace('f /', 'count(*) /').replace('/ f)', '/ count(*))')}) AS three FROM documents, t WHERE source = 'src3' GROUP BY t)
+SELECT 'de/src3' AS path, count(*) AS files, 1.0::DOUBLE AS score, 'de src 3' AS matched FROM documents, w, x WHERE lang = 'de' AND source = 'src3' AND de + three > 0 GROUP BY ALL HAVING count(*) > 0""")
 def folder_match(spark, d):
-    f = table(spark, d, "documents").groupBy(F.concat_ws("/", "lang", "source").alias("folder")).agg(F.count("*").alias("n"))
-    total = f.agg(F.sum("n").alias("total"))
-    share = F.col("n") / F.col("total")
-    words = F.array_join(T.split_words(F.substring_index("folder", "/", -1)), " ")
-    hit = f.filter(words.isin("src 3", "src 4")).crossJoin(F.broadcast(total))
-    return hit.select("folder", F.round(F.when(share > 0.9, 0.0).otherwise(F.log(1 + 1 / share)), 6).alias("weight"))
+    s = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("folder"), F.lit("indexed").alias("status"))
+    got = folders.match_folders(s, "the de src3 notes")
+    return got.select("path", "files", F.round("score", 6).alias("score"), F.array_join("matched", " ").alias("matched"))
+
+
+@query("SELECT 'en/src1' AS path, count(*) AS files FROM documents WHERE lang = 'en' AND source = 'src1' HAVING count(*) > 0")
+def folder_typed(spark, d):
+    s = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("folder"), F.lit("indexed").alias("status"))
+    return folders.match_folders(s, 'reports in "EN / src1"').select("path", "files")
+
 
+@query("SELECT doc_id AS source_id, 0.5::DOUBLE AS score FROM documents WHERE lang = 'de' AND source <> 'src2' UNION ALL SELECT doc_id, 0.75 FROM documents WHERE source = 'src2' AND lang IN ('de', 'fr')")
+def folder_members(spark, d):
+    s = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.concat_ws("/", "lang", "source").alias("folder"), F.lit("indexed").alias("status"))
+    scopes = spark.createDataFrame([("de", 0.5), ("de/src2", 0.75), ("fr/src2", 0.75)], "path string, score double")
+    return folders.scope_members(s, scopes)
 
-_HITS = """h AS (SELECT 'bm25' AS retriever, doc_id AS file, (n_chars % 97)::DOUBLE AS score FROM documents WHERE doc_id % 3 = 0
-UNION ALL SELECT 'name', doc_id, (n_chars % 13)::DOUBLE FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'folder', doc_id, (n_chars % 5)::DOUBLE FROM documents WHERE doc_id % 5 = 0
-UNION ALL SELECT 'bm25', doc_id, (n_chars % 31)::DOUBLE FROM documents WHERE doc_id % 6 = 0)"""
+
+_HITS = """h AS (SELECT 'bm25' AS retriever, doc_id AS file, (n_chars % 97)::DOUBLE AS score FROM documents UNION ALL SELECT 'bm25', doc_id, (n_chars % 31)::DOUBLE FROM documents
+UNION ALL SELECT 'name', doc_id, (doc_id * 7919 % 1013)::DOUBLE FROM documents UNION ALL SELECT 'folder', doc_id, CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.5 ELSE 0.25 END::DOUBLE FROM documents)"""
 
 
 def _hits(spark, d):
-    """Lists of scored files over the whole table, as retrievers give them."""
+    """Three lists of all documents with scores, as retrievers give them; the first has two hits of each."""
     docs = table(spark, d, "documents")
-    part = lambda name, every, mod: docs.filter(F.col("doc_id") % every == 0).select(F.lit(name).alias("retriever"), F.col("doc_id").alias("file"), (F.col("n_chars") % mod).cast("double").alias("score"))
-    return part("bm25", 3, 97).union(part("name", 2, 13)).union(part("folder", 5, 5)).union(part("bm25", 6, 31))
+    part = lambda name, score: docs.select(F.lit(name).alias("retriever"), F.col("doc_id").alias("file"), score.cast("double").alias("score"))
+    folder = F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "de", 0.5).otherwise(0.25)
+    return part("bm25", F.col("n_chars") % 97).union(part("bm25", F.col("n_chars") % 31)).union(part("name", F.col("doc_id") * 7919 % 1013)).union(part("folder", folder))
 
 
 @query(f"WITH {_HITS} SELECT retriever, file, max(score) AS score FROM h GROUP BY 1, 2")
@@ -152,24 +176,30 @@ def merge_max(spark, d):
     return fusion.merge_max(_hits(spark, d), ["retriever", "file"])
 
 
-_FUSED = _HITS + """, m AS (SELECT retriever, file, max(score) AS score FROM h GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY retriever ORDER BY score DESC, file) - 1 AS rank FROM m),
-f AS (SELECT file, sum(CASE retriever WHEN 'bm25' THEN 1.0 WHEN 'name' THEN 0.7 ELSE 1.2 END::DOUBLE / (61 + rank)) AS fused, count(*) AS n_lists FROM r GROUP BY 1)"""
+_FUSED = _HITS + """, m AS (SELECT retriever, file, max(score) AS score FROM h GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY retriever ORDER BY score DESC, file) AS place FROM m),
+t AS (SELECT retriever, file, score, CASE WHEN retriever = 'folder' THEN dense_rank() OVER (PARTITION BY retriever ORDER BY score DESC) ELSE place END - 1 AS rank FROM p WHERE place <= CASE WHEN retriever = 'folder' THEN 5000 ELSE 200 END),
+f AS (SELECT file, sum(CASE retriever WHEN 'bm25' THEN 1.0 WHEN 'name' THEN 0.7 ELSE 1.2 END::DOUBLE / (61 + rank)) AS fused, count(*) AS n_lists FROM t GROUP BY 1)"""
+
+
+def _ranks(spark, d):
+    h = _hits(spark, d)
+    return fusion.file_ranks(h.filter("retriever <> 'folder'")).unionByName(fusion.file_ranks(h.filter("retriever = 'folder'"), tied=True))
 
 
 @query(f"WITH {_FUSED} SELECT file, round(fused, 9) AS fused, n_lists FROM f")
 def rrf_fusion(spark, d):
-    return fusion.rrf(fusion.file_ranks(_hits(spark, d))).select("file", F.round("fused", 9).alias("fused"), "n_lists")
+    return fusion.rrf(_ranks(spark, d)).select("file", F.round("fused", 9).alias("fused"), "n_lists")
 
 
-@query(f"WITH {_HITS}, m AS (SELECT retriever, file, max(score) AS score FROM h WHERE retriever = 'folder' GROUP BY 1, 2) SELECT file, (dense_rank() OVER (ORDER BY score DESC) - 1)::INT AS rank FROM m")
+@query(f"WITH {_FUSED} SELECT file, rank::INT AS rank FROM t WHERE retriever = 'folder'")
 def rrf_tied(spark, d):
     return fusion.file_ranks(_hits(spark, d).filter("retriever = 'folder'"), tied=True).select("file", "rank")
 
 
-@query(f"""WITH {_FUSED}, t AS (SELECT max(fused) AS top FROM f), s AS (SELECT file, 0.25 + 0.4 * fused / top AS score FROM f, t), b AS (SELECT max(score) AS best FROM s)
+@query(f"""WITH {_FUSED}, t2 AS (SELECT max(fused) AS top FROM f), s AS (SELECT file, 0.25 + 0.4 * fused / top AS score FROM f, t2), b AS (SELECT max(score) AS best FROM s)
 SELECT file, round(score, 4) AS score FROM s, b WHERE score >= greatest(0.2, round(best - 0.3, 4))""")
 def relevance_score(spark, d):
-    f = fusion.rrf(fusion.file_ranks(_hits(spark, d)))
+    f = fusion.rrf(_ranks(spark, d))
     scored = f.crossJoin(F.broadcast(f.agg(F.max("fused").alias("top")))).select("file", fusion.relevance(F.lit(None).cast("double"), F.lit(0.0), F.col("fused") / F.col("top")).alias("score"))
     return fusion.relative_cut(scored, 0.3, 0.2).select("file", F.round("score", 4).alias("score"))
 
@@ -190,37 +220,62 @@ def bucket_cut(spark, d):
     return fusion.relative_cut(table(spark, d, "documents").select("doc_id", "lang", ((F.col("n_chars") % 997) / 1000.0).alias("score")), 0.3, 0.2, ["lang"])
 
 
-@query(f"WITH s AS (SELECT e.vec_id, e.label, {_DOT.format(a='e.embedding', b='q.embedding')} AS x FROM embeddings e, embeddings q WHERE q.vec_id = 3) SELECT label, round(max(x), 6) AS best FROM s GROUP BY 1 HAVING max(x) >= 0.2")
+@query(f"WITH s AS (SELECT e.vec_id, e.label, {_DOT.format(a='e.embedding', b='q.embedding')} AS x FROM embeddings e, embeddings q WHERE q.vec_id = 3) SELECT label, round(max(x), 6) AS best FROM s GROUP BY 1 HAVING max(x) >= 0.42")
 def face_gate(spark, d):
     rows = table(spark, d, "embeddings").crossJoin(F.broadcast(_query_vector(spark, d)))
-    return rows.groupBy("label").agg(F.max(scores.dot(F.col("embedding"), F.col("q"))).alias("best")).filter("best >= 0.2").select("label", F.round("best", 6).alias("best"))
+    return rows.groupBy("label").agg(F.max(scores.dot(F.col("embedding"), F.col("q"))).alias("best")).filter(F.col("best") >= scores.FACE_MATCH).select("label", F.round("best", 6).alias("best"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents), q AS (SELECT item_id, list_distinct({TOKENS.format('text')}) AS qw FROM benchmark WHERE item_id < 5)
-SELECT item_id, doc_id, round(len(list_filter(qw, lambda x: list_contains(w, x))) / len(qw)::DOUBLE, 6) AS score FROM q, t WHERE len(list_filter(qw, lambda x: list_contains(w, x))) / len(qw)::DOUBLE >= 0.5""")
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct({TOKENS.format('text')})) AS w FROM documents), q AS (SELECT item_id, list_distinct({TOKENS.format('text')}) AS qw FROM benchmark),
+u AS (SELECT item_id, len(qw) AS n, unnest(qw) AS w FROM q), s AS (SELECT item_id, doc_id, count(*) / min(n)::DOUBLE AS score FROM u JOIN t USING (w) GROUP BY 1, 2) SELECT item_id, doc_id, round(score, 6) AS score FROM s WHERE score >= 0.5""")
 def rerank_overlap(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
-    q = table(spark, d, "benchmark").filter("item_id < 5").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("qw"))
-    score = F.size(F.array_intersect("qw", "w")) / F.size("qw")
-    return t.crossJoin(F.broadcast(q)).select("item_id", "doc_id", F.round(score, 6).alias("score")).filter(score >= 0.5)
+    got = retrieval.word_shares(table(spark, d, "benchmark"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text", 0.5)
+    return got.select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH r AS (SELECT user_id AS file, event_type AS retriever, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS depth FROM events),
-p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY depth, retriever) AS place FROM r) SELECT file, event_id, place::INT AS place FROM p WHERE place <= 3""")
+p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY depth, list_position(['view', 'click', 'purchase', 'signup', 'error', 'refund'], retriever), event_id) AS place FROM r WHERE depth <= 3) SELECT file, event_id, place::INT AS place FROM p WHERE place <= 3""")
 def passage_interleave(spark, d):
-    from pyspark.sql import Window
+    e = table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("retriever"), F.col("event_id").alias("entity"), F.col("value").alias("score"))
+    return fusion.passages(e, ["view", "click", "purchase", "signup", "error", "refund"]).select("file", F.col("entity").alias("event_id"), "place")
+
+
+_SOURCES = """s AS (SELECT doc_id AS source_id, CASE WHEN doc_id % 50 = 7 THEN 'missing' ELSE 'indexed' END AS status, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'txt' ELSE 'jpg' END AS ext,
+CASE WHEN doc_id % 3 = 2 THEN 'image' ELSE 'document' END AS kind, lang AS library_id, 'Data/' || source AS folder, DATE '2019-01-01' + (doc_id % 2000)::INT AS day FROM documents)"""
 
-    depth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id"))
-    e = table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("retriever"), "event_id", depth.alias("depth"))
-    return relations.keep_latest(e, ["file"], [F.col("depth"), F.col("retriever")], 3).withColumn(
-        "place", F.row_number().over(Window.partitionBy("file").orderBy("depth", "retriever"))).select("file", "event_id", "place")
 
+def _sources(spark, d):
+    """Every document as a file of a library."""
+    doc = F.col("doc_id")
+    ext = F.when(doc % 3 == 0, "pdf").when(doc % 3 == 1, "txt").otherwise("jpg")
+    folder = F.concat(F.lit("Data/"), F.col("source"))
+    day = F.date_add(F.lit("2019-01-01").cast("date"), (doc % 2000).cast("int"))
+    return table(spark, d, "documents").select(
+        doc.alias("source_id"), F.when(doc % 50 == 7, "missing").otherwise("indexed").alias("status"), ext.alias("ext"), T.kind_of(ext).alias("kind"), F.col("lang").alias("library_id"),
+        folder.alias("folder"), F.concat(folder, F.lit("/"), doc.cast("string"), F.lit("."), ext).alias("rel_path"), F.when(doc % 2 == 0, day.cast("timestamp")).alias("taken_at"),
+        F.unix_timestamp(day.cast("timestamp")).cast("double").alias("mtime"))
 
-@query("SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source NOT IN ('src1') AND n_chars >= 1000 AND n_chars < 5000")
+
+@query(f"""WITH {_SOURCES} SELECT source_id AS doc_id FROM s WHERE status = 'indexed' AND library_id IN ('en', 'de') AND kind = 'document' AND ext IN ('pdf', 'jpg') AND folder = 'Data/src1'
+AND day >= '2020-03-01' AND day < '2022-01-01' AND source_id % 11 <> 0""")
 def allowed_sources(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.lit("indexed").alias("status"), F.lit("document").alias("kind"), F.col("lang").alias("library_id"), F.col("source").alias("folder"), "n_chars")
-    out = query_plan.allowed_sources(rows, query_plan.Filters(libraries=("en", "de")), rows.filter("source = 'src1'").select("source_id"))
-    return out.filter("n_chars >= 1000 and n_chars < 5000").select(F.col("source_id").alias("doc_id"))
+    rows = _sources(spark, d)
+    libraries = spark.createDataFrame([("en", "English", True), ("de", "German", True), ("fr", "French", False)], "library_id string, name string, online boolean")
+    plan = query_plan.parse_query('kind:docs ext:.PDF,jpg in:english library:"de" folder:data/src1 after:2020-03 before:2022 words')
+    return query_plan.allowed_sources(rows, plan.filters, rows.filter("source_id % 11 = 0"), libraries).select(F.col("source_id").alias("doc_id"))
+
+
+@query(f"WITH {_SOURCES} SELECT source_id AS doc_id FROM s WHERE status = 'indexed' AND day >= '2021-01-01' AND day < '2022-01-01' AND folder = 'Data/src2'")
+def allowed_year(spark, d):
+    return query_plan.allowed_sources(_sources(spark, d), query_plan.parse_query("year:2021 folder:SRC2").filters).select(F.col("source_id").alias("doc_id"))
+
+
+@query(f"WITH {_SOURCES}, b AS (SELECT *, folder || '/' || source_id || '.' || ext AS p FROM s WHERE status = 'indexed' AND kind = 'image') SELECT source_id AS file, 1.0::DOUBLE AS score FROM b ORDER BY p LIMIT 5000")
+def browse_filter(spark, d):
+    plan = query_plan.parse_query("kind:photos")
+    allowed = query_plan.allowed_sources(_sources(spark, d), plan.filters)
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("doc_id").alias("chunk_id"), "text")
+    return query_plan.candidate_lists(chunks, allowed, plan).select("file", "score")
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE n_chars + 1 END AS score FROM documents")
@@ -230,16 +285,20 @@ def union_precedence(spark, d):
     return fusion.with_precedence(new, docs.select(F.col("doc_id").alias("id"), (F.col("n_chars") + 1).alias("score")), "id")
 
 
-@query("WITH h AS (SELECT conv_id, max(length(text)) AS score FROM conversations WHERE role = 'user' GROUP BY 1) SELECT conv_id, score FROM h")
+@query("""WITH h AS (SELECT 'dense' AS retriever, conv_id * 1000 + turn AS entity, (length(text) % 89)::DOUBLE AS score, role FROM conversations
+UNION ALL SELECT 'bm25', conv_id * 1000 + turn, (length(text) % 71)::DOUBLE, role FROM conversations UNION ALL SELECT 'name', conv_id * 1000 + turn, 99.0, role FROM conversations)
+SELECT entity, max(score) AS score FROM h WHERE retriever IN ('dense', 'bm25') AND role = 'user' GROUP BY 1""")
 def transcript_split(spark, d):
-    h = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", F.length("text").cast("long").alias("score"))
-    return fusion.merge_max(h, ["conv_id"])
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("entity"), F.length("text").alias("n"), "role")
+    part = lambda name, score: c.select(F.lit(name).alias("retriever"), "entity", score.cast("double").alias("score"))
+    hits = part("dense", F.col("n") % 89).union(part("bm25", F.col("n") % 71)).union(part("name", F.lit(99.0)))
+    return fusion.transcript_list(hits, c.filter("role = 'user'").select("entity")).select("entity", "score")
 
 
 @query()
 def burst_collapse(spark, d):
     rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), folding.hash_column(F.col("text")).alias("hash"), (F.col("n_chars") % 100).alias("relevance"))
-    return folding.collapse_bursts(rows, "source", most=14)
+    return folding.collapse_bursts(rows, "source", most=14, bits=60)
 
 
 @query()
@@ -248,9 +307,10 @@ def focus_windows(spark, d):
 
 
 def flagship(spark, sf_dir):
-    """Keyword, phrase and vector lists over all documents, fused, scored and cut."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text", "lang")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("v"))
-    plan = query_plan.parse_query('thand ation "of the"')
-    query_vector = vectors.filter("source_id = 3").first()["v"]
-    return query_plan.search(docs, plan, vectors=vectors, query_vector=query_vector)
+    """A search with words, a phrase and filters over all documents: keyword, name and vector lists, fused, scored and cut."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("source_id"), F.col("doc_id").alias("chunk_id"), "text")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+    plan = query_plan.parse_query('thand ation "of the" kind:document after:2019')
+    one = vectors.orderBy("chunk_id").first()
+    return query_plan.search(chunks, _sources(spark, sf_dir), plan, vectors, one["v"] if one else None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
-from ..operators import chunking, facets, folding, people, relations, selection
+from ..operators import chunking, facets, folding, people, ranks, relations, selection
 from ..sources import readers
 from ..streaming import events as S
 from ..session import table
@@ -86,9 +86,10 @@ def people_cluster(spark, d):
     return people.cluster(table(spark, d, "embeddings").select("vec_id", "embedding"), floor=0.3)
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_orphans(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    held = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(held, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (1, 2)")
@@ -145,11 +146,13 @@ def rename_detect(spark, d):
     return relations.snapshot_diff(*_snapshots(spark, d), "path").filter("change = 'renamed'").select("path", "renamed_from")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS v, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 3 = 0 THEN 'inserted' WHEN c_custkey % 4 = 0 THEN 'updated' ELSE 'kept' END AS action FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 = 0")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 7 <> 0 THEN 2.0 END WHEN c_custkey % 5 <> 0 THEN 1.0 END::DOUBLE AS v,
+CASE WHEN c_custkey % 4 = 0 AND c_custkey % 3 = 0 THEN 'inserted' WHEN c_custkey % 4 = 0 AND c_custkey % 35 <> 0 THEN 'updated' ELSE 'kept' END AS action FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 = 0""")
 def upsert_register(spark, d):
     c = table(spark, d, "customer")
-    old, new = c.filter("c_custkey % 3 <> 0").select("c_custkey", F.lit(1.0).alias("v")), c.filter("c_custkey % 4 = 0").select("c_custkey", F.lit(2.0).alias("v"))
-    return relations.upsert(old, new, "c_custkey", F.col("e.v") != F.col("i.v"))
+    old = c.filter("c_custkey % 3 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, 1.0).alias("v"))
+    new = c.filter("c_custkey % 4 = 0").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, 2.0).alias("v"))
+    return relations.upsert(old, new, "c_custkey", ~F.col("e.v").eqNullSafe(F.col("i.v")))
 
 
 @query("SELECT doc_id, canonical FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents) WHERE doc_id <> canonical")
@@ -197,8 +200,7 @@ def json_last_object(spark, d):
 
 @query("SELECT doc_id, source, total FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM documents) WHERE total <= 20000")
 def budget_window(spark, d):
-    running = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, d, "documents").select("doc_id", "source", running.alias("total")).filter("total <= 20000")
+    return ranks.running_sum(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], [F.col("doc_id")], "n_chars").filter("total <= 20000").select("doc_id", "source", "total")
 
 
 @query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents), k AS (SELECT unnest(range(5)) AS j)
@@ -209,9 +211,8 @@ def even_sample(spark, d):
 
 @query("SELECT doc_id, round(1 - (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1) / count(*) OVER (PARTITION BY source)::DOUBLE, 6) AS score FROM documents")
 def native_rank(spark, d):
-    w = Window.partitionBy("source")
-    rank = F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")) - 1
-    return table(spark, d, "documents").select("doc_id", F.round(1 - rank / F.count("*").over(w), 6).alias("score"))
+    held = ranks.numbered(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")])
+    return held.select("doc_id", F.round(1 - (F.col("rn") - 1) / F.col("n"), 6).alias("score"))
 
 
 @query(f"SELECT w AS label, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS w FROM documents) WHERE length(w) >= 4 GROUP BY 1 HAVING count(*) >= 2")
@@ -249,31 +250,47 @@ def web_dedupe_url(spark, d):
     return folding.first_by(table(spark, d, "pages"), [T.normalize_url(F.col("url"))], [F.col("page_id")]).select("page_id")
 
 
-@query("""WITH t AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM part)
-SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id AND len(list_intersect(a.w, b.w)) >= 0.85 * len(list_distinct(list_concat(a.w, b.w)))""")
+_TITLE_SETS = """t AS (SELECT min(id) AS id, w FROM (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''))) AS w FROM part) GROUP BY w)"""
+
+
+@query(f"WITH {_TITLE_SETS} SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id AND 100 * len(list_intersect(a.w, b.w)) >= 50 * len(list_distinct(list_concat(a.w, b.w)))")
 def web_dedupe_title_jaccard(spark, d):
-    return folding.similar_titles(table(spark, d, "part"), "p_partkey", "p_name")
+    return folding.similar_titles(table(spark, d, "part"), "p_partkey", "p_name", 50)
+
+
+@query("""SELECT id, head FROM (SELECT id, min(id) OVER (PARTITION BY w) AS head FROM (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> ''))) AS w FROM part)) WHERE id <> head""")
+def web_dedupe_title_members(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), folding.title_words(F.col("p_name")).alias("w"))
+    return rows.join(rows.groupBy("w").agg(F.min("id").alias("head")), "w").filter("id <> head").select("id", "head")
 
 
-@query(r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\.', ''), '[?#].*$', ''), '/+$', '') AS u FROM pages)
-SELECT min(page_id) AS page_id FROM n WHERE page_id % 2 = 1 AND u NOT IN (SELECT u FROM n WHERE page_id % 2 = 0) GROUP BY u""")
+@query(r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\.', ''), '[?#].*$', ''), '/+$', '') AS u,
+CASE WHEN page_id % 3 = 0 THEN 'short' ELSE 'a longer title ' || (page_id % 40) END AS t FROM pages), e AS (SELECT * FROM n WHERE page_id % 2 = 0)
+SELECT min(page_id) AS page_id FROM n WHERE page_id % 2 = 1 AND u NOT IN (SELECT u FROM e) AND (length(t) <= 8 OR t NOT IN (SELECT t FROM e)) GROUP BY u""")
 def fetch_more_novelty(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url", F.lit("short").alias("title"))
+    title = F.when(F.col("page_id") % 3 == 0, "short").otherwise(F.concat(F.lit("a longer title "), (F.col("page_id") % 40).cast("string")))
+    p = table(spark, d, "pages").select("page_id", "url", title.alias("title"))
     return folding.novel(p.filter("page_id % 2 = 1"), p.filter("page_id % 2 = 0"), "page_id").select("page_id")
 
 
-@query("SELECT page_id, CASE WHEN url LIKE '%.gov/%' OR url LIKE '%.edu/%' THEN 'high' ELSE 'medium' END AS quality FROM pages")
+_HOST = r"regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1), '^www\.', '')"
+_HIGH = r"regexp_matches(host, 'gov|edu|nature\.com|science\.org|pubmed\.ncbi\.nlm\.nih\.gov|scholar\.google|arxiv\.org|bbc\.com|reuters\.com|apnews\.com|nytimes\.com|theguardian\.com|who\.int|un\.org')"
+
+
+@query(f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://www.city.gov.in/a' WHEN 1 THEN 'nowhere' ELSE url END AS url FROM pages))
+SELECT page_id, CASE WHEN host = '' THEN 'low' WHEN page_id % 7 = 0 OR {_HIGH} THEN 'high' ELSE 'medium' END AS quality FROM h""")
 def source_quality(spark, d):
-    return table(spark, d, "pages").select("page_id", T.source_quality(F.col("url")).alias("quality"))
+    url = F.when(F.col("page_id") % 5 == 0, "https://www.city.gov.in/a").when(F.col("page_id") % 5 == 1, "nowhere").otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", T.source_quality(url, F.when(F.col("page_id") % 7 == 0, "paper").otherwise("article")).alias("quality"))
 
 
-@query("""SELECT page_id, (50 + CASE WHEN url LIKE '%.gov/%' OR url LIKE '%.edu/%' THEN 25 ELSE 12 END
+@query(f"""SELECT page_id, (50 + CASE WHEN page_id % 4 IN (1, 2) OR {_HIGH.replace('host', _HOST)} THEN 25 ELSE 12 END
   + CASE page_id % 4 WHEN 0 THEN 25 WHEN 1 THEN CASE WHEN length(html) > 100 THEN 20 ELSE 0 END + CASE WHEN page_id % 90 > 5 THEN least(15, (page_id % 90) // 5) ELSE 0 END WHEN 2 THEN 15 ELSE CASE WHEN length(html) > 200 THEN 10 ELSE 0 END END
   + CASE WHEN regexp_matches(lower(url), 'gov|niti aayog|pib|nature|ieee|arxiv|science|reuters|bloomberg|isro') THEN 15 ELSE 0 END)::DOUBLE AS score FROM pages""")
 def source_priority(spark, d):
     kind = F.element_at(F.array(*(F.lit(k) for k in ("video", "paper", "report", "article"))), (F.col("page_id") % 4 + 1).cast("int"))
     none = F.lit(None).cast("double")
-    score = selection.source_priority(F.lit(False), none, T.source_quality(F.col("url")), kind, F.col("html"), F.col("page_id") % 90, F.lit(True), F.lit(60), none.cast("string"), F.col("url"))
+    score = selection.source_priority(F.lit(False), none, T.source_quality(F.col("url"), kind), kind, F.col("html"), F.col("page_id") % 90, F.lit(True), F.lit(60), none.cast("string"), F.col("url"))
     return table(spark, d, "pages").select("page_id", score.alias("score"))
 
 
@@ -295,19 +312,49 @@ def norm_title(spark, d):
     return table(spark, d, "part").select("p_partkey", T.norm_title(F.col("p_name")).alias("title"), T.title_key(F.col("p_name")).alias("key"))
 
 
-@query("""WITH s AS (SELECT p_partkey, '978' || lpad((p_partkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS c FROM part),
-t AS (SELECT p_partkey, c, list_sum(list_transform(range(1, 13), lambda i: substr(c, i, 1)::INT * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) AS total FROM s) SELECT p_partkey, c || ((10 - total % 10) % 10)::INT::VARCHAR AS isbn FROM t""")
+@query("""WITH s AS (SELECT p_partkey, lpad((p_partkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS c FROM part), t AS (SELECT p_partkey, '978' || c AS c FROM s),
+u AS (SELECT p_partkey, c, list_sum(list_transform(range(1, 13), lambda i: substr(c, i, 1)::INT * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) AS total FROM t)
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN c || '5' WHEN 1 THEN NULL ELSE c || ((10 - total % 10) % 10)::INT::VARCHAR END AS isbn FROM u""")
 def isbn13(spark, d):
-    ten = F.concat(F.lpad((F.col("p_partkey") * 7919 % 1000000000).cast("string"), 9, "0"), F.lit("X"))
-    return table(spark, d, "part").select("p_partkey", T.isbn13(ten).alias("isbn"))
+    nine = F.lpad((F.col("p_partkey") * 7919 % 1000000000).cast("string"), 9, "0")
+    given = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("978-"), nine, F.lit("-5"))).when(F.col("p_partkey") % 4 == 1, F.concat(nine, F.lit("X9"))).when(
+        F.col("p_partkey") % 4 == 2, F.concat(nine, F.lit("x"))).otherwise(F.concat(F.substring(nine, 1, 4), F.lit("-"), F.substring(nine, 5, 5), F.lit(" 1")))
+    return table(spark, d, "part").select("p_partkey", T.isbn13(given).alias("isbn"))
 
 
-@query()
+def _records(spark, d):
+    """Parts as catalog records: some share an ISBN, a DOI, or title and author."""
+    k = F.col("p_partkey")
+    strings = "array<string>"
+    return table(spark, d, "part").select(
+        k.alias("id"), F.when(k % 2 == 0, "koha").otherwise("dspace").alias("source"), (F.col("p_size") / 50).alias("score"), F.when(k % 10 == 0, F.concat(F.lit("10.1/"), F.floor(k / 30).cast("string"))).alias("doi"),
+        F.lit(None).cast("string").alias("handle"), F.when(k % 10 == 1, F.array(F.concat(F.lit("978"), F.lpad(F.floor(k / 20).cast("string"), 10, "0")))).otherwise(F.array().cast(strings)).alias("isbns"),
+        F.concat(F.lit("The "), F.col("p_name"), F.lit(" of "), F.floor(k / 7).cast("string")).alias("title"), F.array(F.concat(F.col("p_brand"), F.lit(", A."))).alias("authors"), F.when(k % 3 == 0, F.col("p_size")).alias("year"),
+        F.when(k % 4 == 0, F.col("p_type")).alias("abstract"), F.array("p_type").alias("subjects"))
+
+
+_RECORDS = """r AS (SELECT p_partkey AS id, p_size / 50.0::DOUBLE AS score, CASE WHEN p_partkey % 10 = 0 THEN 'doi:' || (p_partkey // 30) END AS doi, CASE WHEN p_partkey % 10 = 1 THEN 'isbn:' || (p_partkey // 20) END AS isbn,
+regexp_replace(lower(p_name || ' of ' || (p_partkey // 7)), '[^a-z0-9]', '', 'g') || '|' || regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS t FROM part),
+k AS (SELECT id, doi AS k FROM r WHERE doi IS NOT NULL UNION SELECT id, isbn FROM r WHERE isbn IS NOT NULL UNION SELECT id, t FROM r WHERE length(split_part(t, '|', 1)) >= 10)"""
+
+
+@query(f"WITH {_RECORDS} SELECT id, k FROM (SELECT id, CASE WHEN k LIKE '%|%' THEN 't:' || k WHEN k LIKE 'doi:%' THEN 'doi:10.1/' || k[5:] ELSE 'isbn:978' || lpad(k[6:], 10, '0') END AS k FROM k)")
+def catalog_keys(spark, d):
+    return folding.catalog_keys(_records(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_RECORDS}, e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.k = b.k AND a.id <> b.id), c AS (SELECT id, id AS head FROM r UNION SELECT e.b, c.head FROM c JOIN e ON e.a = c.id WHERE c.head < e.b)
+SELECT id, min(head) AS head FROM c GROUP BY 1""")
 def catalog_fold(spark, d):
-    p = table(spark, d, "part")
-    none = F.lit(None).cast("string")
-    records = p.select(F.col("p_partkey").alias("id"), none.alias("doi"), none.alias("isbn"), none.alias("handle"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_size").alias("year"))
-    return folding.fold_catalog(records)
+    return folding.fold_catalog(_records(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_RECORDS}, e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.k = b.k AND a.id <> b.id), c AS (SELECT id, id AS head FROM r UNION SELECT e.b, c.head FROM c JOIN e ON e.a = c.id WHERE c.head < e.b),
+h AS (SELECT id, min(head) AS head FROM c GROUP BY 1), m AS (SELECT h.head, r.id, r.score, CASE WHEN p_partkey % 4 = 0 THEN p_type END AS abstract, row_number() OVER (PARTITION BY head ORDER BY r.score DESC, r.id) AS rn FROM h JOIN r USING (id) JOIN part ON p_partkey = r.id)
+SELECT arg_min(id, rn) AS id, max(score) AS score, arg_min(abstract, rn) FILTER (abstract IS NOT NULL) AS abstract, count(*) - 1 AS copies, coalesce(string_agg(id::VARCHAR, ',' ORDER BY rn) FILTER (rn > 1), '') AS also FROM m GROUP BY head""")
+def catalog_merge(spark, d):
+    m = folding.merge_catalog(_records(spark, d))
+    return m.select("id", "score", "abstract", F.size("also_in").cast("long").alias("copies"), F.array_join(F.transform("also_in", lambda x: x["id"].cast("string")), ",").alias("also"))
 
 
 @query()
