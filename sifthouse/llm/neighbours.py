@@ -20,8 +20,8 @@ from ..session import settle
 SAMPLE = 8_000
 #: A fixed number, so that the sample has some five hundred vectors of each part to learn from.
 PARTS = 16
-#: Vectors a block holds, at most about.
-BLOCK_ROWS = 8_192
+#: Vectors a block holds, and queries that are compared with it together, at most about.
+BLOCK_ROWS, QUERY_ROWS = 8_192, 8_192
 #: Fewer vectors don't make a graph to cut; there is one part.
 LEAST_ROWS = 100
 
@@ -103,7 +103,7 @@ class Router:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v`` (doubles) of the rows that take part: all components finite, not all zero, of the commonest length."""
+    """``vec_id, v`` (doubles) of the rows that take part: all components finite, not all zero."""
     double = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), double.alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -125,12 +125,14 @@ def fit(rows: DataFrame, count: int, recall: float, k: int) -> tuple[Router | No
     parts = PARTS
     near = _nearest(x, min(k, len(x) - 1))
     part = balanced_parts(near[:, : min(10, near.shape[1])], parts)
-    router = Router(x, part, parts)
+    # every fourth row is kept from the router: what recall it gives shows on rows that it hasn't seen
+    kept = np.arange(len(x)) % 4 == 0
+    router = Router(x[~kept], part[~kept], parts)
     ranked = router.ranked(x)
     rank = np.empty_like(ranked)
     np.put_along_axis(rank, ranked, np.arange(parts)[None, :], axis=1)
     homes = ranked[:, 0]
-    needed = np.take_along_axis(rank, homes[near], axis=1).ravel()
+    needed = np.take_along_axis(rank, homes[near], axis=1)[kept].ravel()
     probes = int(np.searchsorted(np.cumsum(np.bincount(needed, minlength=parts)) / len(needed), recall)) + 1
     return router, parts, min(probes, parts)
 
@@ -175,12 +177,19 @@ def _block_best(k: int):
 
 
 def _search(queries: DataFrame, indexed: DataFrame, k: int) -> DataFrame:
-    """``query_id, rank, vec_id, score`` from ``queries(vec_id, v, parts)`` and ``indexed(vec_id, v, part)``."""
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-    held = indexed.join(blocks, "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
-    asked = queries.select("vec_id", "v", F.explode("parts").alias("part")).join(blocks, "part").select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
-    best = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(_block_best(k), "query_id long, vec_id long, score double")
+    """``query_id, rank, vec_id, score`` from ``queries(vec_id, v, parts)`` and ``indexed(vec_id, v, part)``.
+
+    Both sides of a part are dealt into blocks of bounded size, which meet two by two.
+    """
+    asked = queries.select("vec_id", "v", F.explode("parts").alias("part"))
+    blocks = lambda rows, size, name: rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
+    sizes = blocks(indexed, BLOCK_ROWS, "blocks").join(blocks(asked, QUERY_ROWS, "turns"), "part")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
+    held = indexed.join(sizes, "part").select("part", own("blocks", 1).alias("block"), every("turns").alias("turn"), "vec_id", "v")
+    asked = asked.join(sizes, "part").select("part", every("blocks").alias("block"), own("turns", 2).alias("turn"), "vec_id", "v")
+    by = ["part", "block", "turn"]
+    best = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_block_best(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -188,22 +197,28 @@ def _search(queries: DataFrame, indexed: DataFrame, k: int) -> DataFrame:
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest rows of ``vectors`` by inner product, ties to the smaller id.
 
-    Rows with a null id or a null, zero or non-finite vector take no part, nor do vectors of
-    other than the commonest length. A query never finds rows of its own id; rows that repeat an
-    id and vector count once. A query that its parts leave with fewer than ``k`` rows is asked
-    again over all parts.
+    Rows with a null id or a null, zero or non-finite vector take no part. Vectors are compared
+    with those of their own length: of the commonest one by way of the learnt parts, of any other
+    exactly. A query never finds rows of its own id; of queries that repeat an id the one with
+    the least vector counts; rows that repeat an id and vector count once. A query that its parts
+    leave with fewer than ``k`` rows is asked again over all parts.
     """
-    rows, asked = usable(vectors), usable(queries)
+    rows, asked = usable(vectors), usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
     if not lengths:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     dim, count = lengths[0]["n"], lengths[0]["c"]
-    rows, asked = rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim).dropDuplicates(["vec_id"])
-    router, parts, probes = fit(rows, count, recall, k)
-    indexed = settle(_routed(rows, router, 1).select("vec_id", "v", F.col("parts")[0].alias("part")))
-    found = settle(_search(_routed(asked, router, probes), indexed, k))
+    common = lambda d: d.filter(F.size("v") == dim)
+    router, parts, probes = fit(common(rows), count, recall, k)
+    # any other length is a part of its own
+    others = lambda d: d.filter(F.size("v") != dim).withColumn("own", -F.size("v"))
+    placed = _routed(common(rows), router, 1).select("vec_id", "v", F.col("parts")[0].alias("part"))
+    indexed = settle(placed.unionByName(others(rows).withColumnRenamed("own", "part")))
+    routed = _routed(common(asked), router, probes).select("vec_id", "v", "parts")
+    found = settle(_search(routed.unionByName(others(asked).select("vec_id", "v", F.array("own").alias("parts"))), indexed, k))
     if probes < parts:
         got = found.groupBy("query_id").agg(F.count("*").alias("n"))
+        asked = common(asked)
         short = asked.join(got, asked["vec_id"] == got["query_id"], "left").filter(F.coalesce("n", F.lit(0)) < min(k, count - 1)).select("vec_id", "v")
         if not short.isEmpty():
             full = _search(short.withColumn("parts", F.array(*(F.lit(p) for p in range(parts)))), indexed, k)

@@ -263,6 +263,23 @@ def test_neighbours_leave_out_odd_vectors(spark):
     assert neighbours.nearest_neighbours(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_neighbours_in_small_blocks_of_both_sides(spark, monkeypatch):
+    """Blocks of a few rows and queries: all pairs meet once, and other lengths are searched among themselves."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 4)
+    x = np.random.default_rng(3).normal(size=(89, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1_000 + i, [float(i), 1.0]) for i in range(5)] + [(0, [9.0] * 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_neighbours(table, table.filter("vec_id % 10 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[1_000] == [1_001, 1_002, 1_003, 1_004]
+    for q in range(10, 89, 10):
+        near = sorted(((-float(np.dot(x[q], v)), i) for i, v in rows[:89] + rows[-1:] if i != q), key=lambda p: (round(p[0], 9), p[1]))
+        assert got[q] == list(dict.fromkeys(i for _, i in near))[:5] or len({i for _, i in near[:5]}) < 5
+    assert set(got) == {*range(0, 89, 10), 1_000}
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(0).normal(size=(600, 8))
     parts = neighbours.balanced_parts(neighbours._nearest(x, 10), 4)
