@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import scores, text as T
-from ..operators import facets, folding, fusion, people, ranks, relations, research
+from ..operators import facets, folding, fusion, people, relations, research, topics
 from ..session import table
+from ..streaming import events as S, files
 from .registry import TOKENS, query
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -453,3 +454,51 @@ def failure_lockout(spark, d):
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     n = F.count_if(F.col("event_type") == "click").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(-86_400_000_000, 0))
     return e.withColumn("n", n).filter("n >= 3").select("event_id")
+
+
+# ---- streams of file events
+
+_EVENTS = """e AS (SELECT event_id, ts, CASE event_type WHEN 'view' THEN 'modified' WHEN 'click' THEN 'moved' ELSE 'deleted' END AS event, CASE WHEN event_id % 7 = 0 THEN '.hidden/' ELSE 'docs/' END || (user_id % 30) || '.txt' AS path,
+CASE WHEN event_type = 'click' THEN CASE WHEN event_id % 5 = 0 THEN 'node_modules/x.txt' ELSE 'moved/' || event_id || '.txt' END END AS dest, event_id % 11 = 0 AS is_dir FROM events)"""
+
+
+def _file_events(rows):
+    k = F.col("event_id")
+    click = F.col("event_type") == "click"
+    return rows.select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "view", "modified").when(click, "moved").otherwise("deleted").alias("event"),
+        F.concat(F.when(k % 7 == 0, ".hidden/").otherwise("docs/"), (F.col("user_id") % 30).cast("string"), F.lit(".txt")).alias("path"),
+        F.when(click, F.when(k % 5 == 0, "node_modules/x.txt").otherwise(F.concat(F.lit("moved/"), k.cast("string"), F.lit(".txt")))).alias("dest"), (k % 11 == 0).alias("is_dir"))
+
+
+@query(f"""WITH {_EVENTS}, o AS (SELECT *, path NOT LIKE '.%' AS seen, dest IS NOT NULL AND dest NOT LIKE 'node%' AS came FROM e),
+r AS (SELECT event_id, CASE WHEN event = 'moved' AND seen AND came THEN 'move' WHEN event = 'moved' AND seen THEN 'delete' WHEN event = 'moved' AND came THEN CASE WHEN is_dir THEN 'scan' ELSE 'change' END WHEN event = 'moved' OR NOT seen THEN NULL
+WHEN event = 'deleted' THEN 'delete' WHEN NOT is_dir THEN 'change' END AS op, CASE WHEN event = 'moved' AND NOT seen THEN dest ELSE path END AS path FROM o) SELECT event_id, op, path FROM r WHERE op IS NOT NULL""")
+def file_operations(spark, d):
+    return files.operations(_file_events(table(spark, d, "events"))).select("event_id", "op", "path")
+
+
+@query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, value) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE event_type = 'view'),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, value) AS sid FROM g) SELECT user_id::VARCHAR AS path, count(*) AS n, arg_max(floor(value), (ts, floor(value)))::BIGINT AS size FROM s GROUP BY user_id, sid""")
+def stream_quiet_files(spark, d):
+    e = S.event_stream(spark, f"{d}/events.parquet").filter("event_type = 'view'").select("ts", F.col("user_id").cast("string").alias("path"), F.floor("value").alias("size"), F.lit(1.0).alias("mtime"))
+    return S.run_to_end(files.quiet_changes(e, "2 hours"), "complete").select("path", "n", "size")
+
+
+@query("""WITH q AS (SELECT o_orderkey AS id, o_custkey % 3 AS attempts, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'O')
+SELECT id, CASE WHEN id % 3 = 0 THEN 'done' WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'queued' END AS status FROM q WHERE rn <= 40""")
+def queue_claims(spark, d):
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("size"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("done").alias("status"),
+        (F.col("o_custkey") % 3).cast("int").alias("attempts"), F.lit(None).cast("string").alias("worker"))
+    held = files.claim(o, "w1", 40)
+    results = held.filter("worker = 'w1'").select("id", F.lit("w1").alias("worker"), (F.col("id") % 3 == 0).alias("ok"))
+    return files.finish(held, results).join(results.select("id"), "id", "left_semi").select("id", "status")
+
+
+@query()
+def file_topics(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", F.concat(F.lit("IMG_"), F.lpad(F.col("doc_id").cast("string"), 4, "0"), F.lit(".txt")).alias("name"), F.concat(F.lit("Events/Annual Trip "), F.col("lang")).alias("folder"),
+                       F.array("source").alias("headings"), "text", F.array().cast("array<string>").alias("people"))
+    return topics.derive_topics(rows, "doc_id")

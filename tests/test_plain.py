@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sifthouse.functions import scores
-from sifthouse.operators import chunking, folders, folding, fusion, people, ranks, relations, research, retrieval
+from sifthouse.operators import chunking, folders, folding, fusion, people, ranks, relations, research, retrieval, topics
 from sifthouse.plans import query_plan
 from sifthouse.queries import library, search, tables
+from sifthouse.streaming import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -231,3 +232,36 @@ def test_a_named_folder_lifts_its_files(spark):
     got = {r["file"]: r for r in query_plan.search(chunks, sources, query_plan.parse_query("sunset in goa"), relative=1.0).collect()}
     assert set(got) == {0, 1, 2, 6} and max(got, key=lambda f: got[f]["relevance"]) == 1
     assert got[0]["matched_by"] == "folder,name" and got[1]["matched_by"] == "bm25,folder,folder_bm25,name" and got[6]["matched_by"] == "bm25"
+
+
+def test_files_follow_their_events_and_go_on_after_a_stop(spark, tmp_path):
+    schema = "ts timestamp, event string, path string, dest string, is_dir boolean, size long, mtime double"
+    rows = lambda *r: spark.sql("select * from values " + ", ".join(
+        f"(timestamp'2024-01-01 00:00:{t:02d}', '{e}', '{p}', cast({repr(d) if d else 'null'} as string), {dirs}, {size}L, {size}.0D)" for t, e, p, d, dirs, size in r) + " as t(ts, event, path, dest, is_dir, size, mtime)")
+    source, folder = f"{tmp_path}/events", f"{tmp_path}/run"
+    stream = lambda: spark.readStream.schema(schema).parquet(source)
+    table = lambda: {tuple(r)[:2] for r in files.follow(stream(), folder).collect()}
+    rows((1, "created", "a/one.txt", None, "false", 1), (2, "created", "a/two.txt", None, "false", 2), (3, "modified", "a/one.txt", None, "false", 3), (4, "created", "b/x.exe", None, "false", 4), (5, "created", ".git/y.txt", None, "false", 5)).write.parquet(source)
+    assert table() == {("a/one.txt", 3), ("a/two.txt", 2)}
+    rows((6, "moved", "a", "c/d", "true", 0), (7, "moved", "z/up.part", "c/new.pdf", "false", 0)).write.mode("append").parquet(source)
+    assert table() == {("c/d/one.txt", 3), ("c/d/two.txt", 2), ("c/new.pdf", None)}
+    rows((8, "deleted", "c/d/one.txt", None, "false", 0), (9, "modified", "c/d/one.txt", None, "false", 9), (10, "moved", "c/d/two.txt", "c/d/two.bak", "false", 0), (11, "deleted", "c/new.pdf", None, "false", 0)).write.mode("append").parquet(source)
+    assert table() == {("c/d/one.txt", 9)}
+    assert table() == {("c/d/one.txt", 9)}  # nothing new: nothing runs again
+
+
+def test_queued_rows_are_finished_by_their_holder_only(spark):
+    queue = spark.createDataFrame([(1, 5, 10, "queued", 0, None), (2, 9, 30, "queued", 2, None), (3, 9, 20, "queued", 0, None), (4, 9, 1, "queued", 3, None)], "id long, priority int, size long, status string, attempts int, worker string")
+    held = files.claim(queue, "w", 2)
+    assert {r["id"] for r in held.filter("worker = 'w'").collect()} == {2, 3}
+    results = spark.createDataFrame([(2, "w", False), (3, "other", True), (1, "w", True)], "id long, worker string, ok boolean")
+    assert {(r["id"], r["status"]) for r in files.finish(held, results).collect()} == {(1, "queued"), (2, "failed"), (3, "processing"), (4, "queued")}
+
+
+def test_topics_of_a_file():
+    found, events = topics.topics_of("report_final.pdf", "Events/Rahul Wedding 2021", ["Page 3", "Budget Overview"], "Union Public Service met. Union Public Service spoke of water, water and water.", ["Ann Lee"])
+    assert events == ["Rahul Wedding 2021"]
+    assert found == ["Ann Lee", "Budget Overview", "Rahul Wedding 2021", "Union Public Service", "Water"]
+    assert topics.topics_of("IMG_0042.jpg", "DCIM/100MSDCF", [], "", []) == ([], [])
+    assert topics.topics_of("Garden plans.txt", "", [], "", []) == (["Garden plans"], [])
+    assert topics.topics_of("x.txt", "", [], "the annual goa trip of 2019 and Goa Trip 2019", [])[1] == ["Goa Trip 2019"]
