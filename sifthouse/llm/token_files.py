@@ -25,10 +25,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, strip
     """Encode every whole text, append ``end_id``, and write ids in ascending ``doc_id`` order as ORC under ``path``.
 
     ``block`` numbers the ranges of documents and ``at`` counts the ids before a document in its
-    block. Null texts hold the end id alone; null document ids come first; repeated ids follow
-    each other in the order of their texts.
+    block. Null texts hold the end id alone; null document ids come first; rows that repeat an id,
+    or lack one, follow each other in the order of a hash of their texts, which also deals them
+    out where they are many.
     """
-    ranged = docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    order = F.asc_nulls_first("doc_id"), F.xxhash64("text")
+    ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_batch = _worker_encoder(vocabulary, False, True, None)
