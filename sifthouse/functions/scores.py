@@ -28,9 +28,20 @@ def hamming(a: Column, b: Column) -> Column:
     return F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(64)).cast("int")
 
 
-def hash_similarity(d: Column) -> Column:
-    # Similarity of hashes by differing bits.
-    return (F.when(d == 0, 1.0).when(d <= 2, 0.95).when(d <= 4, 0.90).when(d <= 6, 0.80).when(d <= 8, 0.70).when(d <= 10, 0.65).otherwise(0.0))
+# Similarity of pictures by the differing bits of both their hashes, and then of the closer one.
+BOTH_WITHIN = [(0, 1.00), (2, 0.99), (3, 0.98), (5, 0.95)]
+ONE_WITHIN = [(4, 0.94), (6, 0.90), (8, 0.80), (10, 0.65)]
+# End of fixed values.
+
+
+def hash_similarity(p: Column, d: Column) -> Column:
+    """Similarity of two pictures from the differing bits of two kinds of hashes."""
+    out = F.lit(0.0)
+    for bits, similarity in reversed(ONE_WITHIN):
+        out = F.when(F.least(p, d) <= bits, similarity).otherwise(out)
+    for bits, similarity in reversed(BOTH_WITHIN):
+        out = F.when(F.greatest(p, d) <= bits, similarity).otherwise(out)
+    return out
 
 
 def through(x: Column, knots: list[tuple[float, float]]) -> Column:

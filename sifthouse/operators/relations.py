@@ -137,3 +137,9 @@ def already_there(uploads: DataFrame, files: DataFrame, apart: float = 2.0) -> D
     held = uploads.withColumn("slot", slot)
     same = [held[c] == near[c] for c in ("name", "size", "slot")]
     return held.join(near, [*same, F.abs(held["mtime"] - near["there"]) < apart], "left_semi").drop("slot")
+
+
+def with_parent(signals: DataFrame, sources: DataFrame) -> DataFrame:
+    """Signals of parts of files with their file's columns; ids are the same with and without ``src-`` before them."""
+    bare = F.regexp_replace("source_id", "^src-", "")
+    return signals.withColumn("source_id", bare).join(sources.withColumn("source_id", bare), "source_id", "left")

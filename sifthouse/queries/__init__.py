@@ -1,7 +1,7 @@
 """All registered queries of the engine, with the SQL that checks them."""
 
-from . import library, search, tables
+from . import library, search, signals, tables
 from .registry import ORACLE_SQL, QUERIES
 from .search import flagship
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "library", "search", "tables"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "library", "search", "signals", "tables"]

@@ -168,11 +168,12 @@ def calibration_faces(spark, d):
 
 
 @query("""SELECT event_id, round(least(0.99, ln(1 + v) / (1 + ln(1 + v))), 4)::DOUBLE AS score, CASE WHEN event_id % 4 = 0 THEN 0.3 WHEN event_id % 4 = 1 THEN 0.3 WHEN event_id % 4 = 2 THEN 1.0 ELSE 0.5 END::DOUBLE AS cut,
-CASE WHEN h = 0 THEN 1.0 WHEN h <= 2 THEN 0.95 WHEN h <= 4 THEN 0.9 WHEN h <= 6 THEN 0.8 WHEN h <= 8 THEN 0.7 WHEN h <= 10 THEN 0.65 ELSE 0 END::DOUBLE AS same FROM (SELECT event_id, value AS v, (event_id % 13)::INT AS h FROM events)""")
+CASE WHEN greatest(h, g) = 0 THEN 1.0 WHEN greatest(h, g) <= 2 THEN 0.99 WHEN greatest(h, g) <= 3 THEN 0.98 WHEN greatest(h, g) <= 5 THEN 0.95 WHEN least(h, g) <= 4 THEN 0.94 WHEN least(h, g) <= 6 THEN 0.9 WHEN least(h, g) <= 8 THEN 0.8 WHEN least(h, g) <= 10 THEN 0.65 ELSE 0 END::DOUBLE AS same
+FROM (SELECT event_id, value AS v, (event_id % 13)::INT AS h, (event_id % 17)::INT AS g FROM events)""")
 def score_ladders(spark, d):
     k = F.col("event_id")
     raw = F.when(k % 4 == 0, "30").when(k % 4 == 1, "0.3").when(k % 4 == 2, "250").otherwise("none")
-    return table(spark, d, "events").select("event_id", scores.rank_to_score(F.col("value")).alias("score"), scores.threshold(raw, 0.5).alias("cut"), scores.hash_similarity((k % 13).cast("int")).alias("same"))
+    return table(spark, d, "events").select("event_id", scores.rank_to_score(F.col("value")).alias("score"), scores.threshold(raw, 0.5).alias("cut"), scores.hash_similarity((k % 13).cast("int"), (k % 17).cast("int")).alias("same"))
 
 
 _DOTS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"

@@ -13,7 +13,7 @@ IGNORED = ["node_modules", "__pycache__", "$recycle.bin", "system volume informa
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     """``rel_path, name, ext, kind, size, mtime`` of the files below a folder, without hidden and ignored ones; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    base = F.lit(root.removeprefix("file://").rstrip("/") + "/")
+    base = root.removeprefix("file://").rstrip("/") + "/"
     rel = F.substring_index(F.col("path"), base, -1)
     parts = F.split(rel, "/")
     shown = ~F.exists(parts, lambda p: p.startswith(".") | F.lower(p).isin(IGNORED))

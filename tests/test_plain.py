@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sifthouse.functions import scores
-from sifthouse.operators import chunking, folders, folding, fusion, people, ranks, relations, research, retrieval, topics
+from sifthouse.operators import chunking, context, folders, folding, fusion, people, ranks, relations, research, retrieval, topics
 from sifthouse.plans import query_plan
 from sifthouse.queries import library, search, tables
+from sifthouse.sources import readers
 from sifthouse.streaming import files
 
 SF = "/root/testdata/sf0.001"
@@ -265,3 +266,59 @@ def test_topics_of_a_file():
     assert topics.topics_of("IMG_0042.jpg", "DCIM/100MSDCF", [], "", []) == ([], [])
     assert topics.topics_of("Garden plans.txt", "", [], "", []) == (["Garden plans"], [])
     assert topics.topics_of("x.txt", "", [], "the annual goa trip of 2019 and Goa Trip 2019", [])[1] == ["Goa Trip 2019"]
+
+
+def test_long_segments_are_split_at_punctuation():
+    words = [(float(i), i + 0.9, f" w{i}" + ("." if i in (4, 9, 20) else "")) for i in range(30)]
+    pieces = context.spoken_pieces(words)
+    assert [p[:2] for p in pieces] == [(0.0, 9.9), (10.0, 20.9), (21.0, 29.9)] and pieces[0][2].endswith("w9.")
+    assert context.spoken_pieces(words[:5]) == [(0.0, 4.9, "w0 w1 w2 w3 w4.")]
+    assert context.spoken_pieces([(float(i), i + 1.0, " x") for i in range(20)])[0][:2] == (0.0, 14.0)
+    assert context.spoken_pieces([]) == []
+
+
+def test_summaries_in_runs_that_fit(spark):
+    assert context.budget_groups(["a", "b", "c", "d"], [5, 6, 20, 1], 12) == [["a", "b"], ["c"], ["d"]]
+    got = library.table(spark, SF, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("place"), "text")
+    runs = context.summary_groups(got, 120).orderBy("job", "part").collect()
+    by = {}
+    for r in runs:
+        by.setdefault(r["job"], []).extend(r["texts"])
+    want = {}
+    for r in got.orderBy("job", "place").collect():
+        want.setdefault(r["job"], []).append(r["text"])
+    assert by == want
+
+
+def test_fingerprints_sample_large_files(spark):
+    import hashlib
+
+    small, large = b"abc", bytes(range(256)) * 4096 * 4
+    files_ = spark.createDataFrame([(1, bytearray(small)), (2, bytearray(large)), (3, None)], "id long, content binary")
+    got = {r["id"]: r["fingerprint"] for r in context.fingerprints(files_, "id", "content").collect()}
+    m, half = 1 << 20, len(large) // 2
+    assert got[1] == hashlib.blake2b(b"3abc", digest_size=16).hexdigest() and got[3] is None
+    assert got[2] == hashlib.blake2b(str(len(large)).encode() + large[:m] + large[half - m // 2 : half + m // 2] + large[-m:], digest_size=16).hexdigest()
+
+
+def test_readers_of_files_and_feeds(spark, tmp_path):
+    (tmp_path / "docs" / ".git").mkdir(parents=True)
+    (tmp_path / "docs" / "node_modules").mkdir()
+    for name, text in (("docs/a.md", "# A"), ("docs/b.CSV", "x,y\n1,\n"), ("docs/.git/c.txt", "no"), ("docs/node_modules/d.txt", "no"), ("docs/e.bin", "no")):
+        (tmp_path / name).write_text(text)
+    got = {(r["rel_path"], r["ext"], r["kind"], r["size"]) for r in readers.scan_folder(spark, f"file://{tmp_path}/docs").collect()}
+    assert got == {("a.md", "md", "document", 3), ("b.CSV", "csv", "document", 7), ("e.bin", "bin", "unsupported", 2)}
+    assert [r["text"] for r in readers.read_text(spark, f"{tmp_path}/docs/a.md").collect()] == ["# A"]
+    assert [tuple(r) for r in readers.read_table(spark, f"{tmp_path}/docs/b.CSV").collect()] == [("1", None)]
+    feed = "<rss><channel><item><title>A</title><link>l</link><description>ISBN: 3-16-148410-X, old</description></item><item><title>B</title><link>m</link><description>none</description></item></channel></rss>"
+    items = readers.parse_rss(spark.createDataFrame([(feed,)], "xml string"), "xml").collect()
+    assert [(r["title"], r["link"], r["isbn"]) for r in items] == [("A", "l", "3-16-148410-X"), ("B", "m", None)]
+    marc = ("<record xmlns='http://x'><datafield tag='245'><subfield code='a'>A book /</subfield></datafield><datafield tag='100'><subfield code='a'>Lee, Ann</subfield></datafield>"
+            "<datafield tag='260'><subfield code='b'>Press</subfield><subfield code='c'>c1999.</subfield></datafield><datafield tag='650'><subfield code='a'>Birds</subfield></datafield></record>")
+    r = readers.parse_marc(spark.createDataFrame([(marc,)], "xml string"), "xml").first()
+    assert (r["title"], r["authors"], r["publisher"], r["year"], r["subjects"], r["isbn"]) == ("A book", ["Lee, Ann"], "Press", "1999", ["Birds"], None)
+    found = '{"_embedded":{"searchResult":{"_embedded":{"objects":[{"hitHighlights":{"dc.title":["<em>T</em>"],"fulltext":["a <em>b</em>"]},"_embedded":{"indexableObject":{"handle":"1/2","metadata":{"dc.title":[{"value":"T"}],"dc.date.issued":[{"value":"2020-05"}],"dc.identifier.doi":[{"value":"https://doi.org/10.1/x"}]}}}}]}}}}'
+    r = readers.parse_discover(spark.createDataFrame([(found,)], "j string"), "j").first()
+    assert tuple(r) == ("1/2", "T", "2020", "10.1/x", "a b")
+    rows, status = readers.federate({"one": spark.createDataFrame([(1,)], "id long"), "two": TimeoutError("late")})
+    assert [tuple(r) for r in rows.collect()] == [(1, "one")] and status == [("one", "ok"), ("two", "failed: late")]
