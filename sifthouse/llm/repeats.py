@@ -4,11 +4,12 @@
    windows have equal seeds. Documents with one word sequence are folded to the smallest id.
 2. *Confirm*: seeds that occur in two documents lead to the windows around them; windows of equal
    words in two documents are confirmed as recurring, and the document of smallest id owns them.
-3. *Compile*: the owner's runs of confirmed windows are passages. Each is cut into aligned blocks
-   of 25 words, of which every window of 50 words holds one, and the blocks of a shard of
-   passages are compiled into an Aho-Corasick automaton.
-4. *Stream*: the documents that share windows with an owner stream through that owner's shard.
-   The windows around each block found are compared with the passages' own, each once.
+3. *Compile*: the owner's runs of confirmed windows are passages, cut into pieces of bounded length.
+   Each piece is cut into aligned blocks of 25 words, of which every window of 50 words holds one,
+   and the blocks of a shard of pieces are compiled into an Aho-Corasick automaton.
+4. *Stream*: every document that shares a window's hash with an owner streams through the automata
+   of the shards that hold those passages; in any other shard it can have no window. The automaton
+   finds the blocks, and the windows around each are compared with the passages' own words, each once.
 
 A passage in very many documents splits its shard's documents over several tasks.
 """
@@ -27,6 +28,8 @@ from .shared import Words, buffers, chunks, int64, list_array, mix, phrase_hashe
 
 WINDOW, PHRASE = 50, 12
 BLOCK = WINDOW // 2
+#: Starts of windows in a piece of a passage.
+PIECE = 4_096
 #: Bytes of passages in a shard, and of documents that stream through one task's automaton.
 SHARD_BYTES, STREAM_BYTES = 1 << 20, 3 << 20
 
@@ -106,7 +109,7 @@ def _recurring_windows(held: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _passages(owned: DataFrame, window: int) -> DataFrame:
-    """``owner, passage, text``: the words of each run of the windows that a document owns, joined by blanks."""
+    """``owner, piece, text``: the words of each run of the windows that a document owns, joined by blanks; windows that start in different stretches of ``PIECE`` words are in different pieces."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, number, text = [], [], []
@@ -115,15 +118,15 @@ def _passages(owned: DataFrame, window: int) -> DataFrame:
                 places = sorted(set(starts))
                 head = before = places[0]
                 for place in [*places[1:], None]:
-                    if place is None or place > before + 1:
+                    if place is None or place > before + 1 or place // PIECE > head // PIECE:
                         owner.append(doc_id)
-                        number.append(head)
+                        number.append(head // PIECE)
                         text.append(b" ".join(words[head : before + window]).decode("utf-8"))
                         head = place
                     before = place
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(number, pa.int32()), pa.array(text, pa.string())], ["owner", "passage", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(number, pa.int32()), pa.array(text, pa.string())], ["owner", "piece", "text"])
 
-    return owned.select("doc_id", "text", "starts").mapInArrow(run, "owner long, passage int, text string")
+    return owned.select("doc_id", "text", "starts").mapInArrow(run, "owner long, piece int, text string")
 
 
 def compile_automaton(passages: list[list[str]], block: int = BLOCK):
@@ -204,10 +207,12 @@ def repeated_ranges(docs: DataFrame, marked: DataFrame, window: int = WINDOW, ph
         windows.groupBy("w", "seed").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"))
         .filter("first.doc_id < last").select("w", "seed", F.col("first.doc_id").alias("owner"), F.col("first.at").alias("start")))
     owned = confirmed.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("start").alias("starts"))
-    size = confirmed.count() * 8
-    shard = F.pmod(F.xxhash64("owner"), F.lit(max(1, size // SHARD_BYTES))).cast("int").alias("shard")
-    passages = settle(_passages(held.join(owned, "doc_id"), window).select("owner", "passage", "text", shard))
-    routed = windows.join(confirmed, ["w", "seed"]).filter("doc_id > owner").select("doc_id", shard).distinct()
+    passages = settle(_passages(held.join(owned, "doc_id"), window))
+    size = passages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shard_of = lambda owner, piece: F.pmod(F.xxhash64(owner, piece), F.lit(max(1, size // SHARD_BYTES))).cast("int")
+    placed = confirmed.select("w", "seed", "owner", shard_of("owner", F.floor(F.col("start") / PIECE).cast("int")).alias("shard"))
+    routed = settle(windows.join(placed, ["w", "seed"]).filter("doc_id > owner").select("doc_id", "shard").distinct())
+    passages = passages.select("owner", "text", shard_of("owner", "piece").alias("shard"))
     streams = held.select("doc_id", "one", "text").join(routed, "doc_id")
     salts = routed.join(held.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id").groupBy("shard").agg(
         F.greatest(F.lit(1), F.ceil(F.sum("bytes") / F.lit(STREAM_BYTES))).cast("int").alias("salts"))
