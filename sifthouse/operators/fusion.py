@@ -136,6 +136,11 @@ def relative_cut(rows: DataFrame, relative: float, floor: float | Column = 0.0,
     return held.filter(F.col("score") >= F.greatest(floor, F.round(F.col("top") - relative, 4))).select(rows.columns)
 
 
+def bucket_floor(kind: Column, pure_visual: bool = False) -> Column:
+    """The least score of a bucket: where only pictures were asked for, documents need more."""
+    return F.when(kind == "document", 0.5 if pure_visual else 0.2).otherwise(0.2)
+
+
 def kind_caps(rows: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best rows of each ``kind`` by ``score``, ties to the smaller ``file``."""
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "file"))

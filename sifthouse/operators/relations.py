@@ -143,3 +143,14 @@ def with_parent(signals: DataFrame, sources: DataFrame) -> DataFrame:
     """Signals of parts of files with their file's columns; ids are the same with and without ``src-`` before them."""
     bare = F.regexp_replace("source_id", "^src-", "")
     return signals.withColumn("source_id", bare).join(sources.withColumn("source_id", bare), "source_id", "left")
+
+
+def linked_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``key, change`` of files that are linked one by one: one that isn't found is missing, and none is new, renamed or removed."""
+    found = snapshot_diff(old, new.join(old.select(key), key, "left_semi"), key)
+    return found.select(key, F.when(F.col("change") == "removed", "missing").otherwise(F.col("change")).alias("change"))
+
+
+def find_source(sources: DataFrame, locator: str) -> DataFrame:
+    """Sources by an id, with or without ``src-`` before it, or by their path."""
+    return sources.filter((F.col("source_id") == locator.removeprefix("src-")) | (F.col("rel_path") == locator))

@@ -7,19 +7,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scores import hamming, hash_similarity
 
 # Similarity from which a face is a match and what it and a picture's similarity then stand for, and the least score of a file.
-FACE_FROM, FACE_FULL, FACE_AT, FACE_MOST = 0.48, 0.90, 0.75, 0.98
-PICTURE_FROM, PICTURE_SPAN, PICTURE_AT, PICTURE_MOST = 0.35, 0.50, 0.65, 0.96
+FACE_FROM, FACE_SPAN, FACE_AT, FACE_RISE, FACE_MOST = 0.48, 0.42, 0.75, 0.23, 0.98
+PICTURE_FROM, PICTURE_SPAN, PICTURE_AT, PICTURE_RISE, PICTURE_MOST = 0.35, 0.50, 0.65, 0.31, 0.96
 VISUAL_FROM, LEAST = 0.60, 0.20
 # End of fixed values.
 
 
 def face_strength(x: Column) -> Column:
-    lifted = FACE_AT + (x - FACE_FROM) / (FACE_FULL - FACE_FROM) * (FACE_MOST - FACE_AT)
+    lifted = FACE_AT + (x - FACE_FROM) / FACE_SPAN * FACE_RISE
     return F.when(x < FACE_FROM, x).otherwise(F.least(F.lit(FACE_MOST), F.greatest(x, lifted)))
 
 
 def picture_strength(x: Column) -> Column:
-    lifted = PICTURE_AT + (x - PICTURE_FROM) / PICTURE_SPAN * (PICTURE_MOST - PICTURE_AT)
+    lifted = PICTURE_AT + (x - PICTURE_FROM) / PICTURE_SPAN * PICTURE_RISE
     return F.when(x < PICTURE_FROM, x).otherwise(F.least(F.lit(PICTURE_MOST), F.greatest(x, lifted)))
 
 

@@ -208,12 +208,12 @@ b AS (SELECT *, CASE WHEN r IS NOT NULL THEN greatest(judged, vis) WHEN hi >= 0
 z AS (SELECT file, n_lists, CASE WHEN g IS NULL THEN rel ELSE least(0.99, greatest(rel + 0.35 * (0.45 + 0.4 * g) * (1 - rel), (0.45 + 0.4 * g) * 0.4)) END AS relevance FROM b)"""
 
 
-@query(f"WITH {_SCORED} SELECT file, round(relevance, 5) AS relevance, n_lists FROM z")
+@query(f"WITH {_SCORED} SELECT file, round(relevance, 9) AS relevance, n_lists FROM z")
 def scored_files(spark, d):
     h = _lists(spark, d)
     r = fusion.file_ranks(h.filter("retriever <> 'folder'")).unionByName(fusion.file_ranks(h.filter("retriever = 'folder'"), tied=True))
     verdicts = table(spark, d, "documents").filter("doc_id % 5 = 0").select(F.col("doc_id").alias("file"), (F.col("doc_id") % 9 / 10).alias("rerank"))
-    return fusion.scored_files(r, fusion.rrf(r), verdicts, other_words=True).select("file", F.round("relevance", 5).alias("relevance"), "n_lists")
+    return fusion.scored_files(r, fusion.rrf(r), verdicts, other_words=True).select("file", F.round("relevance", 9).alias("relevance"), "n_lists")
 
 
 @query("""WITH f AS (SELECT doc_id AS file, (n_chars * 31 % 10007)::DOUBLE AS fused, lang = 'de' AS inside FROM documents), o AS (SELECT file FROM f WHERE NOT inside ORDER BY fused DESC, file LIMIT 10)

@@ -15,14 +15,14 @@ CASE WHEN event_id % 11 = 0 THEN (event_id % 97) / 97.0 ELSE 0 END::DOUBLE AS h,
 a AS (SELECT *, CASE WHEN fq THEN f0 ELSE 0 END AS f FROM s), b AS (SELECT *, greatest(t, i, f) AS v, CASE WHEN f < 0.48 THEN f ELSE least(0.98, greatest(f, 0.75 + (f - 0.48) / 0.42 * 0.23)) END AS cf, CASE WHEN i < 0.35 THEN i ELSE least(0.96, greatest(i, 0.65 + (i - 0.35) / 0.5 * 0.31)) END AS ci FROM a),
 c AS (SELECT *, greatest(ci, CASE WHEN fq THEN cf ELSE 0 END) AS z, greatest(v, w) AS m FROM b),
 r AS (SELECT file, CASE WHEN exact OR h >= 0.95 THEN CASE WHEN h > 0 THEN h ELSE 0.98 END WHEN fq AND fm AND f >= 0.48 THEN cf WHEN visual AND z >= 0.6 THEN CASE WHEN w > 0 THEN least(0.99, z + 0.05 * w * (1 - z)) ELSE z END
-WHEN v > 0 AND w > 0 THEN least(0.99, m + 0.1 * least(v, w) * (1 - m)) WHEN m > 0 THEN m ELSE h END AS score FROM c) SELECT file, round(score, 6)::DOUBLE AS score FROM r WHERE score >= 0.2""")
+WHEN v > 0 AND w > 0 THEN least(0.99, m + 0.1 * least(v, w) * (1 - m)) WHEN m > 0 THEN m ELSE h END AS score FROM c) SELECT file, round(score, 9)::DOUBLE AS score FROM r WHERE score >= 0.2""")
 def composite_scores(spark, d):
     k = F.col("event_id")
     some = lambda when, n, of: F.when(when, (k % n) / float(of))
     rows = table(spark, d, "events").select(
         k.alias("file"), (k % 3 == 0).alias("visual"), some(k % 4 != 1, 83, 100).alias("text"), some(k % 3 == 0, 71, 80).alias("image"), some(k % 5 == 0, 89, 90).alias("face"), some(k % 11 == 0, 97, 97).alias("hash"),
         some(k % 2 == 0, 61, 100).alias("words"), F.lit(None).cast("double").alias("title"), (k % 97 == 0).alias("exact"), (k % 2 == 0).alias("face_query"), (k % 7 < 4).alias("face_match"))
-    return signals.composite(rows).select("file", F.round("score", 6).alias("score"))
+    return signals.composite(rows).select("file", F.round("score", 9).alias("score"))
 
 
 @query("""WITH h AS (SELECT p_partkey AS id, (p_partkey % 1024)::BIGINT AS p, (p_partkey * 3 % 4096)::BIGINT AS q FROM part), b AS (SELECT id, bit_count(xor(p, 85::BIGINT))::INT AS x, bit_count(xor(q, 51::BIGINT))::INT AS y FROM h),
@@ -196,3 +196,83 @@ def local_copies(spark, d):
 def split_reports(spark, d):
     rows = table(spark, d, "pages").select(F.lit("t").alias("topic"), F.col("page_id").alias("id"), F.when(F.col("page_id") % 6 == 0, "a study").otherwise("news").alias("title"), F.lit("").alias("description"))
     return research.split_reports(rows, [F.desc("id")]).select(F.col("id").alias("page_id"), "title", "kind")
+
+
+@query("""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'document' ELSE 'image' END AS kind, (n_chars % 997) / 1000.0::DOUBLE AS score FROM documents)
+SELECT doc_id FROM (SELECT *, max(score) OVER (PARTITION BY kind) AS top FROM s) WHERE score >= greatest(CASE WHEN kind = 'document' THEN 0.5 ELSE 0.2 END, round(top - 0.6, 4))""")
+def visual_cut(spark, d):
+    kind = F.when(F.col("doc_id") % 2 == 0, "document").otherwise("image")
+    rows = table(spark, d, "documents").select("doc_id", kind.alias("kind"), (F.col("n_chars") % 997 / 1000).alias("score"))
+    return fusion.relative_cut(rows, 0.6, fusion.bucket_floor(F.col("kind"), pure_visual=True), ["kind"]).select("doc_id")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'beach in notes' ELSE p_name || ' goa' END AS rest FROM part""")
+def without_folder_words(spark, d):
+    text = F.when(F.col("p_partkey") % 2 == 0, "beach in Goa2023 notes").otherwise(F.concat(F.col("p_name"), F.lit(" goa")))
+    matched = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("goa"), F.lit("2023"))).otherwise(F.array(F.lit("absent")))
+    return table(spark, d, "part").select("p_partkey", T.without_words(text, matched).alias("rest"))
+
+
+@query("SELECT c_custkey AS face, vec_id, c_acctbal AS quality FROM customer JOIN embeddings ON vec_id = c_custkey AND label = 1")
+def faces_with_vectors(spark, d):
+    e = table(spark, d, "embeddings").filter("label = 1").select(F.col("vec_id").alias("face"), "vec_id")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("face"), F.col("c_acctbal").alias("quality")).join(e, "face").select("face", "vec_id", "quality")
+
+
+@query("SELECT p_partkey AS picture, vec_id IS NOT NULL AS has_vector FROM part LEFT JOIN embeddings ON vec_id = p_partkey AND label IN (1, 2)")
+def pictures_with_vectors(spark, d):
+    e = table(spark, d, "embeddings").filter(F.col("label").isin(1, 2)).select(F.col("vec_id").alias("picture"), F.lit(True).alias("held"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("picture")).join(e, "picture", "left").select("picture", F.col("held").isNotNull().alias("has_vector"))
+
+
+@query("""SELECT o_orderkey AS path, CASE WHEN o_orderkey % 9 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM orders WHERE o_custkey % 2 = 0""")
+def linked_rescan(spark, d):
+    o = table(spark, d, "orders").filter("o_custkey % 2 = 0")
+    fields = lambda size: (F.col("o_orderkey").alias("path"), size.alias("size"), F.lit(1.0).alias("mtime"), F.lit(None).cast("string").alias("fingerprint"))
+    old, new = o.select(*fields(F.col("o_custkey"))), o.filter("o_orderkey % 9 <> 0").select(*fields(F.when(F.col("o_orderkey") % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))))
+    return relations.linked_diff(old, new, "path").select("path", "change")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id = 42 OR lang || '/' || source || '/' || doc_id = 'en/src1/17' OR (lang = 'de' AND doc_id = 9)")
+def find_source(spark, d):
+    docs = table(spark, d, "documents").withColumn("rel_path", F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"))).withColumn("source_id", F.col("doc_id").cast("string"))
+    found = [relations.find_source(docs, x) for x in ("src-42", "en/src1/17")]
+    return found[0].unionByName(found[1]).select("doc_id").union(relations.find_source(docs.filter("lang = 'de'"), "9").select("doc_id")).distinct()
+
+
+@query("""SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > 86400 THEN true ELSE false END AS first FROM (SELECT user_id, epoch(ts)::DOUBLE AS ts, event_id FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def face_track_heads(spark, d):
+    e = table(spark, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("face"), F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
+    tracks = chunking.face_tracks(e, "user_id", gap=86400.0, alike=0.6)
+    return tracks.select("user_id", "ts", (F.col("track") == F.col("face")).alias("first"))
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type IN ('view', 'click') ORDER BY CASE event_type WHEN 'click' THEN 0 ELSE 1 END, value DESC, event_id LIMIT 60")
+def discovered_order(spark, d):
+    e = table(spark, d, "events").filter(F.col("event_type").isin("view", "click"))
+    return e.orderBy(F.when(F.col("event_type") == "click", 0).otherwise(1), F.desc("value"), "event_id").limit(60).select(F.col("event_id").alias("id"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5")
+def top_relevant(spark, d):
+    return table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(5).select("doc_id")
+
+
+@query("""WITH h AS (SELECT doc_id AS file, CASE WHEN lang = 'en' THEN (n_chars % 97) / 97.0 END::DOUBLE AS dense, CASE WHEN doc_id % 2 = 0 THEN 0.6 END::DOUBLE AS face FROM documents)
+SELECT file, CASE WHEN dense IS NOT NULL AND CASE WHEN dense <= 0.3 THEN 0 WHEN dense < 0.4 THEN (dense - 0.3) / 0.1 * 0.2 WHEN dense >= 0.7 THEN 0.95 ELSE 0.2 + (dense - 0.4) / 0.3 * 0.75 END > coalesce(CASE WHEN face IS NOT NULL THEN 0.7 + 0.18 / 0.33 * 0.28 END, -1) THEN 'dense' WHEN face IS NOT NULL THEN 'face' ELSE 'keywords' END AS evidence FROM h""")
+def evidence_labels(spark, d):
+    docs = table(spark, d, "documents")
+    part = lambda name, score, where: docs.filter(where).select(F.lit(name).alias("retriever"), F.col("doc_id").alias("file"), score.cast("double").alias("score"), F.lit(0).alias("rank"))
+    ranks = part("dense", F.col("n_chars") % 97 / 97, "lang = 'en'").union(part("face", F.lit(0.6), "doc_id % 2 = 0")).union(part("bm25", F.lit(1.0), "true"))
+    return fusion.scored_files(ranks, fusion.rrf(ranks)).select("file", "evidence")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents WHERE lang = 'de'), f AS (SELECT doc_id, len(w)::DOUBLE AS dl, len(list_filter(w, lambda x: x = 'lich'))::DOUBLE AS f0, len(list_filter(w, lambda x: x = 'und'))::DOUBLE AS f1 FROM t),
+s AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM f),
+r AS (SELECT doc_id, greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / a)) + greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / a)) AS score, f0 > 0 AND f1 > 0 AS whole FROM f, s WHERE f0 > 0 OR f1 > 0),
+c AS (SELECT count(*) FILTER (whole) AS nf FROM r) SELECT doc_id, round(score, 6) AS score FROM r, c WHERE whole OR nf < 7.5 ORDER BY score DESC, doc_id LIMIT 30""")
+def folder_bm25(spark, d):
+    """Words searched only inside a named folder: its files' own statistics count."""
+    docs = table(spark, d, "documents")
+    members = relations.under_scopes(docs.withColumn("folder", F.concat_ws("/", "lang", "source")), "folder", ["de"])
+    return retrieval.bm25(members, ["lich", "und"], "doc_id", {"text": 1.0}, 30).select("doc_id", F.round("score", 6).alias("score"))

@@ -64,7 +64,7 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def _run_folder(spark: SparkSession) -> str:
+def run_folder(spark: SparkSession) -> str:
     """The folder of this process's settled tables, which goes when it ends."""
     base = shared_dir(spark)
     if base not in _own:
@@ -86,7 +86,7 @@ def settle(df: DataFrame) -> DataFrame:
     written, so their files go then. ``discard`` removes it when nothing will read it again,
     else it goes when the process ends.
     """
-    spark, path = df.sparkSession, f"{_run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir
+from ..session import run_folder
 
 
 def event_stream(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFrame:
@@ -20,7 +20,7 @@ def event_stream(spark: SparkSession, path: str, late: str = "10 minutes") -> Da
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run over all that is there now, into a Parquet table with its checkpoint in the shared folder, and read that table."""
     spark = stream.sparkSession
-    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    where = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/out")
     else:
