@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir, table
+from ..session import run_folder, table
 from . import bpe, decontaminate, jaccard, language_id, licenses, neighbours, pii, repeats, token_files, toxicity
 
 BYTE_VOCABULARY, WORD_VOCABULARY, WORD_END = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -31,7 +31,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, WORD_VOCABULARY, WORD_END)
     return token_files.token_digests(spark, path)
 
