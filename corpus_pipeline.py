@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sifthouse.llm import bpe, decontaminate, jaccard, pii, toxicity
 from sifthouse.llm.queries import BYTE_VOCABULARY, _fold
 from sifthouse.llm.shared import free_prefix
-from sifthouse.session import remove_folder, shared_dir, table
+from sifthouse.session import remove_folder, run_folder, table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; a stage's table goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
