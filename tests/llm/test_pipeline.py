@@ -69,3 +69,36 @@ def test_later_stages_beside_plain_versions(spark, docs, rows):
     assert {d for d, _ in clean} == left - bad
     got = {tuple(r) for r in stages["bpe"](spark, here, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
     assert got == brute.round_trips(clean, open_tokenizer(BYTE_VOCABULARY))
+
+
+ODD_TEXT = "Mrs Ann Lee wrote of the quick brown fox and the lazy dog, again and again and once more"
+
+
+def test_stages_take_odd_tables(spark):
+    """Null, empty and long texts, repeated rows, null ids, columns of any names, and no rows: what stays keeps its columns and values."""
+    rows = [(1, ODD_TEXT), (1, ODD_TEXT), (None, ODD_TEXT), (None, None), (2, ""), (3, None), (4, " ".join(f"u{i}" for i in range(60_000))), (5, ODD_TEXT), (6, "x" * 200_000)]
+    columns = ["lang", "source", "score", "predicted", "spans", "n_words", "kinds", "pii_row", "sid", "component_id"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in columns)
+    docs = spark.createDataFrame([(d, t, len(t or ""), *(["own"] * len(columns))) for d, t in rows], schema).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        kept = got.collect()
+        assert all(r[c] == "own" for r in kept for c in columns)
+        ids = sorted(str(r["doc_id"]) for r in kept)
+        if name == "ngram_jaccard_join":
+            assert ids == sorted(["1", "1", "None", "None", "2", "3", "4", "6"])  # 5 repeats 1's text
+        elif name == "pii":
+            assert ids == sorted(str(d) for d, _ in rows) and not any("Ann" in (r["text"] or "") for r in kept)
+            assert len({r["text"] for r in kept if r["text"] and r["text"].startswith("Mrs")}) == 1
+        else:
+            assert ids == sorted(str(d) for d, _ in rows)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert stages["bpe"](spark, docs, SF).count() == len(rows)
+    assert stages["bpe"](spark, docs.limit(0), SF).count() == 0
+
+
+def test_the_whole_pipeline_runs(spark):
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < got.count() < 200
