@@ -131,8 +131,8 @@ def packed_blocks(vectors: DataFrame) -> DataFrame:
 
 def block_best(left: DataFrame, right: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """``src, dst, score``: for each vector of the left blocks its ``k`` best of each right block by inner product, at ``floor`` or more."""
-    blocks = [r["block"] for r in right.select("block").collect()]  # one number for each 4,096 rows
-    asked = left.select(F.col("ids").alias("a"), F.col("flat").alias("x"), F.explode(F.array(*map(F.lit, blocks)) if blocks else F.array().cast("array<int>")).alias("block"))
+    last = right.agg(F.max("block")).first()[0]
+    asked = left.select(F.col("ids").alias("a"), F.col("flat").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")).alias("block"))
     met = asked.join(right.select("block", F.col("ids").alias("b"), F.col("flat").alias("y")), "block").select("a", "x", "b", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
