@@ -41,6 +41,14 @@ FILLER = [
     "green", "dark",
 ]
 REPORT_WORDS = ["report", "policy", "study", "audit", "framework", "investigation"]
+# Patterns: headings of pages, names of camera files and folders, names of folders that are dates, and lines that are no headings.
+PAGE_HEADING = r"^(page\s*\d+|p\.?\s*\d+|\d+)$"
+CAMERA_CODE = r"^(?:\d{2,3}[a-z]{2,}[a-z0-9_]*|(?:img|dsc|dscn|dscf|pxl|mvi|vid|p)[\s_-]?\d{3,}.*)$"
+DATE_FOLDER = r"^(?:(?:19|20)\d{2}|\d{1,2}|\d{4}[-_.]\d{1,2}(?:[-_.]\d{1,2})?|\d{1,2}[-_.]\d{1,2}[-_.](?:19|20)?\d{2})$"
+NOISE_LINES = [
+    r"^\d{1,4}[/\-.]\d{1,2}[/\-.]\d{1,4}", r"(?i)^\d{1,2}:\d{2}(:\d{2})?\s*(am|pm)?$", r"(?i)^(https?://|\(?www\.|[a-z0-9.-]+\.[a-z]{2,}/?)", r"(?i)^(page\s*)?\d+(\s*(of|/)\s*\d+)?$",
+    r"^[\p{Ll}\[(\-,;:]", r"(?i)^(and|or|but|because|with|that|which|not|to|for|in|on|at|by|from|into)\b",
+]
 # End of fixed values.
 
 
@@ -234,8 +242,8 @@ def is_generic(phrase: Column) -> Column:
     """Whether a phrase names nothing: a default folder, a page, a camera's file, too short, without a letter, or filler only."""
     low = F.trim(F.lower(phrase))
     words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
-    return (low.isin(GENERIC_PHRASES) | low.rlike(r"^(page\s*\d+|p\.?\s*\d+|\d+)$") | (F.length(low) < 3) | ~low.rlike(r"\p{L}")
-            | low.rlike(r"^(?:\d{2,3}[a-z]{2,}[a-z0-9_]*|(?:img|dsc|dscn|dscf|pxl|mvi|vid|p)[\s_-]?\d{3,}.*)$") | F.forall(words, lambda w: w.isin(FILLER) | w.isin(STOPWORDS)))
+    return (low.isin(GENERIC_PHRASES) | low.rlike(PAGE_HEADING) | (F.length(low) < 3) | ~low.rlike(r"\p{L}")
+            | low.rlike(CAMERA_CODE) | F.forall(words, lambda w: w.isin(FILLER) | w.isin(STOPWORDS)))
 
 
 def name_tokens(name: Column) -> Column:
@@ -247,8 +255,7 @@ def folder_topics(folder: Column) -> Column:
     """Names on a file's path that say something, the deepest first; dates and default folders don't."""
     parts = F.reverse(F.filter(F.split(F.translate(folder, "\\", "/"), "/"), lambda s: s != ""))
     phrases = F.transform(parts, lambda s: clean_phrase(F.regexp_replace(s, "_+", " ")))
-    dated = r"^(?:(?:19|20)\d{2}|\d{1,2}|\d{4}[-_.]\d{1,2}(?:[-_.]\d{1,2})?|\d{1,2}[-_.]\d{1,2}[-_.](?:19|20)?\d{2})$"
-    return F.filter(phrases, lambda p: ~p.rlike(dated) & ~is_generic(p))
+    return F.filter(phrases, lambda p: ~p.rlike(DATE_FOLDER) & ~is_generic(p))
 
 
 def title_score(query: Column, title: Column) -> Column:
@@ -340,9 +347,10 @@ def safe_filename(name: Column) -> Column:
 def is_noise_header(line: Column) -> Column:
     """Whether a line is no heading: too short or long, a date, a time, an address, a page number, or the middle of a sentence."""
     s = F.trim(line)
-    joins = "and|or|but|because|with|that|which|not|to|for|in|on|at|by|from|into"
-    return ((F.length(s) < 3) | (F.length(s) > 110) | s.rlike(r"^\d{1,4}[/\-.]\d{1,2}[/\-.]\d{1,4}") | s.rlike(r"(?i)^\d{1,2}:\d{2}(:\d{2})?\s*(am|pm)?$")
-            | s.rlike(r"(?i)^(https?://|\(?www\.|[a-z0-9.-]+\.[a-z]{2,}/?)") | s.rlike(r"(?i)^(page\s*)?\d+(\s*(of|/)\s*\d+)?$") | s.rlike(r"^[\p{Ll}\[(\-,;:]") | s.rlike(rf"(?i)^({joins})\b"))
+    noise = (F.length(s) < 3) | (F.length(s) > 110)
+    for pattern in NOISE_LINES:
+        noise = noise | s.rlike(pattern)
+    return noise
 
 
 def folder_of(path: Column) -> Column:
