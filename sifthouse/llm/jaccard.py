@@ -381,7 +381,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     parts = settle(_joined(sets.select("sid", "doc_id"), parts, "sid"))
     least = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     parts = _joined(_joined(parts, least, "component").select("sid", "component_id"), degree, "sid", "left")
-    alone = _joined(sets.select("sid", "doc_id"), parts, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
+    # settled, so that the join below has two shuffles of its own and the rows of a set in very many documents can be split
+    alone = settle(_joined(sets.select("sid", "doc_id"), parts, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links"))
     known = F.col("doc_id").isNotNull()
     return _joined(rows, alone, "sid", "left").select(
         "doc_id", "n_shingles", F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"),
