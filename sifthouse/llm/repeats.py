@@ -268,7 +268,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
                 ["doc_id", "one", "removed", "left_sha", "kept_text"])
 
     shortened = held.select("doc_id", "one", "text").join(per_doc, ["doc_id", "one"]).mapInArrow(cut, "doc_id long, one long, removed long, left_sha string, kept_text string")
-    first = marked.filter(F.col("doc_id").isNotNull()).groupBy("one", "two").agg(F.min("doc_id").alias("head"))
+    # settled, so that the rows of a sequence in very many documents can be split when they meet it
+    first = settle(marked.filter(F.col("doc_id").isNotNull()).groupBy("one", "two").agg(F.min("doc_id").alias("head")))
     whole = (F.col("n_words") >= window) & (F.col("doc_id") > F.col("head"))
     return (
         marked.drop("seeds").join(first, ["one", "two"], "left").join(shortened, ["doc_id", "one"], "left")
