@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -100,3 +101,65 @@ def round_trips(rows, tokenizer):
         decoded = tokenizer.decode(ids, skip_special_tokens=False)
         out.add((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
     return out
+
+
+def periodic_runs(words):
+    """``(start, length, period)`` of all runs of at least six words and four smallest periods."""
+    out = []
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    code = np.array([number[w] for w in words], np.int64)
+    for q in range(1, len(words) // 4 + 1):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (code[q:] == code[:-q]).astype(int), [0]])))
+        for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            length = end - start + q
+            if length >= max(6, 4 * q):
+                seg = code[start : start + length]
+                if not any((seg[p:] == seg[:-p]).all() for p in range(1, q)):
+                    out.append((start, length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def repeating(doc_id, words):
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def run_digests(rows):
+    out = set()
+    for doc_id, text in rows:
+        words = repeating(doc_id, blank_words(text))
+        runs = periodic_runs(words)
+        gone = set()
+        for s, m, q in runs:
+            gone.update(range(s + q, s + m))
+        best = None
+        for s, m, q in runs:
+            if best is None or m * best[2] > best[1] * q:
+                best = (s, m, q)
+        listed = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
+        kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+        out.add((doc_id, len(runs), *(best or (None, None, None)), 1000 * best[1] // best[2] if best else None, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def lloyd(rows, k=8, rounds=10, dim=64, scale=1024, salt="3"):
+    """Plain integer Lloyd over ``(vec_id, vector)``."""
+    fine = [(i, [int(math.floor(scale * float(x))) for x in v]) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    x = np.array([v for _, v in fine], np.int64).reshape(-1, dim)
+    mark = sorted(range(len(fine)), key=lambda j: (hashlib.sha256(f"{salt}:{fine[j][0]}".encode()).hexdigest(), fine[j][1]))
+    c = x[mark[:k]].copy()
+    apart = lambda: ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+    for _ in range(rounds):
+        own = apart().argmin(axis=1)
+        for j in range(len(c)):
+            if (own == j).any():
+                c[j] = [int(s) // int((own == j).sum()) for s in x[own == j].sum(axis=0)]
+    d = apart()
+    own, least = d.argmin(axis=1), d.min(axis=1)
+    marks = [hashlib.sha256(",".join(map(str, r)).encode()).hexdigest() for r in c.tolist()]
+    return sorted((fine[i][0], int(own[i]), int(least[i]), int(least[own == own[i]].sum()), int(least.sum()), marks[own[i]]) for i in range(len(fine)))
