@@ -40,7 +40,7 @@ def _pieces(data: bytes) -> Iterator[bytes]:
     while len(data) - at > PIECE:
         some = np.frombuffer(data, np.uint8, PIECE, at)
         blanks = np.flatnonzero(BLANKS[some])
-        if len(blanks):
+        if len(blanks) and blanks[-1]:
             end = at + int(blanks[-1])
         else:  # a word as long as a piece: to its end
             rest = np.flatnonzero(BLANKS[np.frombuffer(data, np.uint8, offset=at + PIECE)])
