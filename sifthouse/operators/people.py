@@ -8,7 +8,7 @@ from ..functions.scores import norm
 from ..functions.text import tokens
 from ..session import settle
 from . import retrieval
-from .graph import connected_components
+from .graph import anchored_components, connected_components
 
 
 def mutual_neighbours(vectors: DataFrame, k: int = 12, floor: float = 0.5) -> DataFrame:
@@ -25,27 +25,24 @@ def mutual_neighbours(vectors: DataFrame, k: int = 12, floor: float = 0.5) -> Da
 
 
 def cluster(vectors: DataFrame, locked: DataFrame | None = None, k: int = 12, floor: float = 0.5, least: int = 2) -> DataFrame:
-    """``id, person``: components of mutual neighbours with ``least`` members or more.
+    """``id, person``: groups of mutual neighbours with ``least`` members or more, named by their smallest face.
 
-    ``locked(id, person_id)`` holds hand-made decisions: two faces locked to different people are
-    never joined (edges between their components are dropped, the weakest first seen from the
-    smaller anchor), and faces locked to the same person belong together.
+    ``locked(id, person_id)`` holds hand-made decisions. Groups join by their edges in order of
+    likeness (then ids), but a group never takes in faces locked to two people; faces locked to
+    the same person belong together, and their group stays however small. A face locked to no
+    person is excluded: it joins nothing and is in no group.
     """
-    edges = mutual_neighbours(vectors, k, floor).select("src", "dst", "score")
-    if locked is not None:
-        a, b = locked.toDF("src", "pa"), locked.toDF("dst", "pb")
-        edges = edges.join(a, "src", "left").join(b, "dst", "left").filter("pa is null or pb is null or pa = pb")
-        # a free face follows its best anchor, so no path runs between two anchors of different people
-        to_anchor = edges.filter("(pa is null) <> (pb is null)").select(
-            F.when(F.col("pa").isNull(), F.col("src")).otherwise(F.col("dst")).alias("free"), F.coalesce("pa", "pb").alias("person"), "score")
-        best = to_anchor.groupBy("free").agg(F.max_by("person", F.struct("score", "person")).alias("person"))
-        side = locked.toDF("node", "person").union(best.select(F.col("free").alias("node"), "person"))
-        edges = edges.select("src", "dst").join(side.toDF("src", "sa"), "src", "left").join(side.toDF("dst", "sb"), "dst", "left").filter("sa is null and sb is null or sa = sb")
-        heads = locked.groupBy("person_id").agg(F.min("id").alias("head"))
-        edges = edges.select("src", "dst").union(locked.join(heads, "person_id").filter("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst")))
-    parts = connected_components(edges.select("src", "dst"))
-    large = parts.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return parts.join(large, "component").select(F.col("node").alias("id"), F.col("component").alias("person"))
+    if locked is None:
+        parts = connected_components(mutual_neighbours(vectors, k, floor).select("src", "dst")).withColumn("anchored", F.lit(False))
+    else:
+        edges = mutual_neighbours(vectors, k, floor)
+        excluded = locked.filter("person_id is null").select("id")
+        for end in ("src", "dst"):
+            edges = edges.join(excluded.withColumnRenamed("id", end), end, "left_anti")
+        anchors = locked.filter("person_id is not null").select(F.col("id").alias("node"), F.col("person_id").alias("anchor"))
+        parts = anchored_components(edges, anchors).join(anchors, "node", "left").withColumn("anchored", F.col("anchor").isNotNull())
+    kept = parts.groupBy("component").agg(F.count("*").alias("n"), F.max("anchored").alias("anchored")).filter((F.col("n") >= least) | F.col("anchored"))
+    return parts.join(kept.select("component"), "component").select(F.col("node").alias("id"), F.col("component").alias("person"))
 
 
 def centroids(members: DataFrame, group: str, vector: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scores, text as T
-from ..operators import chunking, facets, folders, folding, fusion, relations, retrieval
+from ..operators import chunking, facets, folders, folding, fusion, postings, relations, retrieval
 from ..plans import query_plan
-from ..session import table
+from ..session import run_folder, table
 from .registry import TOKENS, query
 
 TERMS = ["the", "thand", "ation"]
@@ -37,6 +39,22 @@ def bm25_heading_weighted(spark, d):
     return retrieval.bm25(table(spark, d, "documents"), ["the", "of"], "doc_id", {"text": 1.0, "source": 0.4}, 40).select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _index(spark, d, columns):
+    path = f"{run_folder(spark)}/postings-{uuid.uuid4().hex}"
+    postings.append(table(spark, d, "documents"), path, "doc_id", columns)
+    return postings.Index(spark, path, columns)
+
+
+@query(_bm25_sql(TERMS, "documents", "doc_id", {"text": 1.0}, 50, "SELECT id AS doc_id, round(score, 6) AS score FROM o"))
+def bm25_postings(spark, d):
+    return postings.bm25(_index(spark, d, {"text": 1.0}), TERMS, "doc_id", 50).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql(["the", "of"], "documents", "doc_id", {"text": 1.0, "source": 0.4}, 40, "SELECT id AS doc_id, round(score, 6) AS score FROM o"))
+def bm25_postings_weighted(spark, d):
+    return postings.bm25(_index(spark, d, {"text": 1.0, "source": 0.4}), ["the", "of"], "doc_id", 40).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("""WITH s AS (SELECT p_partkey, ((contains(lower(p_name), 'ste'))::INT + (contains(lower(p_name), 'red'))::INT + (contains(lower(p_name), 'ing'))::INT) / 3.0 AS score FROM part)
 SELECT p_partkey, round(score, 6)::DOUBLE AS score FROM s WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 50""")
 def name_trigram(spark, d):

@@ -2,7 +2,9 @@
 
 import random
 
-from sifthouse.operators.graph import connected_components
+import pytest
+
+from sifthouse.operators.graph import anchored_components, connected_components
 
 
 def _plain(edges):
@@ -36,3 +38,56 @@ def test_long_path_and_star(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def _joined_in_order(edges, anchors):
+    """One by one, the best edge first; groups of different anchors are never joined, those of one anchor at last."""
+    parent, anchor = {x: x for e in edges for x in e[:2]} | {x: x for x in anchors}, dict(anchors)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def join(a, b):
+        a, b = find(a), find(b)
+        if a != b and not (anchor.get(a) and anchor.get(b) and anchor[a] != anchor[b]):
+            parent[b] = a
+            anchor[a] = anchor.get(a) or anchor.get(b)
+
+    for a, b, _ in sorted(edges, key=lambda e: (-e[2], min(e[:2]), max(e[:2]))):
+        join(a, b)
+    for who in set(anchors.values()):
+        first, *others = [x for x in anchors if anchors[x] == who]
+        for x in others:
+            join(first, x)
+    groups = {}
+    for x in parent:
+        groups.setdefault(find(x), []).append(x)
+    return {(x, min(g)) for g in groups.values() for x in g}
+
+
+def _anchored(spark, edges, anchors):
+    got = anchored_components(spark.createDataFrame(edges, "src long, dst long, score double"), spark.createDataFrame(list(anchors.items()), "node long, anchor string"))
+    return {tuple(r) for r in got.collect()}
+
+
+@pytest.mark.parametrize("seed, nodes, edges_, anchored, people", [(1, 60, 90, 9, 4), (2, 200, 260, 40, 3), (3, 300, 320, 5, 5), (4, 40, 200, 12, 2)])
+def test_groups_of_one_anchor(spark, seed, nodes, edges_, anchored, people):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(nodes), rng.randrange(nodes), rng.choice([0.5, 0.6, rng.random()])) for _ in range(edges_)]
+    anchors = {x: f"p{rng.randrange(people)}" for x in rng.sample(range(nodes + 5), anchored)}
+    assert _anchored(spark, edges, anchors) == _joined_in_order(edges, anchors)
+
+
+def test_a_long_chain_between_two_anchors(spark):
+    """Falling scores make one pick follow another along the whole chain: pointers double instead of walking it."""
+    n = 400
+    edges = [(i, i + 1, 1 - i / n) for i in range(n)]
+    assert _anchored(spark, edges, {0: "a", n: "b"}) == {(i, 0) for i in range(n)} | {(n, n)}
+
+
+def test_no_edges_and_no_anchors(spark):
+    assert _anchored(spark, [], {}) == set()
+    assert _anchored(spark, [], {4: "a", 9: "a", 5: "b"}) == {(4, 4), (9, 4), (5, 5)}
+    assert _anchored(spark, [(1, 2, 0.5), (3, 3, 0.9)], {}) == {(1, 1), (2, 1), (3, 3)}

@@ -1,5 +1,6 @@
 """Operators that SQL can't express, beside plain versions of them, and parsing."""
 
+import math
 import random
 
 import pytest
@@ -106,6 +107,19 @@ def test_locked_people_are_never_joined(spark):
     assert got[0] != got[3] and got[0] == got[4] == got[5] == got[1]
 
 
+def test_locks_hold_over_chains(spark):
+    """A face locked far off keeps its whole chain; one locked to nobody stands outside and carries no chain."""
+    at = lambda a: [math.cos(math.radians(a)), math.sin(math.radians(a))]
+    vectors = spark.createDataFrame([(i, at(20 * i)) for i in range(4)] + [(9, at(180))], "id long, v array<double>")
+    group = lambda *locks: {r["id"]: r["person"] for r in people.cluster(vectors, spark.createDataFrame(list(locks), "id long, person_id string"), k=2, floor=0.9).collect()}
+    assert group((0, "A")) == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert group((0, "A"), (9, "A")) == {0: 0, 1: 0, 2: 0, 3: 0, 9: 0}
+    assert group((9, "B")) == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}  # an anchored group stays however small
+    assert group((1, None)) == {2: 2, 3: 2}
+    split = group((0, "A"), (3, "B"))
+    assert split[0] != split[3] and set(split) == {0, 1, 2, 3}
+
+
 def test_row_numbers_and_running_sums(spark):
     rows = [(k % 3, i, (i * 37) % 11) for i, k in enumerate(random.Random(1).choices(range(3), k=500))]
     df = spark.createDataFrame(rows, "g long, i long, v long").repartition(7)
