@@ -190,7 +190,7 @@ def _calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) ->
     model.slope = float(4.0 / (z.std() or 1.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, max_entries: int = 12_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 3_000, max_entries: int = 6_000_000) -> Model:
     """Fit on at most ``max_train`` labelled documents, half of them of the rarer label if there are as many, chosen by a hash of their ids.
 
     Whole texts are counted by feature on the executors. The counts that come to the driver have
