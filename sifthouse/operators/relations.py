@@ -4,19 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ranks import numbered
+from ..session import settle
+from .ranks import numbered, running_sum
 
 
-def interval_overlap(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
+#: Starts of a block that an interval is copied to.
+STARTS = 512
+
+
+def _starts_within(left: DataFrame, right: DataFrame, key: str, after: bool) -> DataFrame:
+    """``left`` and ``right`` rows (``_l``, ``_r``) where the right one's ``start`` lies in the left interval, at its own start only if not ``after``.
+
+    All starts of a key are ranked in one order with the left intervals' ends; so an interval
+    knows the first and the last rank in it, and is copied to the blocks of ``STARTS`` ranks between
+    these: every block but two gives that many pairs, and an interval without any goes.
+    """
+    point = lambda rows, at, turn, one, idx: rows.select(F.col("key"), F.col(at).alias("at"), F.lit(turn).alias("turn"), F.lit(one).alias("one"), F.col(idx).alias("id"))
+    begin = 2 if after else 0
+    points = point(right, "start", 1, 1, "id").unionByName(point(left, "start", begin, 0, "id")).unionByName(point(left, "end", 3, 0, "id"))
+    counted = settle(running_sum(points, ["key"], [F.col("at"), F.col("turn"), F.col("id")], "one", "rank"))
+    spans = counted.filter("one = 0").groupBy("id").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).filter("high > low")
+    asked = left.join(spans, "id").withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / STARTS), F.floor((F.col("high") - 1) / STARTS))))
+    ranked = right.join(counted.filter("one = 1").select("id", "rank"), "id").withColumn("block", F.floor((F.col("rank") - 1) / STARTS))
+    met = asked.select("key", "block", "low", "high", F.col("row").alias("_l")).join(ranked.select("key", "block", "rank", F.col("row").alias("_r")), ["key", "block"])
+    return met.filter("rank > low and rank <= high").select("_l", "_r")
+
+
+def interval_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of equal ``key`` whose closed intervals ``[ls, le]`` and ``[rs, re]`` meet, each pair once.
 
-    Intervals are dealt to the slots of ``width`` they touch; a pair counts in the slot where the
-    later one begins.
+    Of two intervals that meet, one holds the start of the other. Both cases are found by the
+    ranks of the starts, over keys of any size and intervals of any length; work and copies are
+    in proportion to rows and pairs. Rows with a null key or bound, and intervals that end
+    before they start, meet nothing.
     """
-    slots = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    a, b = left.withColumn("slot", slots("ls", "le")), right.withColumn("slot", slots("rs", "re"))
-    met = a.join(b, [key, "slot"]).filter((F.col("le") >= F.col("rs")) & (F.col("ls") <= F.col("re")))
-    return met.filter(F.col("slot") == F.floor(F.greatest("ls", "rs") / width)).drop("slot")
+    def tidy(rows: DataFrame, start: str, end: str) -> DataFrame:
+        fine = rows.filter(F.col(key).isNotNull() & (F.col(start) <= F.col(end)))
+        return settle(fine.select(F.col(key).alias("key"), F.col(start).cast("double").alias("start"), F.col(end).cast("double").alias("end"), F.struct(*(F.col(c) for c in rows.columns)).alias("row"), F.monotonically_increasing_id().alias("id")))
+
+    a, b = tidy(left, "ls", "le"), tidy(right, "rs", "re")
+    one, other = _starts_within(a, b, key, False), _starts_within(b, a, key, True)
+    both = one.unionByName(other.select(F.col("_r").alias("_l"), F.col("_l").alias("_r")))
+    return both.select(*(F.col(f"_l.{c}").alias(c) for c in left.columns), *(F.col(f"_r.{c}").alias(c) for c in right.columns if c != key))
 
 
 def under_scopes(rows: DataFrame, folder: str, scopes: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scores, text as T
-from ..operators import chunking, facets, folders, folding, fusion, postings, relations, retrieval
+from ..operators import chunking, facets, folders, folding, fusion, names, postings, quantised, relations, retrieval
 from ..plans import query_plan
 from ..session import run_folder, table
 from .registry import TOKENS, query
@@ -61,6 +61,37 @@ def name_trigram(spark, d):
     return retrieval.name_search(table(spark, d, "part"), ["ste", "red", "ing", "of"], "p_partkey", "p_name").select("p_partkey", F.round("score", 6).alias("score"))
 
 
+def _names(spark, d):
+    path = f"{run_folder(spark)}/names-{uuid.uuid4().hex}"
+    names.build(table(spark, d, "part"), path, "p_partkey", "p_name")
+    return names.NameIndex(spark, path)
+
+
+@query("""WITH s AS (SELECT p_partkey, ((contains(lower(p_name), 'ste'))::INT + (contains(lower(p_name), 'red'))::INT + (contains(lower(p_name), 'ing'))::INT) / 3.0 AS score FROM part)
+SELECT p_partkey, round(score, 6)::DOUBLE AS score FROM s WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 50""")
+def name_trigram_index(spark, d):
+    return _names(spark, d).search(["ste", "red", "ing", "of"]).select(F.col("key").alias("p_partkey"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%ste%'")
+def name_contains(spark, d):
+    return _names(spark, d).containing("STE").select(F.col("key").alias("p_partkey"))
+
+
+@query("SELECT p_partkey, lower(p_name) AS name FROM part WHERE lower(p_name) LIKE 'small s%'")
+def name_prefix(spark, d):
+    return _names(spark, d).starting("Small S").select(F.col("key").alias("p_partkey"), "name")
+
+
+@query()
+def quantised_neighbours(spark, d):
+    rows = table(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    path = f"{run_folder(spark)}/codes-{uuid.uuid4().hex}"
+    book = quantised.fit(rows, rows.count())
+    quantised.build(rows, path, book)
+    return quantised.search(rows.filter("id % 100 = 0").toDF("query_id", "q"), rows, path, book)
+
+
 @query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ', ' of the ')")
 def phrase_filter(spark, d):
     return retrieval.contains_phrase(table(spark, d, "documents"), "doc_id", "text", "of the")

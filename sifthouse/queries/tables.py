@@ -117,7 +117,7 @@ def interval_overlap_join(spark, d):
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("k", F.col("user_id") % 20)
     a = e.filter("event_type = 'view'").select("k", F.col("event_id").alias("a"), F.col("t").alias("ls"), (F.col("t") + F.col("value")).alias("le"))
     b = e.filter("event_type = 'click'").select("k", F.col("event_id").alias("b"), (F.col("t") - 2).alias("rs"), (F.col("t") + 4).alias("re"))
-    return relations.interval_overlap(a, b, "k", 60.0).select("a", "b")
+    return relations.interval_overlap(a, b, "k").select("a", "b")
 
 
 @query("SELECT a.conv_id, a.turn AS at, arg_max(b.turn, (length(b.text), -b.turn)) AS best FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn + 1 WHERE a.role = 'user' GROUP BY 1, 2")
@@ -125,7 +125,7 @@ def spoken_at(spark, d):
     c = table(spark, d, "conversations")
     a = c.filter("role = 'user'").select("conv_id", F.col("turn").alias("at"), (F.col("turn") - 2).cast("double").alias("ls"), (F.col("turn") + 1).cast("double").alias("le"))
     b = c.select("conv_id", "turn", F.length("text").alias("len"), F.col("turn").cast("double").alias("rs"), F.col("turn").cast("double").alias("re"))
-    return relations.interval_overlap(a, b, "conv_id", 8.0).groupBy("conv_id", "at").agg(F.max_by("turn", F.struct("len", (-F.col("turn")).alias("n"))).alias("best"))
+    return relations.interval_overlap(a, b, "conv_id").groupBy("conv_id", "at").agg(F.max_by("turn", F.struct("len", (-F.col("turn")).alias("n"))).alias("best"))
 
 
 def _snapshots(spark, d):

@@ -45,7 +45,7 @@ def apply_operations(files: DataFrame, ops: DataFrame) -> DataFrame:
     """``files(path, size, mtime)`` after a batch of ``operations``, with ``size`` and ``mtime`` of changed files: first moves, then deletions, then changes.
 
     A move or deletion of a folder takes what is below it; of several moves the one of the
-    deepest folder counts. A file that is deleted and changed in one batch was saved anew and
+    deepest folder counts, and what moves onto a file replaces it. A file that is deleted and changed in one batch was saved anew and
     stays; a file moved to a kind that isn't known goes. What was moved without being there
     counts as changed under its new name.
     """
@@ -54,7 +54,8 @@ def apply_operations(files: DataFrame, ops: DataFrame) -> DataFrame:
     hit = up.join(moves, "old").groupBy("path").agg(F.max_by(F.struct("old", "new"), F.length("old")).alias("m"))
     target = F.concat(F.col("m.new"), F.expr("substring(path, length(m.old) + 1)"))
     placed = files.join(hit, "path", "left").select(F.coalesce(target, F.col("path")).alias("path"), "size", "mtime", F.col("m").isNotNull().alias("moved"))
-    placed = placed.filter(~F.col("moved") | known(F.col("path"))).drop("moved")
+    # what moves onto a file replaces it
+    placed = placed.filter(~F.col("moved") | known(F.col("path"))).groupBy("path").agg(F.max_by(F.struct("size", "mtime"), F.struct("moved", "mtime", "size")).alias("x")).select("path", "x.*")
     changed = ops.filter("op = 'change'").groupBy("path").agg(F.max_by(F.struct("size", "mtime"), "ts").alias("s")).select("path", "s.*")
     lost = moves.join(hit.select(F.col("m.old").alias("old")).distinct(), "old", "left_anti").select(F.col("new").alias("path"))
     fresh = lost.join(changed, "path", "left_anti").join(placed.select("path"), "path", "left_anti").select("path", F.lit(None).cast("long").alias("size"), F.lit(None).cast("double").alias("mtime"))

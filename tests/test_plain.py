@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sifthouse.functions import scores
-from sifthouse.operators import chunking, context, folders, folding, fusion, people, ranks, relations, research, retrieval, topics
+from sifthouse.operators import chunking, context, folders, folding, fusion, names, people, ranks, relations, research, retrieval, topics
 from sifthouse.plans import query_plan
 from sifthouse.queries import library, search, tables
 from sifthouse.sources import readers
@@ -336,3 +336,37 @@ def test_readers_of_files_and_feeds(spark, tmp_path):
     assert tuple(r) == ("1/2", "T", "2020", "10.1/x", "a b")
     rows, status = readers.federate({"one": spark.createDataFrame([(1,)], "id long"), "two": TimeoutError("late")})
     assert [tuple(r) for r in rows.collect()] == [(1, "one")] and status == [("one", "ok"), ("two", "failed: late")]
+
+
+def test_intervals_that_meet(spark):
+    """Half of the rows in one key, one interval over everything, equal bounds, points, nulls and intervals the wrong way round."""
+    rng = random.Random(8)
+    def some(n, first):
+        rows = [(0 if i % 2 else rng.randrange(5), first + i, float(rng.randrange(4_000)), 0.0) for i in range(n)]
+        rows = [(k, i, s, s + rng.choice([0, 1, 5, 40])) for k, i, s, _ in rows]
+        return rows + [(0, first + n, -1.0, 9_999.0), (3, first + n + 1, 50.0, 40.0), (None, first + n + 2, 0.0, 10.0), (0, first + n + 3, None, 10.0)]
+    left, right = some(1_500, 0), some(1_300, 10_000)
+    want = {(a[1], b[1]) for a in left for b in right if a[0] is not None and a[0] == b[0] and None not in (a[2], b[2]) and a[2] <= a[3] and b[2] <= b[3] and a[3] >= b[2] and a[2] <= b[3]}
+    got = relations.interval_overlap(spark.createDataFrame(left, "k int, a long, ls double, le double"), spark.createDataFrame(right, "k int, b long, rs double, re double"), "k")
+    assert got.columns == ["k", "a", "ls", "le", "b", "rs", "re"]
+    pairs = [(r["a"], r["b"]) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_names_by_their_trigrams(spark, tmp_path):
+    """Substrings and beginnings by the index equal those by all names; odd names and terms too."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["Red", "steel", "ring", "größe", "日本語", "a", "%x_", "InG"]) for _ in range(rng.randint(1, 4)))) for i in range(400)] + [(500, ""), (501, None), (502, "ab"), (None, "steel")]
+    table = spark.createDataFrame(rows, "id long, name string").repartition(4)
+    names.build(table, f"{tmp_path}/names", "id", "name")
+    index, known = names.NameIndex(spark, f"{tmp_path}/names"), table.filter("id is not null and name is not null")
+    for terms in (["ste", "red", "ing", "of"], ["größe", "本語"], ["steel ring"], ["zzz", "teel"], ["x"], ["日本語", "日本語"]):
+        used = [t for t in terms if len(t) >= 3]
+        want = [tuple(r) for r in retrieval.name_search(known, terms, "id", "name", 40).collect()] if used else []
+        assert [tuple(r) for r in index.search(terms, 40).collect()] == want
+    low = {i: n.lower() for i, n in rows if i is not None and n is not None}
+    for term in ("ing", "%x_", "e", "steel r", "none of it", "größ"):
+        assert {r["key"] for r in index.containing(term).collect()} == {i for i, n in low.items() if term in n}
+        assert {r["key"] for r in index.starting(term).collect()} == {i for i, n in low.items() if n.startswith(term)}
+    plan = index.starting("Ste")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(name,ste)" in plan
