@@ -273,13 +273,28 @@ def test_queued_rows_are_finished_by_their_holder_only(spark):
     assert {(r["id"], r["status"]) for r in files.finish(held, results).collect()} == {(1, "queued"), (2, "failed"), (3, "processing"), (4, "queued")}
 
 
-def test_topics_of_a_file():
-    found, events = topics.topics_of("report_final.pdf", "Events/Rahul Wedding 2021", ["Page 3", "Budget Overview"], "Union Public Service met. Union Public Service spoke of water, water and water.", ["Ann Lee"])
-    assert events == ["Rahul Wedding 2021"]
-    assert found == ["Ann Lee", "Budget Overview", "Rahul Wedding 2021", "Union Public Service", "Water"]
-    assert topics.topics_of("IMG_0042.jpg", "DCIM/100MSDCF", [], "", []) == ([], [])
-    assert topics.topics_of("Garden plans.txt", "", [], "", []) == (["Garden plans"], [])
-    assert topics.topics_of("x.txt", "", [], "the annual goa trip of 2019 and Goa Trip 2019", [])[1] == ["Goa Trip 2019"]
+def test_topics_of_a_file(spark):
+    rows = [
+        (1, "report_final.pdf", "Events/Rahul Wedding 2021", ["Page 3", "Budget Overview", "report final"], "Union Public Service met. Union Public Service spoke of water, water and water.", ["Ann Lee"], None, False),
+        (2, "IMG_0042.jpg", "DCIM/100MSDCF", [], "", [], None, False),
+        (3, "Garden plans.txt", "", [], "", [], None, None),
+        (4, "x.txt", None, None, "the annual goa trip of 2019 and Goa Trip 2019", None, None, False),
+        (5, "IMG_7.jpg", "Pictures/2021/Goa Trip/110EOSR6", ["Heading"], "words words words", ["Bo Ray"], ["at the Goa Music Festival 2020", "Red Fort Road, Red Fort Road", None], True),
+        (6, "b.txt", "a", [], "one Big House, two Old Mill, three Wide Road, four Long Lane. Old Mill.", [], ["Sitting Sitting Stage Stage: Grand Old Hotel"], False),
+        (7, None, None, None, None, None, None, None)]
+    schema = "id long, name string, folder string, headings array<string>, text string, people array<string>, captions array<string>, is_image boolean"
+    files_ = spark.createDataFrame(rows, schema)
+    got = {r["id"]: (r["topics"], r["events"]) for r in topics.derive_topics(files_, "id").collect()}
+    assert got[1] == (["Ann Lee", "Budget Overview", "Rahul Wedding 2021", "Union Public Service", "Water"], ["Rahul Wedding 2021"])
+    assert got[2] == got[7] == ([], [])
+    assert got[3] == (["Garden plans"], [])
+    assert got[4][1] == ["Goa Trip 2019"]
+    # a picture: its folders, people and printed names; its words and headings say nothing
+    assert got[5] == (["Goa Trip", "Goa Music Festival 2020", "Bo Ray", "Red Fort Road"], ["Goa Trip", "Goa Music Festival 2020"])
+    # of many names only repeated ones; the words of captions are not counted
+    assert got[6][0] == ["Old Mill"]
+    plain = topics.derive_topics(files_.drop("captions", "is_image"), "id")
+    assert plain.filter("id = 1").first()["topics"] == got[1][0]
 
 
 def test_long_segments_are_split_at_punctuation():
