@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import hamming
 from ..functions.text import isbn13, norm_title, normalize_url, record_title, surname, title_key
-from ..session import settle
+from ..session import discard, settle
 from .graph import connected_components
 
 
@@ -105,13 +105,48 @@ def local_copies(records: DataFrame, files: DataFrame) -> DataFrame:
     return records.select("id", record_title(F.col("title")).alias("t")).join(titles, "t").select("id", "file")
 
 
+def _kept_in_order(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
+    """``group, b``: the ``nodes(group, b)`` that a pass in order keeps, where a node goes if one before it that is kept has an edge ``a`` to ``b``.
+
+    In each round nodes whose earlier neighbours are all decided are decided. A node with one open
+    neighbour before it is the opposite of that one; such nodes make chains, along which pointers
+    double, so a chain of any length is decided in one round of a logarithm of steps.
+    """
+    decided = settle(nodes.withColumn("kept", F.lit(True)).limit(0))
+    while True:
+        open_ = nodes.join(decided, [group, "b"], "left_anti")
+        ends = decided.withColumnRenamed("b", "a")
+        # edges from nodes that went say nothing any more
+        live = edges.join(open_, [group, "b"], "left_semi").join(ends.filter("not kept").select(group, "a"), [group, "a"], "left_anti").join(ends.select(group, "a", "kept"), [group, "a"], "left")
+        waits = settle(live.groupBy(group, "b").agg(F.count_if("kept").alias("over"), F.count_if(F.col("kept").isNull()).alias("n"), F.min("a").alias("a")))
+        free = open_.join(waits, [group, "b"], "left_anti").withColumn("kept", F.lit(True))
+        known = settle(free.union(waits.filter("over > 0").select(group, "b", F.lit(False).alias("kept"))))
+        # chains of nodes with one open neighbour before them; ``same`` says whether a node is as its end
+        chain = settle(waits.filter("over = 0 and n = 1").select(group, "b", "a", F.lit(False).alias("same")))
+        while True:
+            up = chain.select(group, F.col("b").alias("a"), F.col("a").alias("further"), F.col("same").alias("as_further"))
+            step = settle(chain.join(up, [group, "a"], "left").select(
+                group, "b", F.coalesce("further", "a").alias("a"), F.when(F.col("further").isNull(), F.col("same")).otherwise(F.col("same") == F.col("as_further")).alias("same"), F.col("further").isNotNull().alias("moved")))
+            moved = not step.filter("moved").isEmpty()
+            discard(chain)
+            chain = step.drop("moved")
+            if not moved:
+                break
+        told = chain.join(known.select(group, F.col("b").alias("a"), "kept"), [group, "a"]).select(group, "b", (F.col("same") == F.col("kept")).alias("kept"))
+        after = settle(decided.union(known).union(told))
+        done = after.count() == decided.count()
+        discard(decided, waits, known)
+        decided = after
+        if done:
+            return decided.filter("kept").select(group, "b")
+
+
 def collapse_bursts(rows: DataFrame, group: str, most: int = 6, bits: int = 64) -> DataFrame:
     """``group, id, kept_id``: in order of relevance a picture within ``most`` bits of one already kept folds into the first such.
 
     ``rows(group, id, hash, relevance)``. Equal hashes of a group fold first. Near hashes are
-    joined by bands, each pair once, from the better picture to the worse. Then in rounds a
-    picture is kept when all better ones near it are folded, and folded when a better one near it
-    is kept. Rows without a hash are kept.
+    joined by bands, each pair once, from the better picture to the worse; then those are kept
+    that no better one kept is near to. Rows without a hash are kept.
     """
     best = lambda p: F.struct((-F.col(f"{p}relevance")).alias("r"), F.col(f"{p}id").alias("i"))
     held = rows.select(group, "id", "hash", "relevance")
@@ -122,18 +157,7 @@ def collapse_bursts(rows: DataFrame, group: str, most: int = 6, bits: int = 64)
     cut = firsts.select(group, "hash", "head", "at", F.posexplode(F.array(*(part(F.col("hash"), i) for i in range(bands)))).alias("band", "part"))
     a, b = cut.toDF(group, "ha", "a", "ra", "band", "part"), cut.toDF(group, "hb", "b", "rb", "band", "part")
     near = settle(a.join(b, [group, "band", "part"]).filter((F.col("ra") < F.col("rb")) & (hamming(F.col("ha"), F.col("hb")) <= most)).select(group, "a", "ra", "b").distinct())
-    nodes = firsts.select(group, F.col("head").alias("b"))
-    kept = settle(nodes.join(near, [group, "b"], "left_anti"))
-    folded = settle(nodes.limit(0))
-    while True:
-        into = near.join(kept.withColumnRenamed("b", "a"), [group, "a"], "left_semi").select(group, "b")
-        folded = settle(folded.union(into.join(folded, [group, "b"], "left_anti").distinct()))
-        open_ = nodes.join(kept, [group, "b"], "left_anti").join(folded, [group, "b"], "left_anti")
-        waits = near.join(folded.withColumnRenamed("b", "a"), [group, "a"], "left_anti").select(group, "b")
-        more = settle(open_.join(waits, [group, "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        kept = settle(kept.union(more))
+    kept = _kept_in_order(firsts.select(group, F.col("head").alias("b")), near.select(group, "a", "b"), group)
     goes = near.join(kept.withColumnRenamed("b", "a"), [group, "a"], "left_semi").groupBy(group, "b").agg(F.min(F.struct("ra", "a")).alias("x")).select(group, F.col("b").alias("head"), F.col("x.a").alias("into"))
     return (held.join(firsts.select(group, "hash", "head"), [group, "hash"], "left").join(goes, [group, "head"], "left")
             .select(group, "id", F.coalesce("into", "head", "id").alias("kept_id")))

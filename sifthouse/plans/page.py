@@ -182,7 +182,7 @@ def judged_passages(tables: Tables, hits: DataFrame, pool: DataFrame, judge: Jud
         told = best.join(words, "entity").groupBy("file").agg(F.min_by(F.struct("entity", "said"), F.struct("l", "s", "entity")).alias("x")).select("file", "x.*", F.lit("visual").alias("kind"))
         shown, rest = shown.unionByName(told), rest.join(told.select("file"), "file", "left_anti")
     named = hits.filter("retriever = 'name'").join(rest, "file", "left_semi").select("file", F.lit(None).cast("long").alias("entity"), F.lit("").alias("said"), F.lit("name").alias("kind"))
-    titles = tables.sources.select(F.col("source_id").alias("file"), F.when(F.col("rel_path").contains("/"), F.col("rel_path")).otherwise(F.col("name")).alias("title"))
+    titles = tables.sources.select(F.col("source_id").alias("file"), F.col("rel_path").alias("title"))
     rows = shown.unionByName(named).filter(F.col("kind").eqNullSafe("name") | (F.trim("said") != "")).join(titles, "file").join(pool.select("file", "in_folder"), "file")
     query = F.when(F.col("in_folder") & F.lit(bool(content)), F.lit(content)).otherwise(F.lit(text))
     rows = rows.withColumn("query", query).withColumn("words", search_terms(query))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text as T
 from ..operators import chunking, facets, folders, folding, fusion, names, postings, quantised, relations, retrieval
-from ..plans import query_plan
+from ..plans import page, query_plan
 from ..session import run_folder, table
 from .registry import TOKENS, query
 
@@ -355,11 +355,20 @@ def focus_windows(spark, d):
     return chunking.snippets(table(spark, d, "documents"), "doc_id", "text", {"the", "thand"})
 
 
+def _library(spark, d):
+    docs = table(spark, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("source_id"), F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 7 == 0, "transcript").otherwise("text").alias("kind"), "text", F.col("source").alias("heading"))
+    vectors = table(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+    return page.Tables(_sources(spark, d), chunks, vectors), vectors
+
+
 def flagship(spark, sf_dir):
-    """A search with words, a phrase and filters over all documents: keyword, name and vector lists, fused, scored and cut."""
-    docs = table(spark, sf_dir, "documents")
-    chunks = docs.select(F.col("doc_id").alias("source_id"), F.col("doc_id").alias("chunk_id"), "text")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
-    plan = query_plan.parse_query('thand ation "of the" kind:document after:2019')
+    """A search with words, a phrase and filters over all documents: keyword, name and vector lists, fused, judged by their passages, scored, and cut to a page."""
+    tables, vectors = _library(spark, sf_dir)
     one = vectors.orderBy("chunk_id").first()
-    return query_plan.search(chunks, _sources(spark, sf_dir), plan, vectors, one["v"] if one else None)
+    return page.search(tables, 'onor thanea "of the" kind:document after:2019', page.Signals(text=list(one["v"]) if one else None))
+
+
+@query()
+def search_page(spark, d):
+    return flagship(spark, d)

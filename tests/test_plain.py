@@ -385,3 +385,25 @@ def test_names_by_their_trigrams(spark, tmp_path):
         assert {r["key"] for r in index.starting(term).collect()} == {i for i, n in low.items() if n.startswith(term)}
     plan = index.starting("Ste")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(name,ste)" in plan
+
+
+def test_long_chains_of_pictures_fold_in_few_rounds(spark, monkeypatch):
+    """A walk of pictures, each near to the next alone: rounds grow with the logarithm of its length, not with it."""
+    rng, walk, h = random.Random(6), [], 0
+    n = 400
+    for i in range(n):  # four more bits from step to step, one by one through the word and back
+        for b in range(5):
+            h ^= 1 << ((5 * i + b) % 60)
+        walk.append(h)
+    near = lambda x, y: (x ^ y).bit_count() <= 6
+    rows = [("g", i, x, float(n - i)) for i, x in enumerate(walk)] + [("r", i, rng.choice(walk[:60]) ^ (1 << rng.randrange(60)), rng.random()) for i in range(150)]
+    calls = []
+    monkeypatch.setattr(folding, "settle", lambda df, f=folding.settle: calls.append(1) or f(df))
+    got = {(r["g"], r["id"]): r["kept_id"] for r in folding.collapse_bursts(spark.createDataFrame(rows, "g string, id long, hash long, relevance double"), "g").collect()}
+    want, kept = {}, {}
+    for g, i, x, _ in sorted(rows, key=lambda r: (-r[3], r[1])):
+        into = next((k for k, y in kept.get(g, ()) if near(x, y)), None)
+        want[g, i] = i if into is None else into
+        if into is None:
+            kept.setdefault(g, []).append((i, x))
+    assert got == want and len(calls) < 60

@@ -26,6 +26,7 @@ def test_query_without_sql(spark, name):
 
 
 def test_driver_contract(spark):
-    assert __spark_entry__.entry(spark).count() >= 0
+    page = __spark_entry__.entry(spark).collect()
+    assert len(page) > 1 and sorted(r["place"] for r in page if r["kind"] == "document") == list(range(1, 1 + sum(r["kind"] == "document" for r in page))) and all(0.15 <= r["relevance"] <= 1 for r in page)
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
