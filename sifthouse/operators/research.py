@@ -76,16 +76,18 @@ def select_for_budget(sources: DataFrame, most: int = 8, budget: int = 8_000) ->
 
     ``sources(topic, id, kind, score, chosen, tokens)``. The user's own come first and the first
     of them always fits; then the best of each kind not there yet, at ``LEAST_POINTS`` or more;
-    then the best left. A source that doesn't fit is passed over. Whatever comes in question
-    stands among the first of an order, so each topic is cut to those before it is gathered:
-    sources that can't fit at all are dropped, and of the rest each kind gives its best.
+    then the best left. A source that doesn't fit is passed over. One that is taken fits later
+    than better ones of its kind that need no more tokens, so these were taken too: of the
+    sources of one kind that need the same tokens only the ``most`` best can come in question,
+    and tasks cut to those before a topic is gathered. A topic's rows are then at most ``most``
+    times the budget's tokens for each of its kinds.
     """
     room = budget - PROMPT_TOKENS
-    fits = sources.filter(F.col("chosen") | (F.col("tokens") + SOURCE_TOKENS <= room))
-    own = F.row_number().over(Window.partitionBy("topic", "chosen", "kind").orderBy(F.desc("score"), "id"))
-    # among sources of one kind in order, a later one is taken only if one before was too large: cheaper ones count too
-    cheap = F.row_number().over(Window.partitionBy("topic", "chosen", "kind").orderBy("tokens", F.desc("score"), "id"))
-    return _chosen(settle(fits.withColumn("a", own).withColumn("b", cheap)), most, budget)
+    needs = F.col("tokens") + SOURCE_TOKENS
+    fits = sources.filter(F.col("chosen") | (needs <= room))
+    # what is too large counts only as the user's first
+    place = F.row_number().over(Window.partitionBy("topic", "chosen", "kind", F.least(needs, F.lit(room + 1))).orderBy(F.desc("score"), "id"))
+    return _chosen(settle(fits.withColumn("place", place).filter(F.col("place") <= most).drop("place")), most, budget)
 
 
 def _chosen(ranked: DataFrame, most: int, budget: int) -> DataFrame:
