@@ -53,6 +53,7 @@ ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдеж
 # End of fixed values.
 
 _GENDER = {h: g for g, words in HONORIFICS.items() for h in words}
+_GENDER |= {h.upper(): _GENDER[h] for h in ("Mr", "Mrs", "Ms", "Dr", "Prof")}
 #: Small words between the words of a name.
 _PARTICLE = r"(?:(?:van|von|vom|zu|de)(?:[  ](?:der|den|dem|la|las|le|los))?|del|della|di|da|dos|du|la|le|el|al|bin|ibn|ben|ter|ten|af|av|y)(?![\w'’])"
 
@@ -81,7 +82,8 @@ _FOUR = lambda rest: rf"(?=(?:(?![A-Za-z0-9]){rest})*(?:[A-Za-z0-9](?:(?![A-Za-z
 _QUOTED = "|".join(rf"(?<={q}){_FOUR(rest)}{rest}{{6,}}(?={q})" for q, rest in (('"', r"[^\"\n]"), ("'", r"[^'\n]")))
 _VALUE = rf"(?:{_QUOTED}|(?:(?={_REST}*[A-Za-z0-9])[A-Za-z0-9_+/-]{{6}}|{_FOUR(_REST)}{_REST}{{6}}){_REST}*(?<![.:!?]))"
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,6}[A-Za-z]{2,24})"
+    # from a boundary to the at sign, however long: possessive, so that a long word without one is read once; then labels of any number, length and script
+    r"(?P<email>(?<![\w.%+-])(?<!\w['’])[.%+-]*+\w(?:[\w.%+-]|['’](?=\w))*+@(?:\w(?:[\w-]*\w)?\.)+[^\W\d_]{2,})"
     r"|(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)"
     r"|(?P<pem>(?<=-----BEGIN PRIVATE KEY-----)[A-Za-z0-9+/=\s]+|(?<=-----BEGIN RSA PRIVATE KEY-----)[A-Za-z0-9+/=\s]+|(?<=-----BEGIN EC PRIVATE KEY-----)[A-Za-z0-9+/=\s]+|(?<=-----BEGIN OPENSSH PRIVATE KEY-----)[A-Za-z0-9+/=\s]+)"
     r"|(?P<token>\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|\bgh[pousr]_[A-Za-z0-9]{20,}|\bgithub_pat_[A-Za-z0-9_]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bsk_live_[A-Za-z0-9]{16,})"
@@ -90,7 +92,8 @@ PATTERN = re.compile(
     r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:.])|(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?(?![\w:.]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))"
     r"|(?P<ssn>(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-])"
+    r"|(?<![\w.+-])0(?:\d(?:[ .-]\d\d){4}|\d{4}[ -]\d{6}|\d{1,4}[ /-]\d{5,8})(?![\w-]|[.,]\d))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     rf"|(?P<title>\b(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})\b\.?{_SEP}(?:(?:{'|'.join(HONORIFICS['n'])})\b\.?{_SEP})*)(?P<name>{_PERSON})"
 )
@@ -192,6 +195,16 @@ def _with_repeats(text: str, found: list[tuple[int, int, str, str]], names: dict
     return out[:-1]
 
 
+#: Letters of other scripts, permuted among themselves; the kind is none of their own letters.
+_OTHER = (("\x01", ALPHABETS["cyrillic"]), ("\x02", ALPHABETS["greek"]))
+
+
+def _plain_letters(value: str) -> str:
+    """Letters without a place in their script's alphabet stand as one of it, so that none stays in a surrogate."""
+    known = lambda c: c.isascii() or not c.isalpha() or any(c in alphabet for _, alphabet in _OTHER)
+    return "".join(c if known(c) else (letters := ALPHABETS[script_of(c)])[ord(c) % len(letters)] for c in value)
+
+
 class Surrogates:
     """Keyed surrogates. ``attempt`` redraws one that coincided with another."""
 
@@ -228,9 +241,11 @@ class Surrogates:
     def format(self, value: str, tweak: str) -> str:
         """Letters and digits of ``value`` permuted among their kind, all else in place."""
         out = list(value)
-        shape = re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", value)))
+        shape = re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", value)))
+        if not value.isascii():
+            shape = "".join(next((k for k, alphabet in _OTHER if c in alphabet), c) for c in shape)
         context = f"{tweak}|{shape}"
-        for kind, alphabet in (("a", "abcdefghijklmnopqrstuvwxyz"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("0", "0123456789")):
+        for kind, alphabet in (("a", "abcdefghijklmnopqrstuvwxyz"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("0", "0123456789"), *(_OTHER if not value.isascii() else ())):
             places = [i for i, c in enumerate(shape) if c == kind]
             if places:
                 old = "".join(value[i] for i in places)
@@ -242,7 +257,7 @@ class Surrogates:
     def __call__(self, kind: str, value: str, attempt: int = 0) -> str:
         tweak = f"{kind}|{attempt}"
         if kind == "email":
-            local, domain = value.split("@")
+            local, domain = (_plain_letters(x) for x in value.split("@"))
             body, _, top = domain.rpartition(".")
             more = "".join("abcdefghijklmnopqrstuvwxyz"[self._number(tweak, value, i) % 26] for i in range(attempt - 3))  # where all addresses of the format are taken
             return f"{self.format(local, f'{tweak}|{domain}')}{more}@{self.format(body, tweak + '|domain')}.{top}"
