@@ -7,15 +7,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scores import norm
 from ..functions.text import tokens
 from ..session import settle
-from . import retrieval
+from . import descent, retrieval
 from .graph import anchored_components, connected_components
 
 
-def mutual_neighbours(vectors: DataFrame, k: int = 12, floor: float = 0.5) -> DataFrame:
+def mutual_neighbours(vectors: DataFrame, k: int = 12, floor: float = 0.5, approximate: bool = False) -> DataFrame:
     """``src < dst, score`` where each of ``vectors(id, v)`` is among the other's ``k`` nearest at ``floor`` or more.
 
-    Exact, over blocks of bounded size; the neighbours are settled once and met with themselves.
+    Exact, over blocks of bounded size, which compares all pairs; or ``approximate`` by descent,
+    in work that grows with the vectors. The neighbours are settled once and met with themselves.
     """
+    if approximate:
+        near = settle(descent.nearest(vectors.toDF("id", "v"), k, floor))
+        back = near.filter("src > dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return near.filter("src < dst").join(back, ["src", "dst"], "left_semi").select("src", "dst", "score")
     blocks = retrieval.packed_blocks(vectors.toDF("id", "v"))
     best = retrieval.block_best(blocks, blocks, k, floor)
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
@@ -24,7 +29,7 @@ def mutual_neighbours(vectors: DataFrame, k: int = 12, floor: float = 0.5) -> Da
     return near.filter("src < dst").join(back, ["src", "dst"], "left_semi").select("src", "dst", "score")
 
 
-def cluster(vectors: DataFrame, locked: DataFrame | None = None, k: int = 12, floor: float = 0.5, least: int = 2) -> DataFrame:
+def cluster(vectors: DataFrame, locked: DataFrame | None = None, k: int = 12, floor: float = 0.5, least: int = 2, approximate: bool = False) -> DataFrame:
     """``id, person``: groups of mutual neighbours with ``least`` members or more, named by their smallest face.
 
     ``locked(id, person_id)`` holds hand-made decisions. Groups join by their edges in order of
@@ -33,9 +38,9 @@ def cluster(vectors: DataFrame, locked: DataFrame | None = None, k: int = 12, fl
     person is excluded: it joins nothing and is in no group.
     """
     if locked is None:
-        parts = connected_components(mutual_neighbours(vectors, k, floor).select("src", "dst")).withColumn("anchored", F.lit(False))
+        parts = connected_components(mutual_neighbours(vectors, k, floor, approximate).select("src", "dst")).withColumn("anchored", F.lit(False))
     else:
-        edges = mutual_neighbours(vectors, k, floor)
+        edges = mutual_neighbours(vectors, k, floor, approximate)
         excluded = locked.filter("person_id is null").select("id")
         for end in ("src", "dst"):
             edges = edges.join(excluded.withColumnRenamed("id", end), end, "left_anti")

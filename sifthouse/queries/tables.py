@@ -81,11 +81,27 @@ def mutual_knn(spark, d):
     return people.mutual_neighbours(e, 12, 0.2).select("src", "dst", F.round("score", 6).alias("score"))
 
 
+@query()
+def mutual_descent(spark, d):
+    return people.mutual_neighbours(table(spark, d, "embeddings").select("vec_id", "embedding"), 12, 0.2, approximate=True)
+
+
 @query()
 def people_cluster(spark, d):
     return people.cluster(table(spark, d, "embeddings").select("vec_id", "embedding"), floor=0.3)
 
 
+def locks(spark, d):
+    """Hand-made decisions about some vectors: every tenth belongs to the person of its label, of the others every seventeenth to nobody."""
+    e, i = table(spark, d, "embeddings"), F.col("vec_id")
+    return e.filter((i % 10 == 0) | (i % 17 == 0)).select(i.alias("id"), F.when(i % 10 == 0, F.concat(F.lit("p"), F.col("label").cast("string"))).alias("person_id"))
+
+
+@query()
+def people_cluster_locked(spark, d):
+    return people.cluster(table(spark, d, "embeddings").select("vec_id", "embedding"), locks(spark, d), floor=0.3)
+
+
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_orphans(spark, d):
     held = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))

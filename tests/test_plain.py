@@ -107,6 +107,21 @@ def test_locked_people_are_never_joined(spark):
     assert got[0] != got[3] and got[0] == got[4] == got[5] == got[1]
 
 
+def test_locked_groups_of_the_table(spark):
+    """The registered query beside joining the exact edges one by one."""
+    from .test_graph import _joined_in_order
+
+    held = search.table(spark, SF, "embeddings").select("vec_id", "embedding")
+    marks = {r["id"]: r["person_id"] for r in tables.locks(spark, SF).collect()}
+    edges = [tuple(r) for r in people.mutual_neighbours(held, floor=0.3).collect() if marks.get(r[0], "") is not None and marks.get(r[1], "") is not None]
+    anchors = {i: p for i, p in marks.items() if p is not None}
+    groups = {}
+    for i, g in _joined_in_order(edges, anchors):
+        groups.setdefault(g, []).append(i)
+    want = {(i, g) for g, ids in groups.items() for i in ids if len(ids) > 1 or any(x in anchors for x in ids)}
+    assert {(r["id"], r["person"]) for r in tables.people_cluster_locked(spark, SF).collect()} == want and len(groups) > 1
+
+
 def test_locks_hold_over_chains(spark):
     """A face locked far off keeps its whole chain; one locked to nobody stands outside and carries no chain."""
     at = lambda a: [math.cos(math.radians(a)), math.sin(math.radians(a))]
