@@ -44,15 +44,22 @@ def parse_rss(feeds: DataFrame, xml: str) -> DataFrame:
 
 
 def parse_marc(records: DataFrame, xml: str) -> DataFrame:
-    """Fields of MARCXML records: ``title, authors, publisher, year, subjects, abstract, isbn``."""
+    """Fields of MARCXML records: ``title, authors, publisher, year, subjects, abstract, isbn, doi, files``.
+
+    The DOI is the first of field 024 that says it is one or looks like one; files are the web
+    addresses of field 856.
+    """
     def sub(tag: str, code: str):
         return F.xpath(F.col(xml), F.lit(f"//*[local-name()='datafield'][@tag='{tag}']/*[local-name()='subfield'][@code='{code}']/text()"))
 
     first = lambda *cols: F.get(F.concat(*cols), F.lit(0))
+    marked = "*[local-name()='subfield'][@code='2'][translate(text(), 'DOI', 'doi')='doi']"
+    said_doi = F.xpath(F.col(xml), F.lit(f"//*[local-name()='datafield'][@tag='024'][{marked}]/*[local-name()='subfield'][@code='a']/text()"))
     return records.select(
         F.trim(F.regexp_replace(first(sub("245", "a")), r"[ /:;]+$", "")).alias("title"), F.concat(sub("100", "a"), sub("110", "a"), sub("700", "a"), sub("710", "a")).alias("authors"),
         first(sub("264", "b"), sub("260", "b")).alias("publisher"), F.regexp_extract(F.coalesce(first(sub("264", "c"), sub("260", "c")), F.lit("")), r"(\d{4})", 1).alias("year"),
-        F.concat(sub("650", "a"), sub("651", "a"), sub("653", "a")).alias("subjects"), first(sub("520", "a")).alias("abstract"), first(sub("020", "a")).alias("isbn"))
+        F.concat(sub("650", "a"), sub("651", "a"), sub("653", "a")).alias("subjects"), first(sub("520", "a")).alias("abstract"), first(sub("020", "a")).alias("isbn"),
+        F.trim(first(F.concat(said_doi, F.filter(sub("024", "a"), lambda x: F.trim(x).startswith("10."))))).alias("doi"), F.filter(sub("856", "u"), lambda u: u.rlike("^https?://")).alias("files"))
 
 
 def parse_discover(responses: DataFrame, json: str) -> DataFrame:
