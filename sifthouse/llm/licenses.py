@@ -141,6 +141,20 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+#: A template of fewer words must stand in a text without words between its own: scattered, a few common words name nothing.
+SHORT = 12
+
+
+def _unbroken(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest stretch of pairs that follow each other in both, the first of equals."""
+    best, start = (0, 0), 0
+    for k in range(1, len(pairs) + 1):
+        if k == len(pairs) or pairs[k][0] != pairs[k - 1][0] + 1 or pairs[k][1] != pairs[k - 1][1] + 1:
+            best = max(best, (k - start, -start))
+            start = k
+    return pairs[-best[1] : -best[1] + best[0]]
+
+
 class Scanner:
     """Finds templates in word lists. A match aligns ``coverage`` of a template or more, within a span of up to twice its words."""
 
@@ -192,6 +206,8 @@ class Scanner:
             pairs = [(begin + i, j) for i, j in align(words[begin : high + size + slack], template)]
             while pairs and pairs[-1][0] + 1 - pairs[0][0] > 2 * size:
                 pairs = pairs[1:] if pairs[1][0] - pairs[0][0] > pairs[-1][0] - pairs[-2][0] else pairs[:-1]
+            if size < SHORT:
+                pairs = _unbroken(pairs)
             return pairs if len(pairs) >= self.coverage * size else []
 
         clusters: list[tuple[int, int, int, list]] = []
@@ -223,7 +239,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     """``docs`` with ``n_words`` and ``licenses``: an array of ``(license, coverage, first, end)`` in order of place, over each whole text.
 
     Null and empty texts have no licenses; a text that names a license twice lists it twice.
-    A match aligns ``coverage`` of a template within a span of up to twice its words.
+    A match aligns ``coverage`` of a template within a span of up to twice its words; of a
+    template of under ``SHORT`` words, without other words between.
     """
     base = docs.drop("n_words", "licenses")
     names = base.columns

@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_words
     A text of more than ``max_words`` words gives ten runs spread over it to the fitting, so
     the driver holds ``8 * max_train * max_words`` bytes of words at most. Null labels, texts
     and ids are left out; of several labels of a document the greatest counts, of several texts
-    the one whose sampled words come first.
+    the one whose sampled words come first. Without a column ``lang`` one threshold holds for all.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("order", F.xxhash64("doc_id"))
@@ -248,7 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_words
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, stop - start) for c in ("doc_id", "toxic", "lang")] + [pa.array(parts, pa.binary())], ["doc_id", "toxic", "lang", "buckets"])
 
     # at most max_train ids, so the broadcast is bounded
-    text = docs.filter("text is not null").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")).join(F.broadcast(picked.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")
+    lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
+    text = docs.filter("text is not null").select("doc_id", "text", lang.alias("lang")).join(F.broadcast(picked.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")
     words = text.select("doc_id", "text", "lang", "toxic").mapInArrow(run, "doc_id long, toxic int, lang string, buckets binary")
     got = words.groupBy("doc_id").agg(F.min(F.struct("buckets", "lang", "toxic")).alias("x")).select("doc_id", "x.*").toArrow()
     parts, labels_, langs = got.column("buckets").combine_chunks(), got.column("toxic").to_pylist(), got.column("lang").to_pylist()

@@ -349,3 +349,17 @@ def test_long_words_without_an_address_are_read_once():
     for text in ("x" * 1_000_000, "a'" * 200_000, "a@" * 200_000, "x@" + "a." * 200_000, "x@" + "a-" * 200_000):
         assert list(pii.entities(text)) == []
     assert time.perf_counter() - began < 20
+
+
+def test_scattered_words_are_no_short_notice():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    assert scanner.scan(licenses.words_of("all rights are not reserved here all men reserved")) == []
+    assert [m[0] for m in scanner.scan(licenses.words_of("Copyright 2020 A. All rights reserved. all of it"))] == ["all-rights-reserved"]
+    assert licenses._unbroken([(0, 0), (2, 1), (3, 2), (4, 4), (5, 5)]) == [(2, 1), (3, 2)] and licenses._unbroken([]) == []
+
+
+def test_toxicity_without_a_language(spark):
+    docs = spark.createDataFrame([(i, f"bad word {i}" if i % 3 == 0 else f"good word {i}") for i in range(300)], "doc_id long, text string")
+    net = toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0) as toxic"))
+    wrong = toxicity.score(docs, net).filter("predicted <> int(doc_id % 3 = 0)").count()
+    assert net.languages == [""] and wrong < 15
