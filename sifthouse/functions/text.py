@@ -351,7 +351,3 @@ def is_noise_header(line: Column) -> Column:
     for pattern in NOISE_LINES:
         noise = noise | s.rlike(pattern)
     return noise
-
-
-def folder_of(path: Column) -> Column:
-    return F.regexp_replace(F.translate(path, "\\", "/"), "/?[^/]*$", "")

@@ -173,7 +173,3 @@ def dedupe_topics(topics: Column, most: int = 6) -> Column:
 def hash_column(text: Column) -> Column:
     """A 60-bit hash of content."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-
-
-def near_hash(rows: DataFrame, value: int, key: str, column: str, most: int) -> DataFrame:
-    return rows.filter(hamming(F.col(column), F.lit(value)) <= most).select(key)

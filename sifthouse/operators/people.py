@@ -105,9 +105,3 @@ def best_faces(faces: DataFrame, most: int = 6) -> DataFrame:
     """The ``most`` best faces of each person by ``quality``, ties to the smaller ``id``."""
     place = F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("quality"), "id"))
     return faces.withColumn("place", place).filter(F.col("place") <= most)
-
-
-def merge_people(faces: DataFrame, source: str, target: str) -> DataFrame:
-    """Faces of ``source`` go to ``target`` and are locked there."""
-    mine = F.col("person_id") == source
-    return faces.withColumn("person_locked", F.when(mine, True).otherwise(F.col("person_locked"))).withColumn("person_id", F.when(mine, target).otherwise(F.col("person_id")))

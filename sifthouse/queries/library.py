@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import scores, text as T
 from ..operators import facets, folding, fusion, people, relations, research, topics
@@ -452,9 +452,8 @@ def _web_sources(spark, d):
 
 @query("""WITH r AS (SELECT event_id, user_id, ts, count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events) SELECT event_id FROM r WHERE n >= 3""")
 def failure_lockout(spark, d):
-    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    n = F.count_if(F.col("event_type") == "click").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(-86_400_000_000, 0))
-    return e.withColumn("n", n).filter("n >= 3").select("event_id")
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return files.failures(e, "user_id", F.col("event_type") == "click", minutes=1_440, most=3).select("event_id")
 
 
 # ---- streams of file events

@@ -47,8 +47,3 @@ def sessions(events: DataFrame, gap: str, key: str) -> DataFrame:
 
 def first_within(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys)
-
-
-def lockouts(events: DataFrame, key: str, failed: str, width: str = "15 minutes", most: int = 10) -> DataFrame:
-    """Windows in which a key failed ``most`` times or more."""
-    return hopping(events.filter(failed), width, "1 minute", key).filter(F.col("n") >= most)
