@@ -72,7 +72,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, unreadable: list[str
         lost = lost | F.col("k").cast("string").startswith(folder.rstrip("/") + "/")
     state = F.when(F.col("in_o").isNull(), "new").when(F.col("in_n").isNull() & lost, "missing").when(F.col("in_n").isNull(), "removed").when(moved, "changed").otherwise("unchanged")
     both = both.withColumn("change", state)
-    ordered = lambda d, s: d.select("k", F.col(f"size_{s}").alias("size"), F.col(f"fp_{s}").alias("fp")).withColumn("i", F.row_number().over(Window.partitionBy("size", "fp").orderBy("k")))
+    # a fingerprint that very many files share is numbered over ranges; what has none is no renaming
+    ordered = lambda d, s: numbered(d.select("k", F.col(f"size_{s}").alias("size"), F.col(f"fp_{s}").alias("fp")).filter("size is not null and fp is not null"), ["size", "fp"], [F.col("k")]).select("k", "size", "fp", F.col("rn").alias("i"))
     gone, come = ordered(both.filter("change = 'removed'"), "o"), ordered(both.filter("change = 'new'"), "n")
     pairs = gone.withColumnRenamed("k", "was").join(come, ["size", "fp", "i"]).select("k", "was")
     taken = pairs.select(F.col("was").alias("k"), F.lit(True).alias("taken"))

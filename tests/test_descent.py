@@ -13,7 +13,7 @@ def _exact(x, k, floor=None):
     return {(i, int(j)) for i in range(len(x)) for j in near[i] if floor is None or s[i, j] >= floor}
 
 
-@pytest.mark.parametrize("n, dim, groups", [(1_200, 8, 40), (900, 24, 0)])
+@pytest.mark.parametrize("n, dim, groups", [(800, 8, 30), (600, 24, 0)])
 def test_most_neighbours_are_found(spark, n, dim, groups):
     """Vectors in clusters, with some repeated, and vectors anywhere: at least 0.95 of the mutual pairs."""
     rng = np.random.default_rng(n)

@@ -72,7 +72,7 @@ def _anchored(spark, edges, anchors):
     return {tuple(r) for r in got.collect()}
 
 
-@pytest.mark.parametrize("seed, nodes, edges_, anchored, people", [(1, 60, 90, 9, 4), (2, 200, 260, 40, 3), (3, 300, 320, 5, 5), (4, 40, 200, 12, 2)])
+@pytest.mark.parametrize("seed, nodes, edges_, anchored, people", [(2, 200, 260, 40, 3), (3, 300, 320, 5, 5)])
 def test_groups_of_one_anchor(spark, seed, nodes, edges_, anchored, people):
     rng = random.Random(seed)
     edges = [(rng.randrange(nodes), rng.randrange(nodes), rng.choice([0.5, 0.6, rng.random()])) for _ in range(edges_)]

@@ -422,3 +422,27 @@ def test_long_chains_of_pictures_fold_in_few_rounds(spark, monkeypatch):
         if into is None:
             kept.setdefault(g, []).append((i, x))
     assert got == want and len(calls) < 60
+
+
+def test_windows_of_many_sources_in_a_stream_of_rows(spark):
+    """Rows of all sources pass one after the other and give each source's own windows."""
+    rng = random.Random(3)
+    rows = [(k, t, round(t + rng.random() * 9, 2), rng.choice(["", None, " said", "words " * rng.randint(1, 40)])) for k in range(6) for t in sorted(round(rng.random() * 400, 2) for _ in range(60))]
+    got = {}
+    for r in chunking.transcript_windows(spark.createDataFrame(rows, "k long, ts_start double, ts_end double, text string").repartition(5), "k", 40.0, 10.0, 600).collect():
+        got.setdefault(r["k"], []).append(tuple(r)[1:])
+    for k in range(6):
+        mine = sorted((r[1:] for r in rows if r[0] == k), key=lambda r: r[:2])
+        said = [(a, b, t.strip()) for a, b, t in mine if t and t.strip()]
+        want, first = [], 0
+        while first < len(said):  # one window after the other over the whole list
+            stop = first + 1
+            while stop < len(said) and said[stop][1] - said[first][0] <= 40.0 and len(" ".join(t for _, _, t in said[first : stop + 1])) <= 600:
+                stop += 1
+            end = said[stop - 1][1]
+            want.append((said[first][0], end, " ".join(t for _, _, t in said[first:stop])))
+            if stop == len(said):
+                break
+            late = [i for i in range(first + 1, stop) if said[i][0] < end - 10.0]
+            first = max(late, default=first) + 1
+        assert sorted(got.get(k, [])) == sorted((round(a, 2), round(b, 2), t) for a, b, t in want)

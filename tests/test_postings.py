@@ -34,7 +34,7 @@ def path(spark, docs, tmp_path_factory):
     return where
 
 
-@pytest.mark.parametrize("terms, limit", [(["the", "of"], 10), (["w1"], 200), (["rare", "the"], 200), (["w1", "w2", "w3"], 10), (["of the", "w5", "the"], 200), (["nowhere", "w7"], 10), (["the the the", "rare"], 200), (["W9", "w9"], 10)])
+@pytest.mark.parametrize("terms, limit", [(["the", "of"], 10), (["W1", "w1"], 200), (["rare", "the"], 200), (["w1", "w2", "w3"], 10), (["of the", "w5", "the"], 200), (["the the the", "rare", "nowhere"], 200)])
 def test_search_equals_the_scan(spark, docs, path, terms, limit):
     want = retrieval.bm25(docs.filter("id is not null"), terms, "id", COLUMNS, limit).select("id", "score").collect()
     got = postings.bm25(postings.Index(spark, path, COLUMNS), terms, "id", limit).collect()
