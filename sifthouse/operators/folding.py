@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.scores import hamming
 from ..functions.text import isbn13, norm_title, normalize_url, record_title, surname, title_key
@@ -105,62 +110,103 @@ def local_copies(records: DataFrame, files: DataFrame) -> DataFrame:
     return records.select("id", record_title(F.col("title")).alias("t")).join(titles, "t").select("id", "file")
 
 
-def _kept_in_order(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
-    """``group, b``: the ``nodes(group, b)`` that a pass in order keeps, where a node goes if one before it that is kept has an edge ``a`` to ``b``.
+def _gone_in_order(edges: DataFrame, group: str) -> DataFrame:
+    """``group, b``: the nodes that a pass in order drops, where a node goes if one before it that is kept has an edge ``a`` to ``b``.
 
-    In each round nodes whose earlier neighbours are all decided are decided. A node with one open
-    neighbour before it is the opposite of that one; such nodes make chains, along which pointers
-    double, so a chain of any length is decided in one round of a logarithm of steps.
+    In each round the nodes that wait for none are kept, and drop those after them; edges of what
+    is decided go, so only open nodes are looked at. Where a round decides little, chains are
+    followed: a node that waits for one other is the opposite of that one, and along such nodes
+    pointers double, so a chain of any length is decided in a logarithm of steps.
     """
-    decided = settle(nodes.withColumn("kept", F.lit(True)).limit(0))
-    while True:
-        open_ = nodes.join(decided, [group, "b"], "left_anti")
-        ends = decided.withColumnRenamed("b", "a")
-        # edges from nodes that went say nothing any more
-        live = edges.join(open_, [group, "b"], "left_semi").join(ends.filter("not kept").select(group, "a"), [group, "a"], "left_anti").join(ends.select(group, "a", "kept"), [group, "a"], "left")
-        waits = settle(live.groupBy(group, "b").agg(F.count_if("kept").alias("over"), F.count_if(F.col("kept").isNull()).alias("n"), F.min("a").alias("a")))
-        free = open_.join(waits, [group, "b"], "left_anti").withColumn("kept", F.lit(True))
-        known = settle(free.union(waits.filter("over > 0").select(group, "b", F.lit(False).alias("kept"))))
-        # chains of nodes with one open neighbour before them; ``same`` says whether a node is as its end
-        chain = settle(waits.filter("over = 0 and n = 1").select(group, "b", "a", F.lit(False).alias("same")))
-        while True:
-            up = chain.select(group, F.col("b").alias("a"), F.col("a").alias("further"), F.col("same").alias("as_further"))
-            step = settle(chain.join(up, [group, "a"], "left").select(
-                group, "b", F.coalesce("further", "a").alias("a"), F.when(F.col("further").isNull(), F.col("same")).otherwise(F.col("same") == F.col("as_further")).alias("same"), F.col("further").isNotNull().alias("moved")))
-            moved = not step.filter("moved").isEmpty()
-            discard(chain)
-            chain = step.drop("moved")
-            if not moved:
-                break
-        told = chain.join(known.select(group, F.col("b").alias("a"), "kept"), [group, "a"]).select(group, "b", (F.col("same") == F.col("kept")).alias("kept"))
-        after = settle(decided.union(known).union(told))
-        done = after.count() == decided.count()
-        discard(decided, waits, known)
-        decided = after
-        if done:
-            return decided.filter("kept").select(group, "b")
+    b_as_a = lambda t: t.select(group, F.col("b").alias("a"))
+    live, gone, slow = settle(edges.select(group, "a", "b")), None, False
+    left = live.count()
+    while left:
+        waits = settle(live.groupBy(group, "b").agg(F.count("*").alias("n"), F.min("a").alias("a")))
+        over = live.join(b_as_a(waits), [group, "a"], "left_anti").select(group, "b")
+        if slow:
+            # ``same`` says whether a node is as its end; ends that wait for none are kept
+            chain = settle(waits.filter("n = 1").select(group, "b", "a", F.lit(False).alias("same")))
+            while True:
+                up = chain.select(group, F.col("b").alias("a"), F.col("a").alias("further"), F.col("same").alias("as_further"))
+                step = settle(chain.join(up, [group, "a"], "left").select(
+                    group, "b", F.coalesce("further", "a").alias("a"), F.when(F.col("further").isNull(), F.col("same")).otherwise(F.col("same") == F.col("as_further")).alias("same"), F.col("further").isNotNull().alias("moved")))
+                moved = not step.filter("moved").isEmpty()
+                discard(chain)
+                chain = step.drop("moved")
+                if not moved:
+                    break
+            over = over.union(chain.filter("not same").join(b_as_a(waits), [group, "a"], "left_anti").select(group, "b"))
+        over = settle(over.distinct())
+        # edges to what goes, or from it, say nothing any more; what is before those that go was kept
+        rest = settle(live.join(over, [group, "b"], "left_anti").join(b_as_a(over), [group, "a"], "left_anti"))
+        gone = over if gone is None else gone.union(over)
+        discard(live, waits)
+        live, before, left = rest, left, rest.count()
+        slow = 2 * left > before
+    return edges.select(group, "b").limit(0) if gone is None else gone
+
+
+#: Bits of a band from which bands are joined, and hashes of a block.
+BAND_BITS, HASH_BLOCK = 8, 4_096
+
+
+def _near_by_bands(firsts: DataFrame, group: str, most: int, bits: int) -> DataFrame:
+    """``group, x, y``: the places ``at`` of hashes within ``most`` bits, which agree in one of ``most + 1`` bands."""
+    bands = most + 1
+    edges = [bits * i // bands for i in range(bands + 1)]
+    part = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    cut = firsts.select(group, "hash", "at", F.posexplode(F.array(*(part(F.col("hash"), i) for i in range(bands)))).alias("band", "part"))
+    a, b = cut.toDF(group, "ha", "x", "band", "part"), cut.toDF(group, "hb", "y", "band", "part")
+    return a.join(b, [group, "band", "part"]).filter((F.col("x") < F.col("y")) & (hamming(F.col("ha"), F.col("hb")) <= most)).select(group, "x", "y").distinct()
+
+
+def _near_by_blocks(firsts: DataFrame, group: str, most: int) -> DataFrame:
+    """``group, x, y`` as by bands, where bands are too narrow to tell hashes apart: blocks of bounded size are compared, each two of a group once."""
+    sizes = firsts.groupBy(group).agg(F.ceil(F.count("*") / HASH_BLOCK).cast("int").alias("blocks"))
+    dealt = firsts.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
+    packed = dealt.groupBy(group, "blocks", "block").agg(F.collect_list(F.struct("hash", "at")).alias("rows"))
+    packed = settle(packed.select(group, "blocks", "block", F.col("rows.hash").alias("h"), F.col("rows.at").alias("at")))
+    left = packed.select(group, F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "block", F.col("h").alias("hx"), F.col("at").alias("x"))
+    met = left.join(packed.select(group, F.col("block").alias("other"), F.col("h").alias("hy"), F.col("at").alias("y")).hint("shuffle_merge"), [group, "other"])
+    met = met.select(group, (F.col("block") == F.col("other")).alias("own"), "hx", "x", "hy", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hx, hy = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in ("hx", "hy"))
+                x, y, own = batch.column("x")[i].values, batch.column("y")[i].values, batch.column("own")[i].as_py()
+                for at in range(0, len(hx), 256):
+                    rows, cols = np.nonzero(np.bitwise_count(hx[at : at + 256, None] ^ hy[None, :]) <= most)
+                    rows += at
+                    if own:  # each two once, and none with itself
+                        rows, cols = rows[rows < cols], cols[rows < cols]
+                    yield pa.RecordBatch.from_arrays([batch.column(group).take(pa.array(np.full(len(rows), i))), x.take(pa.array(rows)), y.take(pa.array(cols))], [group, "x", "y"])
+
+    place = firsts.schema["at"].dataType
+    found = met.mapInArrow(compare, StructType([firsts.schema[group], StructField("x", place), StructField("y", place)]))
+    return found.select(group, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def collapse_bursts(rows: DataFrame, group: str, most: int = 6, bits: int = 64) -> DataFrame:
     """``group, id, kept_id``: in order of relevance a picture within ``most`` bits of one already kept folds into the first such.
 
     ``rows(group, id, hash, relevance)``. Equal hashes of a group fold first. Near hashes are
-    joined by bands, each pair once, from the better picture to the worse; then those are kept
-    that no better one kept is near to. Rows without a hash are kept.
+    found once each two, from the better picture to the worse: by bands where these have
+    ``BAND_BITS`` or more, else in blocks. Then those are kept that no better one kept is near
+    to. Rows without a hash or a group are kept.
     """
-    best = lambda p: F.struct((-F.col(f"{p}relevance")).alias("r"), F.col(f"{p}id").alias("i"))
     held = rows.select(group, "id", "hash", "relevance")
-    firsts = settle(held.filter("hash is not null").groupBy(group, "hash").agg(F.min(best("")).alias("at")).select(group, "hash", F.col("at.i").alias("head"), "at"))
-    bands = most + 1
-    edges = [bits * i // bands for i in range(bands + 1)]
-    part = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    cut = firsts.select(group, "hash", "head", "at", F.posexplode(F.array(*(part(F.col("hash"), i) for i in range(bands)))).alias("band", "part"))
-    a, b = cut.toDF(group, "ha", "a", "ra", "band", "part"), cut.toDF(group, "hb", "b", "rb", "band", "part")
-    near = settle(a.join(b, [group, "band", "part"]).filter((F.col("ra") < F.col("rb")) & (hamming(F.col("ha"), F.col("hb")) <= most)).select(group, "a", "ra", "b").distinct())
-    kept = _kept_in_order(firsts.select(group, F.col("head").alias("b")), near.select(group, "a", "b"), group)
-    goes = near.join(kept.withColumnRenamed("b", "a"), [group, "a"], "left_semi").groupBy(group, "b").agg(F.min(F.struct("ra", "a")).alias("x")).select(group, F.col("b").alias("head"), F.col("x.a").alias("into"))
-    return (held.join(firsts.select(group, "hash", "head"), [group, "hash"], "left").join(goes, [group, "head"], "left")
-            .select(group, "id", F.coalesce("into", "head", "id").alias("kept_id")))
+    best = F.struct((-F.col("relevance")).alias("r"), F.col("id").alias("i"))
+    firsts = settle(held.filter(F.col("hash").isNotNull() & F.col(group).isNotNull()).groupBy(group, "hash").agg(F.min(best).alias("at")))
+    near = _near_by_bands(firsts, group, most, bits) if bits // (most + 1) >= BAND_BITS else _near_by_blocks(firsts, group, most)
+    near = settle(near.select(group, F.col("x.i").alias("a"), F.col("x").alias("ra"), F.col("y.i").alias("b")))
+    gone = _gone_in_order(near, group)
+    kept = near.join(gone.select(group, F.col("b").alias("a")), [group, "a"], "left_anti")
+    goes = kept.groupBy(group, "b").agg(F.min(F.struct("ra", "a")).alias("x")).select(group, F.col("b").alias("head"), F.col("x.a").alias("into"))
+    heads = firsts.select(group, "hash", F.col("at.i").alias("head")).join(goes, [group, "head"], "left").select(group, "hash", F.coalesce("into", "head").alias("into"))
+    # merged: the heads are as many as the rows, and copies of one hash may be
+    return held.join(heads.hint("shuffle_merge"), [group, "hash"], "left").select(group, "id", F.coalesce("into", "id").alias("kept_id"))
 
 
 def dedupe_topics(topics: Column, most: int = 6) -> Column:

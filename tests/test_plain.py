@@ -424,6 +424,28 @@ def test_long_chains_of_pictures_fold_in_few_rounds(spark, monkeypatch):
     assert got == want and len(calls) < 60
 
 
+def test_bursts_of_narrow_bands_meet_in_blocks_and_rows_without_a_group_stay(spark, monkeypatch):
+    """Hashes whose bands are narrow are compared in blocks; a null group, with which rounds never ended, keeps its rows."""
+    monkeypatch.setattr(folding, "HASH_BLOCK", 50, raising=False)
+    calls, settle = [], folding.settle
+
+    def counted(df):
+        calls.append(1)
+        assert len(calls) < 80
+        return settle(df)
+
+    monkeypatch.setattr(folding, "settle", counted)
+    rng = random.Random(8)
+    rows = [(f"g{i % 2}", i, rng.getrandbits(12) << 48 | rng.getrandbits(12), i % 9) for i in range(300)] + [(None, 1000 + i, 5, i) for i in range(3)]
+    got = {r["id"]: r["kept_id"] for r in folding.collapse_bursts(spark.createDataFrame(rows, "g string, id long, hash long, relevance long"), "g", 8, 60).collect()}
+    want, kept = {i: i for g, i, _, _ in rows if g is None}, {}
+    for g, i, h, _ in sorted((r for r in rows if r[0]), key=lambda r: (-r[3], r[1])):
+        want[i] = next((k for k, x in kept.get(g, ()) if (h ^ x).bit_count() <= 8), i)
+        if want[i] == i:
+            kept.setdefault(g, []).append((i, h))
+    assert got == want and len(set(want.values())) < 200
+
+
 def test_windows_of_many_sources_in_a_stream_of_rows(spark):
     """Rows of all sources pass one after the other and give each source's own windows."""
     rng = random.Random(3)
