@@ -129,32 +129,109 @@ def packed_blocks(vectors: DataFrame) -> DataFrame:
     return settle(packed.select("block", F.col("x.id").alias("ids"), F.flatten("x.v").alias("flat")))
 
 
+#: Components of the vectors that a task holds, and of those that it passes by them at most; tasks at least, where blocks are enough.
+HELD, PASSED, WAYS = 1 << 22, 1 << 24, 48
+
+
+class _Best:
+    """The ``k`` best of each of some vectors among those that pass by in blocks: the larger score, then the smaller id.
+
+    A product in single precision chooses what can be among them, with room for its rounding;
+    those are scored exactly. Of equal vectors of a block the smallest ids are enough.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, floor: float | None):
+        self.ids, self.x, self.k, self.floor = ids, x, k, floor
+        self.score, self.near = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.least = np.full(len(ids), -np.inf if floor is None else floor)
+        self.single = self._fits(x)
+        self.narrow, self.norm = x.astype(np.float32) if self.single else x, np.sqrt((x * x).sum(axis=1))
+
+    @staticmethod
+    def _fits(x: np.ndarray) -> bool:
+        return bool(np.all(np.abs(x) < 1e15))
+
+    def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
+        by_id = np.argsort(ids)
+        ids, y = ids[by_id], y[by_id]
+        _, kind, often = np.unique(y.view(np.dtype((np.void, y.strides[0]))).ravel(), return_inverse=True, return_counts=True)
+        if often.max(initial=0) > self.k + 1:
+            order = np.argsort(kind, kind="stable")
+            few = np.sort(order[np.arange(len(order)) - np.repeat(np.cumsum(often) - often, often) <= self.k])
+            ids, y = ids[few], y[few]
+        single = self.single and self._fits(y)
+        x, other = (self.narrow, y.astype(np.float32)) if single else (self.x, y)
+        top = np.sqrt((y * y).sum(axis=1)).max(initial=0.0)
+        room = (y.shape[1] + 4) * 2.0**-23 * self.norm * top + 1e-35 * (1 + self.norm + top) if single else np.full(len(x), 1e-9)
+        own = [np.searchsorted(ids, self.ids, side) for side in ("left", "right")]
+        for at in range(0, len(x), 512):
+            s, near = x[at : at + 512] @ other.T, room[at : at + 512]
+            if not single:
+                s[np.isnan(s)] = -np.inf
+            for r in np.flatnonzero(own[0][at : at + 512] < own[1][at : at + 512]):
+                s[r, own[0][at + r] : own[1][at + r]] = -np.inf
+            ok = s >= (self.least[at : at + 512] - near).astype(s.dtype)[:, None]
+            full = np.flatnonzero(np.count_nonzero(ok, axis=1) > self.k)
+            if len(full):
+                least = np.partition(s[full], s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+                ok[full] &= s[full] >= (least - 2 * near[full]).astype(s.dtype)[:, None]
+            rows, cols = np.nonzero(ok & (s > -np.inf))
+            for some in range(0, len(rows), 1 << 15):  # bounds what is unpacked at once
+                self._take(at + rows[some : some + (1 << 15)], cols[some : some + (1 << 15)], ids, y)
+
+    def _take(self, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        exact = np.array([math.fsum(p) for p in (self.x[rows] * y[cols]).tolist()])
+        keep = exact >= self.least[rows]
+        rows, near, exact = rows[keep], ids[cols[keep]], exact[keep]
+        here = np.unique(rows)
+        rows = np.concatenate([np.repeat(here, self.k), rows])
+        near, exact = np.concatenate([self.near[here].ravel(), near]), np.concatenate([self.score[here].ravel(), exact])
+        order = np.lexsort((near, -exact, rows))
+        rows, near, exact = rows[order], near[order], exact[order]
+        first = np.searchsorted(rows, here)[:, None] + np.arange(self.k)
+        self.near[here], self.score[here] = near[first], exact[first]
+        self.least[here] = np.maximum(self.least[here], self.score[here, -1])
+
+    def found(self) -> pa.RecordBatch:
+        rows, cols = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[rows], pa.int64()), pa.array(self.near[rows, cols], pa.int64()), pa.array(self.score[rows, cols], pa.float64())], ["src", "dst", "score"])
+
+
 def block_best(left: DataFrame, right: DataFrame, k: int, floor: float | None = None) -> DataFrame:
-    """``src, dst, score``: for each vector of the left blocks its ``k`` best of each right block by inner product, at ``floor`` or more."""
-    last = right.agg(F.max("block")).first()[0]
-    asked = left.select(F.col("ids").alias("a"), F.col("flat").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")).alias("block"))
-    met = asked.join(right.select("block", F.col("ids").alias("b"), F.col("flat").alias("y")), "block").select("a", "x", "b", "y")
+    """``src, dst, score``: for each vector of the left blocks its ``k`` best of each share of the right blocks by inner product, at ``floor`` or more.
+
+    Ids are unique. A task holds some left blocks and lets a share of the right ones pass by, so
+    it gives ``k`` rows a vector however many pass, and both sides are copied as often as the
+    other has shares. All pairs are compared.
+    """
+    size = lambda blocks: blocks.agg(F.coalesce(F.sum(F.size("flat")), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+    a, b = size(left), size(right)
+    groups = max(1, min(a["n"], -(-a["size"] // HELD)))
+    shares = max(1, min(b["n"], max(-(-WAYS // groups), -(-b["size"] // PASSED))))
+    held = left.select(F.pmod("block", F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(False).alias("passes"), "block", "ids", "flat")
+    passed = right.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.pmod("block", F.lit(shares)).alias("share"), F.lit(True).alias("passes"), "block", "ids", "flat")
+    unit = (F.col("group") * shares + F.col("share")).cast("int")
+    dealt = held.unionByName(passed).withColumn("unit", unit).repartitionById(groups * shares, F.col("unit")).sortWithinPartitions("unit", "passes", "block").select("unit", "passes", "ids", "flat")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, mine, best = None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                a, x, b, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("a", "x", "b", "y"))
-                x, y = x.reshape(len(a), -1), y.reshape(len(b), -1)
-                for at in range(0, len(a), 512):
-                    ids = a[at : at + 512]
-                    s = x[at : at + 512] @ y.T
-                    ok = ids[:, None] != b[None, :]
-                    if floor is not None:
-                        ok &= s >= floor - 1e-9
-                    if len(b) > k:  # all that may be among the k best, with room for rounding
-                        least = np.partition(np.where(ok, s, -np.inf), len(b) - k, axis=1)[:, len(b) - k]
-                        ok &= s >= least[:, None] - 1e-9
-                    rows, cols = np.nonzero(ok)
-                    exact = np.array([math.fsum(p) for p in x[at + rows] * y[cols]]) if len(rows) else np.zeros(0)
-                    keep = np.ones(len(rows), bool) if floor is None else exact >= floor
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows[keep]], pa.int64()), pa.array(b[cols[keep]], pa.int64()), pa.array(exact[keep], pa.float64())], ["src", "dst", "score"])
-
-    return met.mapInArrow(run, "src long, dst long, score double")
+                if (unit := batch.column("unit")[i].as_py()) != here:
+                    if best:
+                        yield best.found()
+                    here, mine, best = unit, [], None
+                ids, flat = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "flat"))
+                if not batch.column("passes")[i].as_py():
+                    mine.append((ids, flat.reshape(len(ids), -1)))
+                elif mine or best:
+                    best = best or _Best(np.concatenate([m[0] for m in mine]), np.concatenate([m[1] for m in mine]), k, floor)
+                    mine = []
+                    best.meet(ids, flat.reshape(len(ids), -1))
+        if best:
+            yield best.found()
+
+    return dealt.mapInArrow(run, "src long, dst long, score double")
 
 
 def hash_search(rows: DataFrame, query: int | Column, key: str, column: str, most: int = 10, limit: int = 50) -> DataFrame:

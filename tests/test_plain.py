@@ -446,6 +446,29 @@ def test_bursts_of_narrow_bands_meet_in_blocks_and_rows_without_a_group_stay(spa
     assert got == want and len(set(want.values())) < 200
 
 
+def test_neighbours_of_blocks_that_pass_are_the_best_of_all_and_copies_stay_few(spark, monkeypatch):
+    """A task keeps ``k`` rows a vector however many blocks pass and however many copies tie; equal scores go by the smaller id."""
+    import numpy as np
+    monkeypatch.setattr(retrieval, "BLOCK", 40)
+    monkeypatch.setattr(retrieval, "WAYS", 2, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8))
+    x[100:250] = x[100]
+    x[300:310] *= 1e20
+    ids = rng.permutation(1000)[:400]
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, v array<double>")
+    for floor in (None, 0.5):
+        blocks = retrieval.packed_blocks(vectors)
+        rows = retrieval.block_best(blocks, blocks, 5, floor).collect()
+        assert len(rows) <= 400 * 5 * 2
+        got = {}
+        for r in sorted(rows, key=lambda r: (-r["score"], r["dst"])):
+            got.setdefault(r["src"], []).append((r["dst"], r["score"]))
+        for i, a in zip(ids, x):
+            scores_ = sorted((-math.fsum(a * b), int(j)) for j, b in zip(ids, x) if j != i)[:5]
+            assert got.get(i, [])[:5] == [(j, -s) for s, j in scores_ if floor is None or -s >= floor]
+
+
 def test_windows_of_many_sources_in_a_stream_of_rows(spark):
     """Rows of all sources pass one after the other and give each source's own windows."""
     rng = random.Random(3)
