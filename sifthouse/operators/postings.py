@@ -16,6 +16,9 @@ import math
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType
 
@@ -25,6 +28,8 @@ from .retrieval import K1, B
 
 #: Documents of a slice, about, and folders that the terms are dealt into.
 SLICE, BUCKETS = 1_024, 64
+#: Characters of a slice, about, at most, and files of a folder.
+SLICE_CHARS, PIECES = 1 << 23, 16
 #: Slices that are scored first.
 SEEDS = 32
 #: Room between the places of two columns, so that no phrase runs from one into the next.
@@ -43,23 +48,25 @@ def append(docs: DataFrame, path: str, key: str, columns: dict[str, float], slic
     ``columns`` are the text columns and the weights of their counts, the same in every segment.
     Keys are unique in the index; rows without one are left out. The segment's row of statistics
     is written last: a segment without it is not read, so a build that fails leaves the index as
-    it was and can be run again. Words are shuffled once, by slice and term.
+    it was and can be run again. Texts are shuffled once, by slice; a slice, whose size is bounded,
+    is inverted by sorting its words.
     """
     segment = uuid.uuid4().hex
     docs = docs.filter(F.col(key).isNotNull())
-    slices = max(1, -(-docs.count() // slice_rows))
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+    one = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(map(F.length, texts), F.lit(0))), F.lit(0)).alias("chars")).first()
+    slices = max(1, -(-one["n"] // slice_rows), -(-one["chars"] // SLICE_CHARS))
     number = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(slices)).cast("int")
-    said = [_placed(tokens(F.coalesce(F.col(c), F.lit(""))), at * COLUMN) for at, c in enumerate(columns)]
-    words = docs.select(F.col(key).alias("key"), number.alias("slice"), F.concat(*said).alias("said")).withColumn("len", F.size("said").cast("double"))
-    spread = words.select("key", "slice", "len", F.explode("said").alias("x")).select("key", "slice", "len", "x.*").repartition("slice", "term")
-    # both groupings keep the partitioning by slice and term
-    weights = F.array(*(F.lit(float(w)) for w in columns.values()))
-    posting = spread.groupBy("slice", "term", "key", "len").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    posting = posting.withColumn("tf", _weighted("places", weights))
-    blocks = posting.groupBy("slice", "term").agg(
-        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.array_sort(F.collect_list(F.struct("key", "len", "tf", "places"))).alias("docs"))
+    dealt = docs.select(F.col(key).alias("key"), number.alias("slice"), *(t.alias(f"t{at}") for at, t in enumerate(texts))).repartition("slice")
+    said = dealt.select("key", "slice", *(tokens(F.col(f"t{at}")).alias(f"w{at}") for at in range(len(texts))))
+    words = said.withColumn("len", sum((F.size(f"w{at}") for at in range(len(texts))), F.lit(0)).cast("double"))
+    weights = list(map(float, columns.values()))
+    kind = docs.schema[key].dataType.simpleString()
+    blocks = words.groupBy("slice").applyInArrow(
+        lambda table: _inverted(table, weights), f"slice int, term string, n long, max_tf double, min_len double, docs array<struct<key:{kind},len:double,tf:double,places:array<bigint>>>")
     where = f"{path}/segments/{segment}"
-    laid = blocks.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "slice").sortWithinPartitions("bucket", "term", "slice")
+    # a bucket's slices go to several files, so that no frequent term is one task's
+    laid = blocks.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod("slice", F.lit(PIECES))).sortWithinPartitions("bucket", "term", "slice")
     laid.write.partitionBy("bucket").parquet(f"{where}/blocks")
     words.select("key", "slice", "len").write.parquet(f"{where}/lengths")
     sums = docs.sparkSession.read.parquet(f"{where}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0.0)).alias("words"))
@@ -67,9 +74,35 @@ def append(docs: DataFrame, path: str, key: str, columns: dict[str, float], slic
     return segment
 
 
-def _placed(words: Column, first: int) -> Column:
-    """The words with their places, counted from ``first``."""
-    return F.transform(words, lambda t, i: F.struct(t.alias("term"), (i.cast("long") + F.lit(first)).alias("place")))
+def _inverted(table: pa.Table, weights: list[float]) -> pa.Table:
+    """The blocks of a slice: its documents' words in the order of word, document and place."""
+    table = table.combine_chunks().sort_by("key").combine_chunks()
+    terms, docs, places = [], [], []
+    for at in range(len(weights)):
+        words = table.column(f"w{at}").combine_chunks()
+        often = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        terms.append(words.flatten())
+        docs.append(np.repeat(np.arange(len(often)), often))
+        places.append(np.arange(len(terms[-1])) - np.repeat(np.cumsum(often) - often, often) + at * COLUMN)
+    coded = pa.chunked_array(terms, pa.string()).combine_chunks().dictionary_encode()
+    code, doc, place = coded.indices.to_numpy(zero_copy_only=False), np.concatenate(docs), np.concatenate(places)
+    order = np.lexsort((place, doc, code))
+    code, doc, place = code[order], doc[order], place[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(doc, prepend=-1))
+    counts = [np.add.reduceat(place // COLUMN == at, first, dtype=np.int64) if len(first) else np.zeros(0) for at in range(len(weights))]
+    # as a scan of the texts weighs them, so that equal scores are equal here too
+    tf = reduce(lambda a, b: a + b, (c * w for c, w in zip(counts, weights)))
+    code, doc = code[first], doc[first]
+    size = table.column("len").to_numpy()[doc]
+    begin = np.flatnonzero(np.diff(code, prepend=-1))
+    upto = lambda starts, end: pa.array(np.append(starts, end), pa.int32())
+    listed = pa.ListArray.from_arrays(upto(first, len(place)), pa.array(place, pa.int64()))
+    key = table.column("key").combine_chunks().take(pa.array(doc))
+    posting = pa.StructArray.from_arrays([key, pa.array(size, pa.float64()), pa.array(tf, pa.float64()), listed], ["key", "len", "tf", "places"])
+    return pa.table({
+        "slice": pa.array(np.full(len(begin), table.column("slice")[0].as_py()), pa.int32()), "term": coded.dictionary.take(pa.array(code[begin])), "n": pa.array(np.diff(np.append(begin, len(code))), pa.int64()),
+        "max_tf": pa.array(np.maximum.reduceat(tf, begin) if len(begin) else [], pa.float64()), "min_len": pa.array(np.minimum.reduceat(size, begin) if len(begin) else [], pa.float64()),
+        "docs": pa.ListArray.from_arrays(upto(begin, len(code)), posting)})
 
 
 def _earlier(places: Column, by: int) -> Column:

@@ -94,3 +94,21 @@ def test_slices_below_the_last_place_are_not_scored(spark, docs, path, monkeypat
     index = postings.Index(spark, path, COLUMNS)
     want = [r["id"] for r in retrieval.bm25(docs.filter("id is not null"), ["rare"], "id", COLUMNS, 2).collect()]
     assert {r["id"] for r in postings.bm25(index, ["rare"], "id", 2).collect()} == set(want)
+
+
+def test_words_are_not_shuffled_one_by_one(spark, tmp_path, monkeypatch):
+    """Texts are dealt by slice and inverted there: no row for each word is made or shuffled."""
+    made, explode = [], F.explode
+    monkeypatch.setattr(F, "explode", lambda c: made.append(c) or explode(c))
+    docs = spark.createDataFrame([(i, f"a{i % 5} b{i % 3} a{i % 5} " * (i % 4), "b1 head") for i in range(60)] + [(None, "a1", None), (99, None, None)], "id long, text string, title string")
+    postings.append(docs, f"{tmp_path}/i", "id", {"text": 1.0, "title": 0.4}, 16)
+    assert not made
+    monkeypatch.undo()
+    index = postings.Index(spark, f"{tmp_path}/i", {"text": 1.0, "title": 0.4})
+    assert index.documents == 61
+    got = {r["key"]: (r["len"], r["tf"], r["places"]) for r in index.blocks(["b1"]).select(F.explode("docs").alias("d")).select("d.*").collect()}
+    for i in range(60):
+        words = f"a{i % 5} b{i % 3} a{i % 5} ".split() * (i % 4)
+        at = [p for p, w in enumerate(words) if w == "b1"]
+        assert got[i] == (len(words) + 2, len(at) * 1.0 + 0.4, [*at, postings.COLUMN])
+    assert 99 not in got
