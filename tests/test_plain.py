@@ -469,6 +469,21 @@ def test_neighbours_of_blocks_that_pass_are_the_best_of_all_and_copies_stay_few(
             assert got.get(i, [])[:5] == [(j, -s) for s, j in scores_ if floor is None or -s >= floor]
 
 
+def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
+    """Chunks of a large batch of texts don't gather in its task: none that it gives holds many more than ``GIVEN`` characters."""
+    monkeypatch.setattr(chunking, "GIVEN", 20_000)
+    seen = []
+    texts = [(i, None if i == 7 else f"word{i} and more. " * (i % 90)) for i in range(900)]
+    docs = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: seen.extend(run(iter(self.toArrow().to_batches()))))
+    for call, cut in ((chunking.chunk_text, chunking.cut_text), (chunking.cut_legacy, chunking.legacy_chunks)):
+        seen.clear()
+        call(docs, "id", "text")
+        assert len(seen) > 10 and max(sum(map(len, b.column("chunk").to_pylist())) for b in seen) < 24_000
+        got = [tuple(r.values()) for b in seen for r in b.to_pylist()]
+        assert got == [(i, o, c) for i, t in texts for o, c in enumerate(cut(t or ""))]
+
+
 def test_windows_of_many_sources_in_a_stream_of_rows(spark):
     """Rows of all sources pass one after the other and give each source's own windows."""
     rng = random.Random(3)
