@@ -163,8 +163,9 @@ def _near_by_bands(firsts: DataFrame, group: str, most: int, bits: int) -> DataF
 
 def _near_by_blocks(firsts: DataFrame, group: str, most: int) -> DataFrame:
     """``group, x, y`` as by bands, where bands are too narrow to tell hashes apart: blocks of bounded size are compared, each two of a group once."""
-    sizes = firsts.groupBy(group).agg(F.ceil(F.count("*") / HASH_BLOCK).cast("int").alias("blocks"))
-    dealt = firsts.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
+    # groups of several blocks: a row for each ``HASH_BLOCK`` hashes at most
+    sizes = firsts.groupBy(group).agg(F.ceil(F.count("*") / HASH_BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = firsts.join(F.broadcast(sizes), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
     packed = dealt.groupBy(group, "blocks", "block").agg(F.collect_list(F.struct("hash", "at")).alias("rows"))
     packed = settle(packed.select(group, "blocks", "block", F.col("rows.hash").alias("h"), F.col("rows.at").alias("at")))
     left = packed.select(group, F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "block", F.col("h").alias("hx"), F.col("at").alias("x"))
