@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import relieve
 from .shared import SALTS, Words, buffers, chunks, free_prefix, span_hashes, text_column, with_fields
 
 BITS = 16
@@ -247,6 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_words
                 parts = [_runs(buckets[a:b], max_words).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, stop - start) for c in ("doc_id", "toxic", "lang")] + [pa.array(parts, pa.binary())], ["doc_id", "toxic", "lang", "buckets"])
 
+    relieve(docs.sparkSession)
     # at most max_train ids, so the broadcast is bounded
     lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
     text = docs.filter("text is not null").select("doc_id", "text", lang.alias("lang")).join(F.broadcast(picked.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id")
@@ -257,8 +259,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_words
     for i in np.argsort(got.column("doc_id").to_numpy(), kind="stable").tolist():
         if (raw := parts[i].as_buffer()).size:
             rows.append((np.frombuffer(raw, np.int32).reshape(-1, len(HEADS)), int(labels_[i] == 1), langs[i]))
+    raw = None
     np.random.default_rng(1).shuffle(rows)
-    return fit(rows)
+    net = fit(rows)
+    # the sample goes, and its room too
+    del rows, parts, got
+    pa.default_memory_pool().release_unused()
+    relieve(docs.sparkSession)
+    return net
 
 
 def score(docs: DataFrame, net: Network, prefix: str = "") -> DataFrame:

@@ -95,9 +95,22 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     _places[table] = path
+    relieve(spark)
     return table
 
 
+def relieve(spark: SparkSession) -> None:
+    """Collect the driver's garbage once its heap has grown to over half of what it may take.
+
+    A driver plans and tracks thousands of small tasks between two settled tables. What that
+    leaves is garbage, but the heap grows over it to its limit and stays so; a collection gives
+    the room back, and lets Spark's cleaner free the shuffles and broadcasts of plans that ended.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() * 2 > runtime.maxMemory():
+        spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove settled tables that no later job reads."""
     for table in tables:
