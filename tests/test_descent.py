@@ -47,3 +47,15 @@ def test_people_are_grouped_by_descent_too(spark):
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     exact = {(r["id"], r["person"]) for r in people.cluster(vectors, k=6, floor=0.6).collect()}
     assert {(r["id"], r["person"]) for r in people.cluster(vectors, k=6, floor=0.6, approximate=True).collect()} == exact
+
+
+def test_pairs_are_not_shuffled_before_they_are_better(spark):
+    """Two thousand vectors anywhere, who meet some millions of times: what is shuffled stays under 40 MB."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2_000, 64))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "id long, v array<double>").repartition(4)
+    written = lambda: sum(e.totalShuffleWrite() for e in [spark._jsc.sc().statusStore().executorList(True).apply(0)])
+    vectors.count()
+    before = written()
+    assert descent.nearest(vectors, 12).count() == 24_000
+    assert (written() - before) / 1e6 < 40
