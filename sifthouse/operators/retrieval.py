@@ -73,20 +73,15 @@ def contains_phrase(docs: DataFrame, key: str, text: str, phrase: str) -> DataFr
 def word_shares(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, floor: float) -> DataFrame:
     """``query_key, key, score``: the share of each query's words that a text holds, at ``floor`` or more; a stand-in for a reranker's verdict.
 
-    Joined on words. Of a query's words a text must hold ``ceil(floor n)``, so it holds one of
-    the first ``n - ceil(floor n) + 1`` too: only those, the rarest of the corpus, are joined, and
-    the pairs they give are counted in full.
+    A text's distinct words meet the queries that ask for them and are counted by query and text,
+    in the task that has the text before anything is shuffled, where the queries' words are few
+    enough to be broadcast. Only narrow counts are shuffled: neither side's words go with a pair.
     """
-    asked = queries.select(F.col(query_key).alias("q"), F.array_distinct(tokens(F.col(query_text))).alias("qw")).filter(F.size("qw") > 0)
-    said = settle(docs.select(F.col(key).alias("d"), F.array_distinct(tokens(F.col(text))).alias("w")))
+    asked = queries.select(F.col(query_key).alias("q"), F.array_distinct(tokens(F.col(query_text))).alias("qw"))
     spread = asked.select("q", F.size("qw").alias("n"), F.explode("qw").alias("t"))
-    words = said.select("d", F.explode("w").alias("t"))
-    often = words.join(spread.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("often"))
-    ranked = spread.join(often, "t", "left").groupBy("q", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), "t"))).alias("r"))
-    rare = settle(ranked.select("q", "n", F.col("r.t").alias("qw"), F.explode(F.slice("r.t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(floor)) + 1).cast("int"))).alias("t")))
-    pairs = rare.join(words, "t").groupBy("q", "d").agg(F.count("*").alias("c"))
-    held = pairs.select("q", "d").join(asked, "q").join(said, "d").select("q", "d", (F.size(F.array_intersect("qw", "w")) / F.size("qw")).alias("score"))
-    return held.filter(F.col("score") >= floor).select(F.col("q").alias(query_key), F.col("d").alias(key), "score")
+    words = docs.select(F.col(key).alias("d"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("t"))
+    counted = words.join(spread, "t").groupBy("q", "d").agg((F.count("*") / F.min("n")).alias("score"))
+    return counted.filter(F.col("score") >= floor).select(F.col("q").alias(query_key), F.col("d").alias(key), "score")
 
 
 def name_search(rows: DataFrame, terms: list[str], key: str, name: str, limit: int = 50) -> DataFrame:
