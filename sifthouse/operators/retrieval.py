@@ -39,29 +39,34 @@ def _counts(columns: dict[str, float], terms: list[str]) -> Column:
         reduce(lambda a, b: a + b, (all_[i][f] for i in range(len(parts)))).alias(f) for f in fields)))[0]
 
 
-def bm25(docs: DataFrame, terms: list[str], key: str, columns: dict[str, float], limit: int = 200) -> DataFrame:
+def bm25(docs: DataFrame, terms: list[str], key: str, columns: dict[str, float], limit: int = 200, places: int | None = None, average_nulls: bool = True) -> DataFrame:
     """Okapi BM25 over weighted text columns: rows that hold all terms, filled up by rows with any where those are under a quarter of ``limit``.
 
     One pass counts the terms and keeps the narrow rows that hold any; the corpus statistics are
     observed on the way. No word of the corpus is exploded or shuffled. A term of several words
     is a phrase, which counts as one word.
+
+    Scores are ranked as they are returned: rounded to ``places`` decimals, if given. A row
+    without any text counts as a row; unless ``average_nulls``, it has no part in the average
+    length. Of equal scores the smaller key comes first, and null keys last.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
-    tf = docs.select(key, _counts(columns, terms).alias("x")).select(key, "x.*")
+    told = F.lit(True) if average_nulls else F.coalesce(*(F.col(c).cast("string") for c in columns)).isNotNull()
+    tf = docs.select(key, _counts(columns, terms).alias("x"), told.alias("told")).select(key, "x.*", "told")
     f = [F.col(f"f{j}") for j in range(len(terms))]
     seen = Observation()
-    tf = tf.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("len").alias("words"), *(F.count_if(x > 0).alias(f"n{j}") for j, x in enumerate(f)))
-    held = settle(tf.filter(reduce(lambda a, b: a | b, (x > 0 for x in f))))
+    tf = tf.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("told").alias("told"), F.sum("len").alias("words"), *(F.count_if(x > 0).alias(f"n{j}") for j, x in enumerate(f)))
+    held = settle(tf.filter(reduce(lambda a, b: a | b, (x > 0 for x in f))).drop("told"))
     stats = seen.get
     n, score = stats["n"], F.lit(0.0)
-    average = (stats["words"] or 0.0) / max(n, 1) or 1.0
+    average = (stats["words"] or 0.0) / max(stats["told"], 1) or 1.0
     for j, x in enumerate(f):
         idf = max(math.log((n - stats[f"n{j}"] + 0.5) / (stats[f"n{j}"] + 0.5)), 1e-6)
         score = score + F.lit(idf) * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("len") / average))
-    ranked = held.select(key, score.alias("score"), reduce(lambda a, b: a & b, (x > 0 for x in f)).alias("full"))
+    ranked = held.select(key, (score if places is None else F.round(score, places)).alias("score"), reduce(lambda a, b: a & b, (x > 0 for x in f)).alias("full"))
     if ranked.filter("full").limit(-(-limit // 4)).count() >= limit / 4:
         ranked = ranked.filter("full")
-    return ranked.orderBy(F.desc("score"), key).limit(limit)
+    return ranked.orderBy(F.desc("score"), F.asc_nulls_last(key)).limit(limit)
 
 
 def contains_phrase(docs: DataFrame, key: str, text: str, phrase: str) -> DataFrame:

@@ -272,7 +272,8 @@ s AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (f0 > 0) AS n0, count(
 r AS (SELECT doc_id, greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / a)) + greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / a)) AS score, f0 > 0 AND f1 > 0 AS whole FROM f, s WHERE f0 > 0 OR f1 > 0),
 c AS (SELECT count(*) FILTER (whole) AS nf FROM r) SELECT doc_id, round(score, 6) AS score FROM r, c WHERE whole OR nf < 7.5 ORDER BY score DESC, doc_id LIMIT 30""")
 def folder_bm25(spark, d):
-    """Words searched only inside a named folder: its files' own statistics count."""
+    """Words searched only inside a named folder: its files' own statistics count. Scores are ranked as they are rounded."""
     docs = table(spark, d, "documents")
-    members = relations.under_scopes(docs.withColumn("folder", F.concat_ws("/", "lang", "source")), "folder", ["de"])
-    return retrieval.bm25(members, ["lich", "und"], "doc_id", {"text": 1.0}, 30).select("doc_id", F.round("score", 6).alias("score"))
+    folder = F.concat(F.translate("lang", "/", ":"), F.lit("/"), F.coalesce("source", F.lit("")))  # a language is one folder, and none has no folder
+    members = relations.under_scopes(docs.withColumn("folder", folder), "folder", ["de"])
+    return retrieval.bm25(members, ["lich", "und"], "doc_id", {"text": 1.0}, 30, places=6, average_nulls=False).select("doc_id", "score")
