@@ -232,7 +232,8 @@ def truncate_to_tokens(text: Column, most: int) -> Column:
 
 def clean_phrase(text: Column, limit: int = 60) -> Column:
     """A phrase without marks around it and a leading article, cut at a word behind ``limit`` characters."""
-    s = F.regexp_replace(F.regexp_replace(text, r"^[ \t\r\n\-_:;,.|#*]+|[ \t\r\n\-_:;,.|#*]+$", ""), r"\s+", " ")
+    marks = r"[ \t\r\n\-_:;,.|#*]"  # marks at the end are looked for from their first one alone, as a phrase may hold long rows of them
+    s = F.regexp_replace(F.regexp_replace(text, rf"^{marks}+|(?<!{marks}){marks}++$", ""), r"\s+", " ")
     s = F.regexp_replace(s, r"(?i)^(?:the|a|an)\s+", "")
     cut = F.substring(s, 1, limit)
     return F.rtrim(F.when(F.length(s) <= limit, s).when(cut.contains(" "), F.regexp_replace(cut, r" [^ ]*$", "")).otherwise(cut))

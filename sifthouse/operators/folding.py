@@ -211,9 +211,9 @@ def collapse_bursts(rows: DataFrame, group: str, most: int = 6, bits: int = 64)
 
 
 def dedupe_topics(topics: Column, most: int = 6) -> Column:
-    """Topics in order without those that hold, or are held by, an earlier one."""
+    """The first ``most`` topics in order without those that hold, or are held by, an earlier one."""
     start = F.slice(topics, 1, 0)
-    kept = F.aggregate(topics, start, lambda acc, t: F.when(F.exists(acc, lambda x: F.lower(x).contains(F.lower(t)) | F.lower(t).contains(F.lower(x))), acc).otherwise(F.concat(acc, F.array(t))))
+    kept = F.aggregate(topics, start, lambda acc, t: F.when((F.size(acc) >= most) | F.exists(acc, lambda x: F.lower(x).contains(F.lower(t)) | F.lower(t).contains(F.lower(x))), acc).otherwise(F.concat(acc, F.array(t))))
     return F.slice(kept, 1, most)
 
 
